@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftlens.llm import chat, common, exact_dedup, licenses, packing, token_file
+from driftlens.llm import chat, common, exact_dedup, licenses, packing, simhash, token_file
 
 
 def op1_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +32,10 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_dedup(common.documents(spark, sf_dir))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(common.documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")
@@ -41,7 +45,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(common.documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_file, op2_license_scan, op7_chat_format, op9_packing, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_token_file, op2_license_scan, op7_chat_format, op8_simhash_near_dedup, op9_packing, op10_exact_dedup)}
 
 _LOWER = f"translate(coalesce(text, ''), '{common.UPPER}', '{common.LOWER}')"
 _ESCAPED = "regexp_replace(replace(coalesce({0}, ''), chr(92), chr(92) || chr(92)), '<(\\||s>|/s>|<SYS>>|</SYS>>)|\\[(INST\\]|/INST\\])', '##\\0', 'g')"
