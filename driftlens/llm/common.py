@@ -64,3 +64,12 @@ def strings_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
 
 def no_rows(schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_pylist([], schema=schema)
+
+
+#: Makes every ASCII byte that is neither digit nor lower-case letter a space; other bytes belong to words.
+SEPARATORS = bytes(b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
+
+
+def words_of(text: bytes) -> list[bytes]:
+    """Lower-cased (A-Z) words: digits, letters and whatever isn't ASCII."""
+    return text.lower().translate(SEPARATORS).split()

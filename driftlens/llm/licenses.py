@@ -62,7 +62,6 @@ PHRASES = [
     ("public-domain", "public domain", "(?:released into|dedicated to|in) the public domain", 0.7), ("all-rights-reserved", "all rights reserved", "all rights reserved", 0.6),
 ]
 GATE = re.compile(rb"licen|spdx|public|permission|rights reserved|redistribut|cc|mit")
-SEPARATORS = bytes(b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
 
 
 @dataclass(frozen=True)
@@ -91,10 +90,6 @@ def by_keyword() -> list[tuple[bytes, list[tuple[int, Rule]]]]:
     return list(found.items())
 
 
-def words_of(text: bytes) -> list[bytes]:
-    return text.lower().translate(SEPARATORS).split()
-
-
 def detections(joined: bytes) -> list[tuple[int, int, Rule]]:
     """What is left (start, end, rule; in bytes) after suppression."""
     found = [(m.start(), m.end(), i, r) for word, own in by_keyword() if word in joined for i, r in own for m in r.pattern.finditer(joined)]
@@ -111,7 +106,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
         for text in C.bytes_of(batch):
-            plain = text.lower().translate(SEPARATORS)
+            plain = text.lower().translate(C.SEPARATORS)
             if not GATE.search(plain):
                 rows.append((_count(plain), 0, None, None, "", "", 0.0, ""))
                 continue

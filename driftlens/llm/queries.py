@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftlens.llm import chat, common, exact_dedup, licenses, packing, simhash, token_file
+from driftlens.llm import chat, common, decontaminate, exact_dedup, language, licenses, packing, pii, simhash, suffix_dedup, token_file
 
 
 def op1_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +19,25 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(common.documents(spark, sf_dir))
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.documents(spark, sf_dir)
+    return language.identify(docs, language.train(docs))
+
+
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(common.documents(spark, sf_dir)).drop("kept")
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.documents(spark, sf_dir)
+    found = pii.find_pii(docs, pii.train(docs))
+    return found.select("doc_id", *(f"n_{k}" for k in pii.KINDS), F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -45,7 +64,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(common.documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_file, op2_license_scan, op7_chat_format, op8_simhash_near_dedup, op9_packing, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_token_file, op2_license_scan, op3_decontaminate, op4_language, op5_suffix_dedup, op6_pii, op7_chat_format, op8_simhash_near_dedup, op9_packing, op10_exact_dedup)}
 
 _LOWER = f"translate(coalesce(text, ''), '{common.UPPER}', '{common.LOWER}')"
 _ESCAPED = "regexp_replace(replace(coalesce({0}, ''), chr(92), chr(92) || chr(92)), '<(\\||s>|/s>|<SYS>>|</SYS>>)|\\[(INST\\]|/INST\\])', '##\\0', 'g')"
