@@ -28,28 +28,28 @@ BASE = [("under the mit license", "mit"), ("apache license version 2", "apache-2
 # Label, keyword that must occur, and how the license's name is written (words, as a pattern).
 NAMES = [
     ("mit", "mit", "(?:the )?mit"), ("apache-2", "apache", "apache(?: software)?(?: license)?(?: version)? 2(?: 0)?"),
-    ("apache-1.1", "apache", "apache(?: software)?(?: license)?(?: version)? 1 1"), ("gpl-2", "general public", "gnu general public(?: license)?(?: version| v)? 2(?: 0)?"),
-    ("gpl-3", "general public", "gnu general public(?: license)?(?: version| v)? 3(?: 0)?"), ("lgpl-2.1", "lesser general", "gnu lesser general public(?: license)?(?: version| v)? 2 1"),
-    ("lgpl-3", "lesser general", "gnu lesser general public(?: license)?(?: version| v)? 3(?: 0)?"), ("agpl-3", "affero", "gnu affero general public(?: license)?(?: version| v)? 3(?: 0)?"),
+    ("apache-1.1", "apache", "apache(?: software)?(?: license)?(?: version)? 1 1"), ("gpl-2", "general public", "gnu general public(?: license)?(?: version)? v?2(?: 0)?"),
+    ("gpl-3", "general public", "gnu general public(?: license)?(?: version)? v?3(?: 0)?"), ("lgpl-2.1", "lesser general", "gnu lesser general public(?: license)?(?: version)? v?2 1"),
+    ("lgpl-3", "lesser general", "gnu lesser general public(?: license)?(?: version)? v?3(?: 0)?"), ("agpl-3", "affero", "gnu affero general public(?: license)?(?: version)? v?3(?: 0)?"),
     ("bsd-2", "bsd", "(?:simplified bsd|bsd 2 clause|2 clause bsd|freebsd)"), ("bsd-3", "bsd", "(?:new bsd|modified bsd|bsd 3 clause|3 clause bsd|revised bsd)"),
-    ("bsd-4", "bsd", "(?:original bsd|bsd 4 clause|4 clause bsd)"), ("isc", "isc", "isc"), ("mpl-2", "mozilla", "mozilla public(?: license)?(?: version| v)? 2(?: 0)?"),
-    ("mpl-1.1", "mozilla", "mozilla public(?: license)?(?: version| v)? 1 1"), ("epl-1", "eclipse", "eclipse public(?: license)?(?: version| v)? 1(?: 0)?"),
-    ("epl-2", "eclipse", "eclipse public(?: license)?(?: version| v)? 2(?: 0)?"), ("cddl-1", "development and distribution", "common development and distribution(?: license)?(?: version)?(?: 1(?: 0)?)?"),
+    ("bsd-4", "bsd", "(?:original bsd|bsd 4 clause|4 clause bsd)"), ("isc", "isc", "isc"), ("mpl-2", "mozilla", "mozilla public(?: license)?(?: version)? v?2(?: 0)?"),
+    ("mpl-1.1", "mozilla", "mozilla public(?: license)?(?: version)? v?1 1"), ("epl-1", "eclipse", "eclipse public(?: license)?(?: version)? v?1(?: 0)?"),
+    ("epl-2", "eclipse", "eclipse public(?: license)?(?: version)? v?2(?: 0)?"), ("cddl-1", "development and distribution", "common development and distribution(?: license)?(?: version)?(?: 1(?: 0)?)?"),
     ("cc0", "cc0", "(?:creative commons zero|cc0)(?: 1 0)?"), ("cc-by", "cc by", "cc by(?: [1-4] 0)?(?! [ns][cda]\\b)"), ("cc-by-sa", "cc by sa", "cc by sa(?: [1-4] 0)?"),
     ("cc-by-nd", "cc by nd", "cc by nd(?: [1-4] 0)?"), ("cc-by-nc", "cc by nc", "cc by nc(?: [1-4] 0)?(?! [ns][da]\\b)"), ("cc-by-nc-sa", "cc by nc sa", "cc by nc sa(?: [1-4] 0)?"),
     ("cc-by-nc-nd", "cc by nc nd", "cc by nc nd(?: [1-4] 0)?"), ("unlicense", "unlicense", "unlicense"), ("wtfpl", "what the fuck", "do what the fuck you want to public"),
     ("zlib", "zlib", "zlib(?: libpng)?"), ("boost-1", "boost", "boost software(?: license)?(?: version)? 1(?: 0)?"), ("artistic-2", "artistic", "artistic(?: license)?(?: version)? 2(?: 0)?"),
-    ("artistic-1", "artistic", "artistic(?: license)?(?: version)? 1(?: 0)?"), ("eupl-1.2", "european union public", "european union public(?: licence| license)?(?: version| v)? 1 2"), ("ofl-1.1", "open font", "sil open font(?: license)?(?: version)? 1 1"),
-    ("odbl-1", "open database", "open database(?: license)?(?: v| version)?(?: 1(?: 0)?)?"), ("odc-by-1", "open data commons attribution", "open data commons attribution(?: license)?(?: v| version)?(?: 1(?: 0)?)?"), ("pddl-1", "public domain dedication", "public domain dedication and(?: license)?(?: v| version)?(?: 1(?: 0)?)?"),
+    ("artistic-1", "artistic", "artistic(?: license)?(?: version)? 1(?: 0)?"), ("eupl-1.2", "european union public", "european union public(?: licence| license)?(?: version)? v?1 2"), ("ofl-1.1", "open font", "sil open font(?: license)?(?: version)? 1 1"),
+    ("odbl-1", "open database", "open database(?: license)?(?: version)?(?: v?1(?: 0)?)?"), ("odc-by-1", "open data commons attribution", "open data commons attribution(?: license)?(?: version)?(?: v?1(?: 0)?)?"), ("pddl-1", "public domain dedication", "public domain dedication and(?: license)?(?: version)?(?: v?1(?: 0)?)?"),
     ("psf-2", "python software", "python software foundation(?: license)?(?: version)?(?: 2(?: 0)?)?"), ("ruby", "ruby", "ruby"), ("php-3.01", "php", "php(?: license)?(?: version)? 3 0?1"),
     ("postgresql", "postgresql", "postgresql"), ("openssl", "openssl", "openssl"), ("ms-pl", "microsoft public", "microsoft public"), ("ms-rl", "microsoft reciprocal", "microsoft reciprocal"),
-    ("cecill-2.1", "cecill", "cecill(?: license)?(?: version| v)? 2 1"), ("gfdl-1.3", "free documentation", "gnu free documentation(?: license)?(?: version| v)? 1 3"), ("rail", "rail", "(?:creativeml )?open rail(?: m)?"),
-    ("llama", "llama", "llama [234] community"), ("proprietary", "proprietary", "(?:a )?proprietary"), ("elastic-2", "elastic", "elastic(?: license)? 2(?: 0)?"), ("sspl-1", "server side public", "server side public(?: license)?(?: version| v)?(?: 1)?"), ("bsl-1.1", "business source", "business source(?: license)?(?: version)?(?: 1 1)?"),
+    ("cecill-2.1", "cecill", "cecill(?: license)?(?: version)? v?2 1"), ("gfdl-1.3", "free documentation", "gnu free documentation(?: license)?(?: version)? v?1 3"), ("rail", "rail", "(?:creativeml )?open rail(?: m)?"),
+    ("llama", "llama", "llama [234] community"), ("proprietary", "proprietary", "(?:a )?proprietary"), ("elastic-2", "elastic", "elastic(?: license)? 2(?: 0)?"), ("sspl-1", "server side public", "server side public(?: license)?(?: version)?(?: v?1)?"), ("bsl-1.1", "business source", "business source(?: license)?(?: version)?(?: 1 1)?"),
 ]
 
-# How a name is used (pattern with NAME), the priority and the confidence; more certain uses first.
+# How a name (or, from the label, an identifier) is used (pattern), the priority and the confidence; more certain uses first.
 USES = [
-    ("spdx license identifier NAME", 0, 1.0), ("(?:licensed|released|distributed|available|published|made available) (?:under|by) (?:the )?(?:terms of )?(?:the )?NAME(?: licen[cs]e)?(?: version [0-9](?: [0-9])?)?", 1, 0.95),
+    ("spdx license identifier IDENTIFIER(?: 0)?(?: clause)?(?: only| or later)?", 0, 1.0), ("(?:licensed|released|distributed|available|published|made available) (?:under|by) (?:the )?(?:terms of )?(?:the )?NAME(?: licen[cs]e)?(?: version [0-9](?: [0-9])?)?", 1, 0.95),
     ("(?:under|per|subject to) (?:the )?(?:terms (?:and conditions )?of )?(?:the )?NAME licen[cs]e(?: version [0-9](?: [0-9])?)?", 2, 0.9), ("licen[cs]e (?:is )?(?:the )?NAME", 3, 0.8), ("NAME licen[cs]e(?:d)?(?: version [0-9](?: [0-9])?)?", 4, 0.7), ("NAME", 5, 0.5),
 ]
 # Licenses whose bare name is also an ordinary word; the last use doesn't hold for them.
@@ -77,7 +77,7 @@ class Rule:
 def rules() -> list[Rule]:
     """Every use of every name, and the phrases, in order of priority."""
     whole = lambda p: re.compile(rb"(?<![^ ])" + p.encode() + rb"(?![^ ])")
-    found = [Rule(label, word.encode(), whole(use.replace("NAME", name)), priority, sure) for use, priority, sure in USES for label, word, name in NAMES if not (use == "NAME" and label in ORDINARY)]
+    found = [Rule(label, (b"spdx" if "spdx" in use else word.encode()), whole(use.replace("NAME", name).replace("IDENTIFIER", re.sub("[^a-z0-9]", " ", label))), priority, sure) for use, priority, sure in USES for label, word, name in NAMES if not (use == "NAME" and label in ORDINARY)]
     found += [Rule(label, word.encode(), whole(pattern), 2, sure) for label, word, pattern, sure in PHRASES]
     return sorted(found, key=lambda r: r.priority)
 

@@ -115,7 +115,7 @@ def suffix_order(data: np.ndarray, length: int = LENGTH, levels: bool = True) ->
     key = data.astype(np.int64) + 1
     while not levels and 2 * h * bits <= 62 and 2 * h <= length:
         longer = key << bits * h
-        longer[: n - h] |= key[h:]
+        longer[: max(n - h, 0)] |= key[h:]
         key, h = longer, 2 * h
     rank, ranks = np.unique(key, return_inverse=True)[1].astype(np.int64), []
     while True:
@@ -125,7 +125,7 @@ def suffix_order(data: np.ndarray, length: int = LENGTH, levels: bool = True) ->
             return np.argsort(rank, kind="stable"), ranks
         step = min(h, length - h)  # the last step overlaps
         key = rank * (n + 1)
-        key[: n - step] += rank[step:] + 1
+        key[: max(n - step, 0)] += rank[step:] + 1
         order = np.argsort(key)
         new = np.empty(n, dtype=np.int64)
         new[order] = np.cumsum(np.concatenate(([0], np.diff(key[order]) != 0)))

@@ -26,7 +26,7 @@ def labels(text):
 def test_rules_and_suppression():
     assert len(L.rules()) > 200
     assert labels("Licensed under the Apache License, Version 2.0.") == ["apache-2"]
-    assert labels("SPDX-License-Identifier: GPL-3.0 ... GNU Lesser General Public License v2.1") == ["lgpl-2.1"]
+    assert labels("SPDX-License-Identifier: GPL-3.0 ... GNU Lesser General Public License v2.1") == ["gpl-3", "lgpl-2.1"]
     assert labels("This work is licensed under the GNU General Public License, version 3.") == ["gpl-3"]
     assert labels("Licensed under CC BY-NC-SA 4.0") == ["cc-by-nc-sa"]
     assert labels("she can commit to it") == []
