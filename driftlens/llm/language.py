@@ -130,12 +130,15 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     return fit(x, [k for k, _ in rows])
 
 
+def predictions(model: Model | None, batch: pa.RecordBatch) -> list[tuple[str, float]]:
+    texts = batch.column("text").to_pylist()
+    return [model.predict(vector(t.encode())) if model and t and LETTER.search(t) else ("und", 0.0) for t in texts]
+
+
 def _predict(model: Model | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            found = [model.predict(vector(t.encode())) if model and t and LETTER.search(t) else ("und", 0.0) for t in texts]
-            languages, scores = zip(*found) if found else ((), ())
+            languages, scores = zip(*predictions(model, batch)) if batch.num_rows else ((), ())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(languages, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
     return run
@@ -145,3 +148,13 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     """One row per document: doc_id, held_out (its remainder is 2), lang_pred, score."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(remainder(F.col("doc_id")) == 2, F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text"))
     return docs.mapInArrow(_predict(model), "doc_id long, held_out boolean, lang_pred string, score double")
+
+
+def keep_known(docs: DataFrame, model: Model | None) -> DataFrame:
+    """The rows of docs, all columns, whose language isn't und."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([k != "und" for k, _ in predictions(model, batch)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
