@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from driftlens.functions.binding import bind
 from driftlens.functions.chars import SPACE, match_form, nfkd_array
 from driftlens.functions.urls import registrable_domain
 
@@ -36,12 +37,11 @@ def mask_code(text: Column) -> Column:
     """Fences, then code spans, replaced by as many spaces."""
 
     def mask(text: Column, pattern: str) -> Column:
-        found = F.regexp_extract_all(text, F.lit(pattern), 0)
-        blank = F.transform(found, lambda m: F.repeat(F.lit(" "), F.length(m)))
-        masked = F.transform(F.split(text, pattern, -1), lambda p, i: F.concat(p, F.coalesce(F.get(blank, i), F.lit(""))))
-        return F.when(text.rlike(pattern), F.array_join(masked, "")).otherwise(text)
+        blank = F.transform(F.regexp_extract_all(text, F.lit(pattern), 0), lambda m: F.repeat(F.lit(" "), F.length(m)))
+        masked = bind(blank, lambda found: F.array_join(F.transform(F.split(text, pattern, -1), lambda p, i: F.concat(p, F.coalesce(F.get(found, i), F.lit("")))), ""))
+        return F.when(F.size(F.regexp_extract_all(text, F.lit(pattern), 0)) > 0, masked).otherwise(text)
 
-    return reduce(mask, FENCES, text)
+    return F.when(text.rlike("`|~~~"), reduce(lambda t, p: bind(t, lambda x: mask(x, p)), FENCES, text)).otherwise(text)
 
 
 def _pairs(text: Column, pattern: str, href: int, label: int | None) -> Column:
@@ -58,23 +58,26 @@ def reference_links(text: Column) -> Column:
     """Usages [text][label], [label][] and [label] of definitions, the first of which holds."""
     defined = F.transform(_pairs(text, DEFINITION, 2, 1), lambda d: F.struct(_label(d["text"]).alias("label"), strip_trailing_punctuation(d["href"]).alias("href")))
     defined = F.filter(defined, lambda d: (d["label"] != "") & (d["href"] != ""))
-    used = _pairs(text, USAGE, 2, 1)
-    found = F.transform(used, lambda u: F.struct(F.get(F.filter(defined, lambda d: d["label"] == _label(F.when(u["href"] != "", u["href"]).otherwise(u["text"]))), F.lit(0))["href"].alias("href"), u["text"].alias("text")))
-    return F.when(F.size(defined) > 0, F.filter(found, lambda r: r["href"].isNotNull())).otherwise(F.array().cast(REFS))
+
+    def resolve(known: Column) -> Column:
+        href = lambda u: F.get(F.filter(known, lambda d: d["label"] == _label(F.when(u["href"] != "", u["href"]).otherwise(u["text"]))), F.lit(0))["href"]
+        return F.filter(F.transform(_pairs(text, USAGE, 2, 1), lambda u: F.struct(href(u).alias("href"), u["text"].alias("text"))), lambda r: r["href"].isNotNull())
+
+    return F.when(text.rlike(DEFINITION), bind(defined, resolve)).otherwise(F.array().cast(REFS))
 
 
 def extract_link_refs(body: Column) -> Column:
     """Links in order of kind, then place, each href once (the first keeps its text). Texts without a sign of any
     link skip the patterns."""
-    text = mask_code(body)
-    every = F.concat(
-        _pairs(text, MARKDOWN, 2, 1), _pairs(text, MARKDOWN_DANGEROUS, 2, 1), reference_links(text), _pairs(text, AUTOLINK, 1, None), _pairs(text, BARE, 0, None),
-        F.transform(_pairs(text, BARE_WWW, 0, None), lambda r: F.struct(F.concat(F.lit("https://"), r["href"]).alias("href"), r["text"].alias("text"))),
-    )
-    clean = F.filter(F.transform(every, lambda r: F.struct(strip_trailing_punctuation(r["href"]).alias("href"), r["text"].alias("text"))), lambda r: r["href"] != "")
-    hrefs = F.transform(clean, lambda r: r["href"])
-    once = F.filter(clean, lambda r, i: F.array_position(hrefs, r["href"]) == i + 1)
-    return F.when(F.coalesce(body, F.lit("")).rlike(r"(?i)://|www\.|\]\(|<ftp:|<https?:"), once).otherwise(F.array()).cast(REFS)
+
+    def every(text: Column) -> Column:
+        www = F.transform(_pairs(text, BARE_WWW, 0, None), lambda r: F.struct(F.concat(F.lit("https://"), r["href"]).alias("href"), r["text"].alias("text")))
+        found = F.concat(_pairs(text, MARKDOWN, 2, 1), _pairs(text, MARKDOWN_DANGEROUS, 2, 1), reference_links(text), _pairs(text, AUTOLINK, 1, None), _pairs(text, BARE, 0, None), www)
+        return F.filter(F.transform(found, lambda r: F.struct(strip_trailing_punctuation(r["href"]).alias("href"), r["text"].alias("text"))), lambda r: r["href"] != "")
+
+    once = lambda refs: bind(F.transform(refs, lambda r: r["href"]), lambda hrefs: F.filter(refs, lambda r, i: F.array_position(hrefs, r["href"]) == i + 1))
+    sign = F.coalesce(body, F.lit("")).rlike(r"(?i)://|www\.|\]\(|<ftp:|<https?:")
+    return F.when(sign, bind(bind(mask_code(body), every), once)).otherwise(F.array()).cast(REFS)
 
 
 def extract_links(body: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driftlens.functions import dims
+from driftlens.functions.binding import bind
 from driftlens.functions.chars import fold_confusables
 
 
@@ -56,22 +57,32 @@ def find_lookalike(label: Column, domain: Column, near: Column, strict: bool = F
     away, then the first two edits away from a brand of eight letters or more. A brand's own domain is exempt from
     that brand; strict: from all of them.
     """
-    brand, skeleton = dims.brand_array(), deglyph(label)
+    exempt = domain.isin([d for _, d in dims.BRANDS]) if strict else F.lit(False)
+    given = F.struct(label.alias("label"), domain.alias("domain"), near.alias("near"), deglyph(label).alias("skeleton"))
+    return F.when((label != "") & ~exempt, bind(bind(given, _candidates), _best))
+
+
+def _candidates(g: Column) -> Column:
+    brand, skeleton, domain, near = dims.brand_array(), g["skeleton"], g["domain"], g["near"]
     size = F.length(skeleton)
     others = F.filter(brand, lambda b: (b["domain"] != domain) & (F.length(b["label"]) >= 4))
     same = F.get(F.filter(brand, lambda b: (b["label"] == skeleton) & (b["domain"] != domain)), F.lit(0))
     inside = F.get(F.filter(others, lambda b: F.contains(skeleton, b["label"]) & (size > F.length(b["label"])) & (size <= F.length(b["label"]) + 14)), F.lit(0))
     at = lambda n: F.filter(near, lambda x: (x["distance"] == n) & (F.get(brand, x["ord"])["domain"] != domain) & (F.length(F.get(brand, x["ord"])["label"]) >= (4 if n == 1 else 8)))
     one, two = F.get(brand, F.get(at(1), F.lit(0))["ord"]), F.get(brand, F.get(at(2), F.lit(0))["ord"])
+    return F.struct(g["label"].alias("label"), same.alias("same"), inside.alias("inside"), one.alias("one"), two.alias("two"))
+
+
+def _best(g: Column) -> Column:
+    label, same, inside, one, two = (g[k] for k in ("label", "same", "inside", "one", "two"))
 
     def match(b: Column, kind: str, distance: int, severity: str, reason: Column) -> Column:
         return F.struct(b["label"].alias("brand"), F.lit(kind).alias("kind"), F.lit(distance).alias("distance"), F.lit(severity).alias("severity"), reason.alias("reason"))
 
     quoted = lambda x: F.concat(F.lit("'"), x, F.lit("'"))
-    found = (
+    return (
         F.when(same.isNotNull(), match(same, "homoglyph", 0, "high", F.concat(F.lit("domain "), quoted(label), F.lit(" is a visual look-alike of "), quoted(same["label"]), F.lit(" ("), same["domain"], F.lit(")"))))
         .when(inside.isNotNull(), match(inside, "combosquat", 0, "high", F.concat(F.lit("combosquat: "), quoted(label), F.lit(" wraps the brand "), quoted(inside["label"]))))
         .when(one.isNotNull(), match(one, "near-edit", 1, "high", F.concat(F.lit("domain "), quoted(label), F.lit(" is 1 edit away from brand "), quoted(one["label"]))))
         .when(two.isNotNull(), match(two, "near-edit", 2, "medium", F.concat(F.lit("domain "), quoted(label), F.lit(" is 2 edits away from brand "), quoted(two["label"]))))
     )
-    return F.when((label != "") & (~domain.isin([d for _, d in dims.BRANDS]) if strict else F.lit(True)), found)

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from driftlens.functions.binding import bind
 from driftlens.functions.chars import SPACE, WORD_END, WORD_START
 
 # Names and patterns, in order; ASCII word boundaries are written out.
@@ -22,6 +25,24 @@ PATTERNS = [
 ]
 
 
+# What must stand in the text, in any case, for a pattern to be tried.
+SIGNS = {
+    "telegram": ["t.me/", "telegram"], "whatsapp": ["wa.me/", "whatsapp"], "discord-invite": ["discord"], "cashapp": ["$"], "paypal-me": ["paypal.me/"], "venmo": ["venmo"], "email": ["@"],
+    "off-platform-dm": ["dm me", "pm me", "message me directly", "hit me up", "contact me directly", "link in bio"],
+}
+
+
 def rails(stripped: Column) -> Column:
     """Names of the rails in stripped and folded text, in order."""
-    return F.filter(F.array(*(F.when(stripped.rlike(p), F.lit(name)) for name, p in PATTERNS)), lambda x: x.isNotNull())
+
+    def found(given: Column) -> Column:
+        text, low = given["text"], given["low"]
+
+        def sign(name: str) -> Column:
+            if name not in SIGNS:
+                return text.rlike("[0-9A-Za-z]{23}")
+            return reduce(lambda a, b: a | b, (F.contains(low, F.lit(s)) for s in SIGNS[name]))
+
+        return F.filter(F.array(*(F.when(sign(name) & text.rlike(p), F.lit(name)) for name, p in PATTERNS)), lambda x: x.isNotNull())
+
+    return bind(F.struct(stripped.alias("text"), F.lower(stripped).alias("low")), found)

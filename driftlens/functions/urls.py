@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driftlens.functions import chars, dims
+from driftlens.functions.binding import bind
 
 MAX_URL, MAX_PASSES, MAX_LABEL = 4096, 10, 256
 DANGEROUS = f"(?i)^[{chars.SPACE}]*(javascript|data|vbscript|file|blob):"
@@ -235,14 +236,17 @@ def labels_of(host: Column) -> Column:
 
 def registrable_domain(host: Column) -> Column:
     """The longest known suffix of two to four labels and one label more; else the last two labels."""
-    labels = labels_of(F.coalesce(host, F.lit("")))
-    n = F.size(labels)
-    last = lambda k: F.array_join(F.slice(labels, F.greatest(n - k + 1, F.lit(1)), k), ".")
-    found = last(2)
-    for k in (2, 3, 4):
-        own = [s for s in dims.SUFFIXES if s.count(".") == k - 1]
-        found = F.when((n > k) & last(k).isin(own), last(k + 1)).otherwise(found)
-    return found
+
+    def longest(labels: Column) -> Column:
+        n = F.size(labels)
+        last = lambda k: F.array_join(F.slice(labels, F.greatest(n - k + 1, F.lit(1)), k), ".")
+        found = last(2)
+        for k in (2, 3, 4):
+            own = [s for s in dims.SUFFIXES if s.count(".") == k - 1]
+            found = F.when((n > k) & last(k).isin(own), last(k + 1)).otherwise(found)
+        return found
+
+    return bind(labels_of(F.coalesce(host, F.lit(""))), longest)
 
 
 def dangerous_scheme(href: Column) -> Column:
@@ -252,19 +256,30 @@ def dangerous_scheme(href: Column) -> Column:
 def url_risk(href: Column, parsed: Column) -> Column:
     """Struct of twelve flags, score, reasons (in fixed order) and canonical_host."""
     c = parsed["canonical"]
-    known, host = c.isNotNull(), F.coalesce(c["hostname"], F.lit(""))
-    labels, domain, user = F.filter(F.split(host, r"\."), lambda x: x != ""), registrable_domain(host), F.coalesce(c["username"], F.lit(""))
+    host, label = F.coalesce(c["hostname"], F.lit("")), lambda h: F.filter(F.split(F.coalesce(h, F.lit("")), r"\."), lambda x: x != "")
+    given = F.struct(
+        c.alias("c"), host.alias("host"), label(host).alias("labels"), label(c["decoded_nfkc"]).alias("decoded"), registrable_domain(host).alias("domain"),
+        F.coalesce(c["username"], F.lit("")).alias("user"), dangerous_scheme(href).alias("danger"),
+    )
+    return bind(bind(given, _flags), _risk)
+
+
+def _flags(g: Column) -> Column:
+    c, host, labels, domain, user, danger = (g[k] for k in ("c", "host", "labels", "domain", "user", "danger"))
     tld = F.coalesce(F.try_element_at(labels, F.lit(-1)), F.lit(""))
-    danger = dangerous_scheme(href)
-    decoded = F.filter(F.split(F.coalesce(c["decoded_nfkc"], F.lit("")), r"\."), lambda x: x != "")
     flags = {
         "shortener": domain.isin(dims.SHORTENERS), "ip_host": c["is_ip_host"], "punycode": F.exists(labels, lambda x: x.startswith("xn--")), "credentials": user != "",
         "userinfo_domain": user.rlike(r"(?i)^[a-z0-9.-]+\.[a-z]{2,}$"), "suspicious_tld": tld.isin(dims.SUSPICIOUS_TLDS), "many_subdomains": F.size(labels) - F.size(F.split(domain, r"\.")) >= 3,
-        "confusable_host": chars.has_confusable(c["decoded_nfkc"]), "mixed_script_host": F.exists(decoded, lambda x: chars.script_mix(x) != ""),
+        "confusable_host": chars.has_confusable(c["decoded_nfkc"]), "mixed_script_host": F.exists(g["decoded"], lambda x: chars.script_mix(x) != ""),
         "host_trust_token": host.rlike("|".join(dims.TRUST_TOKENS)), "double_encoded": c["decode_passes"] > 1,
     }
-    flags = {k: F.coalesce(known & ~danger & v, F.lit(False)) for k, v in flags.items()} | {"dangerous_scheme": danger}
-    # What is said of each flag.
+    flags = {k: F.coalesce(c.isNotNull() & ~danger & v, F.lit(False)) for k, v in flags.items()} | {"dangerous_scheme": danger}
+    return F.struct(*(v.alias(k) for k, v in flags.items()), host.alias("host"), domain.alias("domain"), user.alias("user"), tld.alias("tld"))
+
+
+def _risk(g: Column) -> Column:
+    domain, user, tld = (g[k] for k in ("domain", "user", "tld"))
+    # What is said of each flag, in order.
     said = {
         "dangerous_scheme": F.lit("dangerous URL scheme (javascript/data/vbscript/file/blob)"), "shortener": F.concat(F.lit("URL shortener ("), domain, F.lit(") hides the destination")), "ip_host": F.lit("links to a raw IP address"),
         "punycode": F.lit("punycode host (possible homograph domain)"), "credentials": F.lit("credentials embedded in the URL"), "userinfo_domain": F.concat(F.lit("'@'-trick: userinfo '"), user, F.lit("' looks like a domain")),
@@ -272,7 +287,7 @@ def url_risk(href: Column, parsed: Column) -> Column:
         "mixed_script_host": F.lit("mixed-script domain label (Latin + non-Latin)"), "host_trust_token": F.lit("phishing-style trust word in the hostname"), "double_encoded": F.lit("URL was double-encoded (intentional obfuscation)"),
     }
     raw = F.lit(0.0)
-    for k, v in flags.items():
-        raw = raw + F.when(v, dims.RISK_WEIGHTS[k]).otherwise(0.0)
-    reasons = F.filter(F.array(*(F.when(flags[k], text) for k, text in said.items())), lambda x: x.isNotNull())
-    return F.struct(*(v.alias(k) for k, v in flags.items()), (1 - F.exp(-raw)).alias("score"), reasons.alias("reasons"), F.when(danger, "").otherwise(host).alias("canonical_host"))
+    for k in said:
+        raw = raw + F.when(g[k], dims.RISK_WEIGHTS[k]).otherwise(0.0)
+    reasons = F.filter(F.array(*(F.when(g[k], text) for k, text in said.items())), lambda x: x.isNotNull())
+    return F.struct(*(g[k].alias(k) for k in said), (1 - F.exp(-raw)).alias("score"), reasons.alias("reasons"), F.when(g["dangerous_scheme"], "").otherwise(g["host"]).alias("canonical_host"))
