@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driftlens.functions import dims
+from driftlens.functions.binding import bind
 
 # Code points and ranges, as the inside of a regular expression class.
 BIDI = r"\x{202A}-\x{202E}\x{2066}-\x{2069}\x{200E}\x{200F}\x{061C}"
@@ -92,12 +93,13 @@ def contains_invisible(col: Column | str) -> Column:
 
 
 def contains_bidi(col: Column | str) -> Column:
-    return _text(col).rlike(f"[{BIDI}]")
+    return bind(_text(col), lambda t: t.rlike("[^\\x00-\\x7F]") & t.rlike(f"[{BIDI}]"))
 
 
 def has_confusable(composed: Column | str) -> Column:
-    """Of NFKC text."""
-    return _text(composed).rlike(CONFUSABLE)
+    """Of NFKC text. Removing them shows it: a lookup for each character, where a class of over a hundred would be
+    tried one by one."""
+    return bind(_text(composed), lambda t: t.rlike("[^\\x00-\\x7F]") & (F.length(F.translate(t, "".join(dims.CONFUSABLES), "")) < F.length(t)))
 
 
 def contains_confusable(col: Column | str) -> Column:

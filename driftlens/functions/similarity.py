@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from driftlens.functions.binding import bind
+
 
 def tokens(matched: Column) -> Column:
     """Of text in match form."""
@@ -17,8 +19,12 @@ def token_set(matched: Column) -> Column:
 
 def shingles(words: Column, k: int = 2) -> Column:
     """Distinct runs of k words; none of no words, all of them as one if they are fewer than k."""
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - k + 1, F.lit(1))), lambda i: F.array_join(F.slice(words, i, k), " "))
-    return F.when(F.size(words) == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(runs))
+
+    def runs(w: Column) -> Column:
+        found = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - k + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, k), " "))
+        return F.when(F.size(w) == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(found))
+
+    return bind(words, runs)
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -34,8 +40,14 @@ def missing_fraction(a: Column, b: Column) -> Column:
 
 def change_profile(a: Column, b: Column) -> Column:
     """Struct of similarity (mean of token and bigram Jaccard), added_fraction, removed_fraction of two word arrays."""
-    x, y = F.array_distinct(a), F.array_distinct(b)
-    return F.struct(
-        (0.5 * jaccard(x, y) + 0.5 * jaccard(shingles(a), shingles(b))).alias("similarity"),
-        missing_fraction(x, y).alias("added_fraction"), missing_fraction(y, x).alias("removed_fraction"),
-    )
+
+    def sets(g: Column) -> Column:
+        return F.struct(F.array_distinct(g["a"]).alias("x"), F.array_distinct(g["b"]).alias("y"), shingles(g["a"]).alias("sx"), shingles(g["b"]).alias("sy"))
+
+    def profile(g: Column) -> Column:
+        return F.struct(
+            (0.5 * jaccard(g["x"], g["y"]) + 0.5 * jaccard(g["sx"], g["sy"])).alias("similarity"),
+            missing_fraction(g["x"], g["y"]).alias("added_fraction"), missing_fraction(g["y"], g["x"]).alias("removed_fraction"),
+        )
+
+    return bind(bind(F.struct(a.alias("a"), b.alias("b")), sets), profile)

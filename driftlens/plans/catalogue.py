@@ -294,7 +294,7 @@ def added_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("WITH " + LINKS_SQL + " SELECT doc_id, len(hrefs) AS n_links, CASE doc_id % 12 " + " ".join(f"WHEN {k} THEN '{d}'" for k, (_, d) in _NEW.items()) + " ELSE '' END AS domains FROM links")
 def added_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = versions(spark, sf_dir).select("doc_id", links.extract_links(F.col("c")).alias("after"))
-    return found.withColumn("parsed", urls.parse_urls("after")).select("doc_id", F.size("parsed").cast("long").alias("n_links"), F.array_join(links.domains_of(F.col("parsed")), " ").alias("domains"))
+    return found.select("doc_id", "after", urls.parse_urls("after").alias("parsed")).select("doc_id", F.size("after").cast("long").alias("n_links"), F.array_join(links.domains_of(F.col("parsed")), " ").alias("domains"))
 
 
 @query(f"WITH {VERSIONS_SQL} SELECT doc_id, array_to_string({_rail_sql(_STRIP('c'))}, ',') AS now, array_to_string({_rail_sql(_STRIP('t'))}, ',') AS before FROM e")
@@ -391,21 +391,21 @@ ASOF_SQL = f"{EVENTS_SQL}, j AS (SELECT b.event_id, b.user_id, b.value, b.ts AS
 
 def approvals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sign-ups stand for approvals of the user's thing."""
-    return table(spark, sf_dir, "events").filter("event_type = 'signup'").select(F.lit("c").alias("community_id"), F.col("user_id").cast("string").alias("thing_id"), F.col("ts").alias("approved_at"), F.col("event_id").alias("approval_id"))
+    return table(spark, sf_dir, "events").filter("event_type = 'signup'").select(F.lit("c").alias("community_id"), F.col("user_id").cast("string").alias("thing_id"), F.col("ts").cast("timestamp").alias("approved_at"), F.col("event_id").alias("approval_id"))
 
 
 def clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clicks stand for edits."""
-    return table(spark, sf_dir, "events").filter("event_type = 'click'").select(F.lit("c").alias("community_id"), F.col("user_id").cast("string").alias("thing_id"), F.col("ts").alias("edited_at"), "event_id", "value")
+    return table(spark, sf_dir, "events").filter("event_type = 'click'").select(F.lit("c").alias("community_id"), F.col("user_id").cast("string").alias("thing_id"), F.col("ts").cast("timestamp").alias("edited_at"), "event_id", "value")
 
 
 def joined(spark: SparkSession, sf_dir: str, ttl: float = TTL) -> DataFrame:
     return watch.as_of(clicks(spark, sf_dir), approvals(spark, sf_dir), ttl)
 
 
-@query(f"WITH {ASOF_SQL} SELECT event_id, approval_id, epoch_us(approved_at) AS approved_us FROM j")
+@query(f"WITH {ASOF_SQL} SELECT event_id, approval_id, strftime(approved_at, '%Y-%m-%d %H:%M:%S.%f') AS approved FROM j")
 def asof_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return joined(spark, sf_dir, 10_000).select("event_id", "approval_id", F.unix_micros("approved_at").alias("approved_us"))
+    return joined(spark, sf_dir, 10_000).select("event_id", "approval_id", F.date_format("approved_at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("approved"))
 
 
 _TTL_SQL = f"WITH {ASOF_SQL} SELECT event_id, approval_id FROM j WHERE {_LIVE}"
@@ -438,12 +438,12 @@ _LATEST_SQL = "SELECT user_id::VARCHAR AS thing_id, max(ts) AS approved_at FROM
 @query(f"SELECT count(*) AS watching_indexed, count(*) FILTER (approved_at > {_NOW} - INTERVAL 3 DAY) AS watching_live FROM ({_LATEST_SQL})")
 def watched_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     watched = watch.watch_list(approvals(spark, sf_dir))
-    return watched.agg(F.count("*").alias("watching_indexed"), F.count_if(F.unix_micros("approved_at") > F.unix_micros(F.lit(NOW)) - int(TTL * 86400_000_000)).alias("watching_live"))
+    return watched.agg(F.count("*").alias("watching_indexed"), F.count_if(F.unix_micros("approved_at") > F.unix_micros(F.lit(str(NOW)).cast("timestamp")) - int(TTL * 86400_000_000)).alias("watching_live"))
 
 
-@query(f"SELECT thing_id, epoch_us(approved_at) AS approved_us FROM ({_LATEST_SQL}) WHERE approved_at > {_NOW} - INTERVAL 3 DAY")
+@query(f"SELECT thing_id, strftime(approved_at, '%Y-%m-%d %H:%M:%S.%f') AS approved FROM ({_LATEST_SQL}) WHERE approved_at > {_NOW} - INTERVAL 3 DAY")
 def prune_watchlist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return watch.prune(watch.watch_list(approvals(spark, sf_dir)), F.lit(NOW), TTL).select("thing_id", F.unix_micros("approved_at").alias("approved_us"))
+    return watch.prune(watch.watch_list(approvals(spark, sf_dir)), F.lit(str(NOW)).cast("timestamp"), TTL).select("thing_id", F.date_format("approved_at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("approved"))
 
 
 @query("SELECT user_id::VARCHAR AS thing_id, arg_max(event_id, ts) AS approval_id FROM events WHERE event_type = 'signup' GROUP BY user_id")
@@ -479,7 +479,7 @@ _AGE = f"greatest(0, floor((epoch_us({_NOW}) - epoch_us(detected_at)) / 1e6)::BI
 @query(f"""WITH {LOG_SQL}, x AS (SELECT *, {_AGE} AS s FROM k) SELECT thing_id, 'POST' AS badge, printf('drift %.2f', score) AS score_text, CASE WHEN score >= 0.8 THEN '#ff5c5c' WHEN score >= 0.5 THEN '#ffae42' ELSE '#9aa6ab' END AS colour,
     CASE WHEN s < 60 THEN s || 's ago' WHEN s < 3600 THEN s // 60 || 'm ago' WHEN s < 86400 THEN s // 3600 || 'h ago' ELSE s // 86400 || 'd ago' END AS age, 'removed & re-queued' AS action_label, 'a b c' AS shown FROM x""")
 def log_render(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return log.render(event_log(spark, sf_dir), F.lit(NOW)).select("thing_id", "badge", "score_text", "colour", "age", "action_label", F.array_join("shown_signals", " ").alias("shown"))
+    return log.render(event_log(spark, sf_dir), F.lit(str(NOW)).cast("timestamp")).select("thing_id", "badge", "score_text", "colour", "age", "action_label", F.array_join("shown_signals", " ").alias("shown"))
 
 
 @query(f"WITH {VERSIONS_SQL} SELECT doc_id, md5(substr(t, 1, 300)) AS before_excerpt, md5(substr(c, 1, 300)) AS after_excerpt FROM e")
