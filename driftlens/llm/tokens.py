@@ -1,23 +1,23 @@
 """Exact tokenization of whole texts with a word cache.
 
-A pre-tokenizer never joins what stands on both sides of a space between two visible characters, so a text can be
-cut there (and around a full stop or comma after a letter, and around a lone line feed) and the ids of the pieces
-joined. Pieces repeat, so each task encodes a piece once with the tokenizers library and looks it up afterwards.
+A pre-tokenizer never joins what stands on both sides of a space between two visible characters, nor what stands
+before and after a lone line feed between them, nor a letter or digit and the full stop or comma that ends its word.
+So a text is cut there, and the ids of the pieces are joined. Words repeat: a task encodes each once with the
+tokenizers library and looks it up afterwards. Texts with other white space are cut at spaces between visible
+characters only; texts that name a special token aren't cut.
 """
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
+from array import array
 
-import numpy as np
+#: Words in the younger part of a worker's cache; when full it becomes the older part, which is thrown away.
+CACHE_WORDS = 600_000
 
-#: Pieces in the younger part of a worker's cache; when full it becomes the older part, which is thrown away.
-CACHE_PIECES = 600_000
-
-GAP = re.compile(r"\s\s|\0|<\|")
-MARKS = re.compile(r"(?:[^\w\s]|_)[.,]\s")
 #: Characters whose lower case may depend on more than themselves.
 UNSURE = re.compile("[^\x00-\u012f\u0131-\u024f]")
 BETWEEN = re.compile(r"(?<=\S)(?= \S)")
@@ -32,34 +32,86 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.cache, self.older = Tokenizer.from_file(path), {"": b""}, {}
+        self.tokenizer = Tokenizer.from_file(path)
         self.lowers = '"Lowercase"' in json.dumps(json.loads(self.tokenizer.to_str())["normalizer"])
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-
-    def pieces(self, text: str) -> list[str]:
-        if GAP.search(text):
-            return [text] if any(s in text for s in self.special) else BETWEEN.split(text)
-        if self.lowers and not UNSURE.search(text):  # the tokenizer would; so fewer pieces differ
-            text = text.lower()
-        if not MARKS.search(text):
-            text = text.replace(". ", "\0.\0 ").replace(", ", "\0,\0 ").replace(".\n", "\0.\0\n")
-        return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+        self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.first: dict[str, bytes] = {}  # words that begin a line
+        self.signs = {s: self.encode([s])[0] for s in (".", ",", "\n")}
+
+    def encode(self, pieces: list[str]) -> list[bytes]:
+        gc.disable()  # many small objects, none of them in cycles
+        try:
+            return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        finally:
+            gc.enable()
+
+    def learn(self, words: set[str]) -> None:
+        """Put the ids of words (which stand after a space) into the cache."""
+        cache, older, ends, bases, lowers = self.cache, self.older, [], set(), self.lowers
+        for w in words:
+            if w in older:
+                cache[w] = older[w]
+                continue
+            base, sign = (w[:-1], w[-1]) if w[-1] in ".," and w[-2:-1].isalnum() else (w, "")
+            if lowers and (base.isascii() or not UNSURE.search(base)):  # the tokenizer would; so fewer words differ
+                base = base.lower()
+            if base not in cache:
+                bases.add(base)
+            if base is not w:
+                ends.append((w, base, sign))
+        for w in bases & older.keys() if older else ():
+            cache[w] = older[w]
+            bases.remove(w)
+        self.fill(bases)
+        for w, base, sign in ends:
+            cache[w] = cache[base] + self.signs[sign] if sign else cache[base]
+
+    def fill(self, words: set[str]) -> None:
+        every = list(words)
+        for at in range(0, len(every), 10_000):
+            part = every[at : at + 10_000]
+            self.cache.update(zip(part, self.encode([" " + w for w in part])))
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        cut = [self.pieces(t) for t in texts]
-        if len(self.cache) > CACHE_PIECES:
-            self.older, self.cache = self.cache, {"": b""}
-        cache, older, new = self.cache, self.older, []
-        for p in {p for pieces in cut for p in pieces if p not in cache}:
-            if p in older:
-                cache[p] = older[p]
+        if len(self.cache) > CACHE_WORDS:
+            self.older, self.cache, self.first = self.cache, {}, {}
+        first, feed, get = self.first, self.signs["\n"], self.cache.get
+        out: list = [None] * len(texts)
+        unknown: set[str] = set()
+        again = []  # texts that hold words not known yet
+        for i, t in enumerate(texts):
+            # every piece of white space is one space or line feed between words
+            if len(words := t.split()) != t.count(" ") + (feeds := t.count("\n")) + 1 or not t.replace("\n", " ").isprintable() or any(s in t for s in self.special):
+                pieces = [t] if any(s in t for s in self.special) else BETWEEN.split(t)
+                out[i] = b"".join(self.encode(pieces)) if t else b""
+                continue
+            found = list(map(get, words))
+            if feeds or words[0] not in first:
+                at, heads = 0, [0]
+                for line in t.split("\n")[:-1] if feeds else ():
+                    at += line.count(" ") + 1
+                    heads.append(at)
+            else:
+                heads = [0]
+            for k in heads:
+                if (head := words[k]) not in first:
+                    first[head] = self.encode([head])[0]
+                found[k] = feed + first[head] if k else first[head]
+            if None in found:
+                missing = [k for k, v in enumerate(found) if v is None]
+                unknown.update([words[k] for k in missing])
+                again.append((i, words, found, missing))
             else:
-                new.append(p)
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                cache[p] = np.array(e.ids, dtype="<u4").tobytes()
-        return [b"".join(map(cache.__getitem__, pieces)) for pieces in cut]
+                out[i] = b"".join(found)
+        self.learn(unknown)
+        known = self.cache
+        for i, words, found, missing in again:
+            for k in missing:
+                found[k] = known[words[k]]
+            out[i] = b"".join(found)
+        return out
 
 
 def encoder(path: str) -> Encoder:
