@@ -251,7 +251,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     named = docs.withColumn("row", F.xxhash64("doc_id", "text"))
     segs = named.select("row", "text").mapInArrow(lambda b: _joined(_segments(b)), "row long, anchor long, seg long, start long, n int")
-    counts = segs.groupBy("anchor").agg(F.count("*").alias("c"), F.min("seg").alias("a"), F.max("seg").alias("b")).filter("c > 1")
+    # saved, as are the counts by segment below: a join that reads its own aggregate's partitions can't be split where a key is hot
+    counts = C.saved(segs.groupBy("anchor").agg(F.count("*").alias("c"), F.min("seg").alias("a"), F.max("seg").alias("b")).filter("c > 1"), "anchors")
     flagged = segs.join(counts.select("anchor", (F.col("a") != F.col("b")).alias("mixed")), "anchor")
     flagged = C.saved(flagged.select("row", "anchor", "seg", "start", "n", "mixed"), "segments")
 
@@ -261,7 +262,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     data = data.groupBy("anchor", "seg").agg(F.first("data").alias("data"))
     once = data.repartition(C.partitions(docs.sparkSession), "anchor").sortWithinPartitions("anchor")
     compared = once.mapInArrow(_compare, "anchor long, seg long, hits binary")
-    often = flagged.filter("mixed").groupBy("anchor", "seg").agg(F.count("*").alias("c")).filter("c > 1")
+    often = C.saved(flagged.filter("mixed").groupBy("anchor", "seg").agg(F.count("*").alias("c")).filter("c > 1"), "often")
     partly = C.saved(compared.join(often, ["anchor", "seg"], "left_anti"), "compared")
 
     whole = flagged.filter("NOT mixed").unionByName(flagged.filter("mixed").join(often, ["anchor", "seg"], "left_semi").select(flagged.columns))
