@@ -1,8 +1,9 @@
 """License scan by ordered signature rules.
 
 Texts are lower-cased (A-Z) and reduced to words; rules are regular expressions over the words joined by spaces. A
-rule runs only where its keyword occurs. Detections are resolved by interval: among the places found, a detection
-inside (or equal to) another of the same or higher priority is suppressed; longer ones win, then rule order.
+rule runs only where its keyword occurs, which stands in whatever the rule can match. Detections are resolved by
+interval: among the places found, a detection inside (or equal to) another of the same or higher priority is
+suppressed; longer ones win, then rule order.
 
 Defined results: null or text without words gives zero words, no labels and score 0; a place is counted for each
 base phrase; rows repeated each get a row; an empty table gives an empty result; other columns are ignored.
@@ -15,7 +16,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,7 +35,7 @@ NAMES = [
     ("bsd-4", "bsd", "(?:original bsd|bsd 4 clause|4 clause bsd)"), ("isc", "isc", "isc"), ("mpl-2", "mozilla", "mozilla public(?: license)?(?: version)? v?2(?: 0)?"),
     ("mpl-1.1", "mozilla", "mozilla public(?: license)?(?: version)? v?1 1"), ("epl-1", "eclipse", "eclipse public(?: license)?(?: version)? v?1(?: 0)?"),
     ("epl-2", "eclipse", "eclipse public(?: license)?(?: version)? v?2(?: 0)?"), ("cddl-1", "development and distribution", "common development and distribution(?: license)?(?: version)?(?: 1(?: 0)?)?"),
-    ("cc0", "cc0", "(?:creative commons zero|cc0)(?: 1 0)?"), ("cc-by", "cc by", "cc by(?: [1-4] 0)?(?! [ns][cda]\\b)"), ("cc-by-sa", "cc by sa", "cc by sa(?: [1-4] 0)?"),
+    ("cc0", "cc0", "cc0(?: 1 0)?"), ("cc0", "creative commons zero", "creative commons zero(?: 1 0)?"), ("cc-by", "cc by", "cc by(?: [1-4] 0)?(?! [ns][cda]\\b)"), ("cc-by-sa", "cc by sa", "cc by sa(?: [1-4] 0)?"),
     ("cc-by-nd", "cc by nd", "cc by nd(?: [1-4] 0)?"), ("cc-by-nc", "cc by nc", "cc by nc(?: [1-4] 0)?(?! [ns][da]\\b)"), ("cc-by-nc-sa", "cc by nc sa", "cc by nc sa(?: [1-4] 0)?"),
     ("cc-by-nc-nd", "cc by nc nd", "cc by nc nd(?: [1-4] 0)?"), ("unlicense", "unlicense", "unlicense"), ("wtfpl", "what the fuck", "do what the fuck you want to public"),
     ("zlib", "zlib", "zlib(?: libpng)?"), ("boost-1", "boost", "boost software(?: license)?(?: version)? 1(?: 0)?"), ("artistic-2", "artistic", "artistic(?: license)?(?: version)? 2(?: 0)?"),
@@ -47,6 +47,15 @@ NAMES = [
     ("llama", "llama", "llama [234] community"), ("proprietary", "proprietary", "(?:a )?proprietary"), ("elastic-2", "elastic", "elastic(?: license)? 2(?: 0)?"), ("sspl-1", "server side public", "server side public(?: license)?(?: version)?(?: v?1)?"), ("bsl-1.1", "business source", "business source(?: license)?(?: version)?(?: 1 1)?"),
 ]
 
+# The usual short forms of names, in the same way.
+SHORT = [
+    ("gpl-2", "gpl", "(?<!lesser )(?<!library )(?<!affero )(?:gpl(?: version)? v?|gplv)2(?: 0)?"), ("gpl-3", "gpl", "(?<!lesser )(?<!library )(?<!affero )(?:gpl(?: version)? v?|gplv)3(?: 0)?"),
+    ("lgpl-2.1", "gpl", "(?:lgplv|(?:lgpl|lesser gpl)(?: version)? v?)2 1"), ("lgpl-3", "gpl", "(?:lgplv|(?:lgpl|lesser gpl)(?: version)? v?)3(?: 0)?"), ("agpl-3", "gpl", "(?:agplv|(?:agpl|affero gpl)(?: version)? v?)3(?: 0)?"),
+    ("mpl-2", "mpl", "mpl(?: version)? v?2(?: 0)?"), ("mpl-1.1", "mpl", "mpl(?: version)? v?1 1"), ("epl-1", "epl", "epl(?: version)? v?1(?: 0)?"), ("epl-2", "epl", "epl(?: version)? v?2(?: 0)?"), ("cddl-1", "cddl", "cddl(?: version)?(?: v?1(?: 0)?)?"),
+    ("wtfpl", "wtfpl", "wtfpl"), ("boost-1", "bsl", "bsl 1 0"), ("bsl-1.1", "bsl", "bsl 1 1"), ("bsl-1.1", "busl", "busl 1 1"), ("eupl-1.2", "eupl", "eupl(?: version)? v?1 2"), ("ofl-1.1", "ofl", "(?:sil )?ofl(?: version)? v?1 1"),
+    ("odbl-1", "odbl", "odbl(?: v?1(?: 0)?)?"), ("gfdl-1.3", "gfdl", "gfdl(?: version)? v?1 3"), ("sspl-1", "sspl", "sspl(?: v?1(?: 0)?)?"),
+]
+
 # How a name (or, from the label, an identifier) is used (pattern), the priority and the confidence; more certain uses first.
 USES = [
     ("spdx license identifier IDENTIFIER(?: 0)?(?: clause)?(?: only| or later)?", 0, 1.0), ("(?:licensed|released|distributed|available|published|made available) (?:under|by) (?:the )?(?:terms of )?(?:the )?NAME(?: licen[cs]e)?(?: version [0-9](?: [0-9])?)?", 1, 0.95),
@@ -61,7 +70,6 @@ PHRASES = [
     ("isc", "permission to use copy modify", "permission to use copy modify and or distribute this software", 0.8), ("gpl", "free software you can redistribute", "free software you can redistribute it and or modify", 0.8),
     ("public-domain", "public domain", "(?:released into|dedicated to|in) the public domain", 0.7), ("all-rights-reserved", "all rights reserved", "all rights reserved", 0.6),
 ]
-GATE = re.compile(rb"licen|spdx|public|permission|rights reserved|redistribut|cc|mit")
 
 
 @dataclass(frozen=True)
@@ -77,9 +85,10 @@ class Rule:
 def rules() -> list[Rule]:
     """Every use of every name, and the phrases, in order of priority."""
     whole = lambda p: re.compile(rb"(?<![^ ])" + p.encode() + rb"(?![^ ])")
-    found = [Rule(label, (b"spdx" if "spdx" in use else word.encode()), whole(use.replace("NAME", name).replace("IDENTIFIER", re.sub("[^a-z0-9]", " ", label))), priority, sure) for use, priority, sure in USES for label, word, name in NAMES if not (use == "NAME" and label in ORDINARY)]
+    found = [Rule(label, (b"spdx" if "spdx" in use else word.encode()), whole(use.replace("NAME", name).replace("IDENTIFIER", re.sub("[^a-z0-9]", " ", label))), priority, sure) for use, priority, sure in USES for label, word, name in NAMES + SHORT if not (use == "NAME" and label in ORDINARY)]
     found += [Rule(label, word.encode(), whole(pattern), 2, sure) for label, word, pattern, sure in PHRASES]
-    return sorted(found, key=lambda r: r.priority)
+    once = {(r.label, r.pattern.pattern): r for r in reversed(found)}  # names of one license share its identifier
+    return sorted((r for r in found if once[r.label, r.pattern.pattern] is r), key=lambda r: r.priority)
 
 
 @cache
@@ -106,11 +115,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
         for text in C.bytes_of(batch):
-            plain = text.lower().translate(C.SEPARATORS)
-            if not GATE.search(plain):
-                rows.append((_count(plain), 0, None, None, "", "", 0.0, ""))
-                continue
-            words = plain.split()
+            words = C.words_of(text)
             joined = b" ".join(words)
             places = []
             for phrase, label in BASE:
@@ -129,12 +134,6 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, f.type) for c, f in zip(columns, list(schema)[1:]))], schema=schema)
 
 
-def _count(plain: bytes) -> int:
-    """Words in a text whose separators are all spaces."""
-    a = np.frombuffer(plain, dtype=np.uint8) != 32
-    return int(np.count_nonzero(a[1:] & ~a[:-1]) + a[0]) if len(a) else 0
-
-
 def scan_licenses(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score and
     detections (first word:end word:label of what was left, in order)."""

@@ -34,3 +34,33 @@ def test_rules_and_suppression():
 
 def test_empty(spark):
     assert L.scan_licenses(cases.docs(spark, [])).collect() == []
+
+
+SHORT = [
+    ("Released under the BSD 3-Clause", "bsd-3"), ("distributed under the terms of the Apache 2.0", "apache-2"), ("released under the Boost Software 1.0", "boost-1"),
+    ("Distributed under the Common Development and Distribution", "cddl-1"), ("published under Artistic 2.0", "artistic-2"), ("the Llama 3 Community one", "llama"), ("under Elastic 2.0", "elastic-2"),
+    ("Business Source 1.1", "bsl-1.1"), ("PHP 3.01", "php-3.01"), ("Creative Commons Zero 1.0", "cc0"), ("released by Mozilla Public 2.0", "mpl-2"), ("GPLv3", "gpl-3"), ("GPL-2.0-or-later", "gpl-2"),
+    ("GNU LGPL v2.1", "lgpl-2.1"), ("Lesser GPL 3", "lgpl-3"), ("AGPL-3.0", "agpl-3"), ("Affero GPL version 3", "agpl-3"), ("MPL-2.0", "mpl-2"), ("EPL 2.0", "epl-2"), ("CDDL-1.0", "cddl-1"), ("BUSL-1.1", "bsl-1.1"),
+    ("BSL-1.0", "boost-1"), ("WTFPL", "wtfpl"), ("EUPL-1.2", "eupl-1.2"), ("OFL-1.1", "ofl-1.1"), ("ODbL", "odbl-1"), ("GFDL 1.3", "gfdl-1.3"), ("SSPL-1.0", "sspl-1"),
+]
+
+
+def ungated(text):
+    """Labels by all rules, whatever words a text holds."""
+    joined = b" ".join(L.C.words_of(text.encode()))
+    found = sorted(((m.start(), m.end(), i, r) for i, r in enumerate(L.rules()) for m in r.pattern.finditer(joined)), key=lambda d: (d[3].priority, d[0] - d[1], d[2], d[0]))
+    left = []
+    for d in found:
+        if not any(k[0] <= d[0] and d[1] <= k[1] for k in left):
+            left.append(d)
+    return {r.label for *_, r in left}
+
+
+def test_every_rule_runs_where_it_can_match(spark):
+    texts = [t for t, _ in SHORT] + [f"{t}; we permit and accept it" for t, _ in SHORT] + ["nothing of that kind", "lesser gpl 2", *(t for _, t in cases.pairs())]
+    texts += [f"{'...  ' * 3}{t.upper()}\n" for t, _ in SHORT]
+    found = L.scan_licenses(cases.docs(spark, [(i, t, *(None,) * 7) for i, t in enumerate(texts)])).collect()
+    got = {r["doc_id"]: (set(filter(None, r["labels"].split(","))), r["score"] > 0) for r in found}
+    base = {r["doc_id"]: set(filter(None, r["base_labels"].split(","))) for r in found}
+    assert got == {i: (base[i] | ungated(t), bool(base[i] | ungated(t))) for i, t in enumerate(texts)}
+    assert [got[i][0] for i in range(len(SHORT))] == [got[len(SHORT) + i][0] for i in range(len(SHORT))] == [{label} for _, label in SHORT]
