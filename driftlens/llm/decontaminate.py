@@ -5,8 +5,9 @@ often they occur). The items' fingerprints stand in a multi-index: four blocks o
 value within 4 bits, so that any fingerprint within 19 bits of an item's is met under some block. What is met within
 that radius is verified by the exact weighted Jaccard similarity of the shingles, at least 0.8.
 
-A window can only pass if it shares a shingle with the item, so windows are only made where a shingle of some item
-stands: the starts in line with it, and two to either side. Items are taken in blocks of ITEMS, each block's index
+A window can only pass if eight ninths of its shingles are some of the item's (less where the document is shorter than
+the item), whatever their order, so windows are made at all starts where as many stand, and at no others. Their
+fingerprints and shared shingles are counted sliding from start to start. Items are taken in blocks of ITEMS, each block's index
 is broadcast and its size bounded; every document is read against every block.
 
 Defined results: null text and items without words match nothing; texts or items of fewer than five words are one
@@ -34,8 +35,9 @@ SHINGLE, SIMILAR, RADIUS = 5, 0.8, 19
 BLOCKS = 4
 #: Items in one broadcast index: some 40 KB each.
 ITEMS = 1000
-SIDE, WIDE = 2, 64
 CACHED_WORDS = 1_000_000
+#: Windows fingerprinted at a time.
+CHUNK = 4096
 
 FOUND = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("start", pa.int64()), ("n_words", pa.int64()), ("hamming", pa.int64()), ("similarity", pa.float64())])
 
@@ -75,10 +77,25 @@ def simhash(s: np.ndarray) -> int:
     return int(np.packbits(bits * 2 > len(s), bitorder="little").view("<u8")[0])
 
 
-def similarity(a: Counter, b: Counter) -> float:
-    """Weighted Jaccard."""
-    both = sum((a & b).values())
-    return both / (sum(a.values()) + sum(b.values()) - both)
+def simhashes(s: np.ndarray, length: int) -> np.ndarray:
+    """Fingerprints of all runs of length shingles."""
+    bits = np.unpackbits(s.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    sums = np.concatenate((np.zeros((1, 64), np.int32), np.cumsum(bits, axis=0, dtype=np.int32)))
+    return np.packbits((sums[length:] - sums[:-length]) * 2 > length, axis=1, bitorder="little").view("<u8")[:, 0]
+
+
+def shared(s: list[int], length: int, own: Counter) -> Iterator[int]:
+    """Of each run of length shingles, how many it shares with the item's (weighted by how often they occur)."""
+    held, both = Counter(), 0
+    for k, x in enumerate(s):
+        if x in own:
+            both += held[x] < own[x]
+            held[x] += 1
+        if k >= length and (y := s[k - length]) in own:
+            held[y] -= 1
+            both -= held[y] < own[y]
+        if k >= length - 1:
+            yield both
 
 
 @dataclass
@@ -87,7 +104,8 @@ class Index:
     starts: np.ndarray  # of each block and value, in entries
     entries: np.ndarray  # numbers of items
     anchors: np.ndarray  # shingles of items, sorted
-    of: np.ndarray  # item and place of each
+    of: np.ndarray  # item of each
+    lengths: np.ndarray  # of items, in shingles
     short: dict[int, dict[int, list[int]]]  # items of fewer words than a shingle: by words, by hash
     gate: np.ndarray  # by the last 20 bits of a shingle: some item has one
 
@@ -101,8 +119,8 @@ class Index:
             if len(h) < SHINGLE:
                 short.setdefault(len(h), {}).setdefault(int(s[0]), []).append(len(items))
             else:
-                anchors.append(s)
-                of += [(len(items), k) for k in range(len(s))]
+                anchors.append(np.unique(s))
+                of += [len(items)] * len(anchors[-1])
             items.append((item_id, len(h), Counter(s.tolist()), simhash(s)))
         masks = np.array([sum(1 << b for b in bits) for n in range(RADIUS // BLOCKS + 1) for bits in combinations(range(16), n)], dtype=np.int64)
         prints = np.array([p for *_, p in items], dtype=np.uint64)
@@ -114,7 +132,7 @@ class Index:
         sort = np.argsort(anchor, kind="stable")
         gate = np.zeros(1 << 20, dtype=bool)
         gate[(anchor & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-        return cls(items, np.searchsorted(slot[order], np.arange((BLOCKS << 16) + 1)), item[order], anchor[sort], np.array(of, dtype=np.int64).reshape(-1, 2)[sort], short, gate)
+        return cls(items, np.searchsorted(slot[order], np.arange((BLOCKS << 16) + 1)), item[order], anchor[sort], np.array(of, dtype=np.int64)[sort], np.array([n - SHINGLE + 1 for _, n, *_ in items], dtype=np.int64), short, gate)
 
     def within(self, fingerprint: int) -> dict[int, int]:
         """Items within the radius, and their distances."""
@@ -124,38 +142,47 @@ class Index:
             met.update(self.entries[self.starts[slot] : self.starts[slot + 1]].tolist())
         return {i: d for i in met if (d := (self.items[i][3] ^ fingerprint).bit_count()) <= RADIUS}
 
-    def windows(self, s: np.ndarray, n: int) -> set[tuple[int, int]]:
-        """(words, start) of windows in line with a shared shingle."""
+    def windows(self, s: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(item, first start, last start) of windows that hold enough of an item's shingles to pass."""
         at = np.flatnonzero(self.gate[(s & np.uint64((1 << 20) - 1)).astype(np.int64)])
         if not len(at) or not len(self.anchors):
-            return set()
+            return
         low, high = np.searchsorted(self.anchors, s[at], "left"), np.searchsorted(self.anchors, s[at], "right")
-        lines: dict[int, set[int]] = {}
-        for p, a, b in zip(at.tolist(), low.tolist(), high.tolist()):
-            for item, k in self.of[a:b].tolist():
-                lines.setdefault(item, set()).add(p - k)
-        found = set()
-        for item, starts in lines.items():
-            size, near = self.items[item][1], {x for k in starts for x in range(k - SIDE, k + SIDE + 1)}
-            line = sorted(starts)
-            for x, y in zip(line, line[1:]):
-                if y - x <= WIDE:  # between two alignments of one passage
-                    near.update(range(x, y))
-            found.update((size, min(max(x, 0), max(n - size, 0))) for x in near)
-        return found
+        n = high - low
+        item = self.of[np.arange(n.sum()) + np.repeat(low - np.cumsum(n) + n, n)]
+        length = np.minimum(self.lengths, len(s))
+        need = np.ceil(SIMILAR * (length + self.lengths) / (1 + SIMILAR) - 1e-9).astype(np.int64)
+        enough = (np.bincount(item, minlength=len(self.items)) >= need)[item]
+        item, place = item[enough], np.repeat(at, n)[enough]
+        order = np.argsort(item, kind="stable")
+        item, place = item[order], place[order]
+        edge = np.flatnonzero(np.diff(item)) + 1
+        for i, p in zip(item[np.append(0, edge)].tolist() if len(item) else (), np.split(place, edge)):
+            first, last = p[: len(p) - need[i] + 1], p[need[i] - 1 :]  # of as many shingles as are needed
+            lows, highs = np.maximum(last - length[i] + 1, 0), np.minimum(first, len(s) - length[i])
+            lows, highs = lows[fit := lows <= highs], highs[fit]
+            cut = np.flatnonzero(lows[1:] > highs[:-1] + 1) + 1
+            for a, b in zip(np.split(lows, cut), np.split(highs, cut)) if len(lows) else ():
+                yield i, int(a[0]), int(b[-1])
 
     def search(self, words: list[bytes]) -> list[tuple[int, int, int, int, float]]:
         """(item_id, start, words, distance, similarity) of the best window for each item that passes."""
         best: dict[int, tuple] = {}
         h = hashes(words)
         s = shingles(h)
-        for size, start in sorted(self.windows(s, len(h))) if len(h) >= SHINGLE else ():
-            part = s[start : start + size - SHINGLE + 1]
-            near = {i: d for i, d in self.within(simhash(part)).items() if self.items[i][1] == size}
-            counts = Counter(part.tolist()) if near else None
-            for i, d in near.items():
-                if (j := similarity(counts, self.items[i][2])) >= SIMILAR and j > best.get(i, (0,) * 5)[4]:
-                    best[i] = (self.items[i][0], start, min(size, len(h) - start), d, j)
+        for i, first, last in self.windows(s) if len(h) >= SHINGLE else ():
+            item_id, size, own, _ = self.items[i]
+            length = min(size - SHINGLE + 1, len(s))
+            total = length + size - SHINGLE + 1
+            for a in range(first, last + 1, CHUNK):
+                b = min(a + CHUNK - 1, last)
+                part = s[a : b + length]
+                prints = None
+                for k, both in enumerate(shared(part.tolist(), length, own)):
+                    if (j := both / (total - both)) >= SIMILAR and j > best.get(i, (0,) * 5)[4]:
+                        prints = simhashes(part, length) if prints is None else prints
+                        if (d := self.within(int(prints[k])).get(i)) is not None:
+                            best[i] = (item_id, a + k, min(size, len(h)), d, j)
         for size, own in self.short.items():  # one shingle: the words themselves
             if len(h) >= size:
                 one = shingles(h, size)

@@ -65,3 +65,36 @@ def test_index_holds_everything_within_the_radius():
 def test_empty(spark):
     none, some = spark.createDataFrame([], "item_id long, text string"), spark.createDataFrame([(1, ITEMS[4])], "item_id long, text string")
     assert D.find_leaks(cases.docs(spark), none).collect() == [] and D.find_leaks(cases.docs(spark, []), some).collect() == []
+
+
+def test_parts_in_another_order():
+    one = random.Random(31)
+    word = lambda n: [f"v{one.randrange(10**6)}" for _ in range(n)]
+    items, docs = [], []
+    for n in (70, 130, 200, 400):
+        own = word(n)
+        for cut in (n // 10, n // 2, n - 66):
+            for left_out, put_in in ((0, 0), (0, n // 40), (n // 40, n // 40), (n // 30, n // 20)):
+                docs.append((len(docs), " ".join(word(150) + own[cut + left_out :] + word(put_in) + own[:cut] + word(150))))
+        third = n // 3
+        docs.append((len(docs), " ".join(word(20) + own[2 * third :] + own[third : 2 * third] + own[:third] + word(20))))
+        items.append((len(items), " ".join(own)))
+        docs.append((len(docs), " ".join((own * 3)[n // 4 : -(n // 3)])))
+        docs.append((len(docs), " ".join(own[5:])))  # shorter than the item
+    items.append((len(items), " ".join(items[1][1].split()[:40] * 3)))
+    docs.append((len(docs), items[-1][1] + " " + items[-1][1]))
+    index = D.Index.build(items)
+    found = {(i, hit[0]): hit for i, t in docs for hit in index.search(C.words_of(t.encode()))}
+    assert set(found) == brute(docs, items) and len(found) > 40
+    for (i, j), (_, start, n, _, similar) in found.items():
+        words, own = docs[i][1].split(), items[j][1].split()
+        near = lambda s: sum((shingles(words[s : s + len(own)]) & shingles(own)).values())
+        most = max(range(max(1, len(words) - len(own) + 1)), key=near)  # the first of the best
+        whole = shingles(words[most : most + len(own)]).total() + shingles(own).total()
+        assert (start, n, similar) == (most, min(len(own), len(words)), near(most) / (whole - near(most)))
+
+
+def test_sliding_fingerprints():
+    s = D.shingles(D.hashes(C.words_of(" ".join(ITEMS).encode())))
+    for length in (1, 2, 7, len(s)):
+        assert D.simhashes(s, length).tolist() == [D.simhash(s[k : k + length]) for k in range(len(s) - length + 1)]
