@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -8,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from driftlens.llm import common, packing, token_file
+from driftlens.llm import common, packing, token_file, tokens
 from driftlens.llm.tokens import encoder
 
 from . import cases
@@ -25,6 +26,28 @@ def test_cached_encoding_is_exact(name, text):
     assert np.frombuffer(encoder(P.path(name)).ids([text])[0], dtype="<u4").tolist() == encoder(P.path(name)).tokenizer.encode(text, add_special_tokens=False).ids
 
 
+#: Signs, marks that join what is before them, letters whose lower case is longer or depends on others, odd spaces.
+ODD = [*"abcXYZ ,.;:!?-'\"*#%&$`_~()[]<>|@/\\019½²①ⅧßéİıſﬁﬃΣσςЖ中ア😀ªº×÷ŉǰẞǅ\n\n  ", "\u0301", "\u0308", "\u0307", "\u0345", "\u00ad", "\u200b", "\u200d", "\ufeff", "\u00a0", "\u3000", "\u2028", "\u180e", "\x85", "\x1c", "\x01", "\0", "\t", "'s", "I'M", "<|endoftext|>", "<|startoftext|>"]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_many_odd_texts_are_exact(name):
+    rng = random.Random(5)
+    texts = ["".join(rng.choice(ODD) for _ in range(rng.randint(1, 40))) for _ in range(10_000)]
+    texts += [f"{chr(c)} a{chr(c)}, {chr(c)}b {chr(c).upper()}x." for c in range(0x250)] + [",Z İ,", "long" * 400 + ", end", "a" * 70, "", " ", "\n"]
+    e = encoder(P.path(name))
+    assert e.plain
+    assert e.ids(texts) == [np.array(x.ids, dtype="<u4").tobytes() for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_forgetting_changes_nothing(monkeypatch):
+    e = tokens.Encoder(P.path("word_bpe_49k.json"))
+    texts = [t for _, t in cases.pairs()]
+    once = e.ids(texts)
+    monkeypatch.setattr(tokens, "CACHE_WORDS", 5)
+    assert [e.ids([t])[0] for t in texts] == once
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.one_of(st.integers(0, 50256), st.integers(0, 2**64 - 1), st.just(0)), max_size=700), st.integers(0, 400))
 def test_simple8b_round_trip(values, zeros):
