@@ -176,7 +176,7 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def portions(texts: list[str], most: int = 4 << 20):
+def portions(texts: list[str], most: int = 16 << 20):
     """Ranges of texts of about that many characters, so that no call holds a whole batch's ids."""
     start, held = 0, 0
     for i, t in enumerate(texts):
