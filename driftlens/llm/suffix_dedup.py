@@ -7,12 +7,14 @@ under one anchor have to meet. They are counted by anchor first (a partial sum b
 
 * an anchor that stands once: none of its windows repeats;
 * an anchor whose segments are all the same: all of its windows repeat;
-* otherwise the different segments' bytes are brought together by anchor, a suffix order of their concatenation is
-  built (doubling to 200 bytes), and from the previous and next smaller positions in it the longest previous factor
-  of each window: one that reaches 200 bytes is a later copy of an earlier string, and both are marked.
+* otherwise the different segments' bytes are brought together by anchor, their windows are put into suffix order
+  (by their 200 bytes, then position), and from the previous and next smaller positions in it the longest previous
+  factor of each window: one that reaches 200 bytes is a later copy of an earlier string, and both are marked.
 
-Segments and anchors are compared by 64-bit hashes together with each other, rows named by a 64-bit hash of id and
-text; the windows of differing segments by their bytes.
+An anchor with more than HOT different segments (a common phrase) isn't brought together: each window of its segments
+is counted by a 128-bit hash instead, which Spark adds up before and after the shuffle, so no task holds them all.
+Segments and anchors are compared by 64-bit hashes together with each other, rows named by doc_id and a 64-bit hash of
+the text; the windows of differing segments by their bytes (of hot anchors by the 128-bit hash).
 
 Defined results: null or short text is kept whole; rows repeated (same id and text) are copies of each other and
 each get a row; an empty table gives an empty result; other columns are ignored.
@@ -25,14 +27,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftlens.llm import common as C
 
 LENGTH, GRAM = 200, 32
-#: Window starts hashed at a time, and bytes of segments whose suffixes are sorted at a time.
-CHUNK, SORTED = 1 << 16, 1 << 20
+#: Bytes hashed at a time, bytes of segments whose windows are sorted at a time, and rows of segments in a batch.
+CHUNK, SORTED, ROWS = 1 << 16, 1 << 20, 20_000
+#: Different segments under one anchor that are compared in one task.
+HOT = 256
 
 BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2^64
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -54,43 +59,62 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h * np.uint64(0x94D049BB133111EB) ^ h >> np.uint64(31)
 
 
-def segments(text: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor hash, segment hash, first window and number of windows of each segment of a text."""
-    data, parts = np.frombuffer(text, dtype=np.uint8), []
-    most = CHUNK + length
-    if len(_tables.get("up", ())) < most + 1:
-        _tables.update(up=_powers(BASE, most + 1), down=_powers(INVERSE, most + 1))
-    up, down, w = _tables["up"], _tables["down"], length - gram + 1
-    for at in range(0, max(len(data) - length + 1, 0), CHUNK):
-        part = data[at : at + CHUNK + length - 1]
-        n = len(part) - length + 1  # windows
-        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((part.astype(np.uint64) + np.uint64(1)) * up[: len(part)], dtype=np.uint64)))
-        grams = _mixed((sums[gram:] - sums[:-gram]) * down[: len(part) - gram + 1])
-        key = grams & ~np.uint64(0x1FFFF) | np.arange(len(grams), dtype=np.uint64)  # least hash, then leftmost
-        padded = np.full(-(-len(key) // w) * w, np.uint64(2**64 - 1))
-        padded[: len(key)] = key
-        blocks = padded.reshape(-1, w)
-        ahead = np.minimum.accumulate(blocks, axis=1).reshape(-1)
-        behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].reshape(-1)
-        anchor = (np.minimum(behind[:n], ahead[w - 1 : w - 1 + n]) & np.uint64(0x1FFFF)).astype(np.int64)
-        start = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
-        count = np.diff(np.append(start, n))
-        own = anchor[start]
-        whole = (sums[start + count + length - 1] - sums[start]) * down[start]
-        shape = (own - start).astype(np.uint64) << np.uint64(20) | count.astype(np.uint64)
-        parts.append((grams[own], _mixed(whole ^ _mixed(shape)), start + at, count))
-    if not parts:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return tuple(np.concatenate(x) for x in zip(*parts))
+def segments(pieces: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+    """Number of the piece, anchor hash, segment hash, first window and number of windows of each segment of some
+    pieces (CHUNK + length bytes of them at most), which are hashed together."""
+    data, w = np.frombuffer(b"".join(pieces), dtype=np.uint8), length - gram + 1
+    if len(_tables.get("up", ())) < CHUNK + length + 1:
+        _tables.update(up=_powers(BASE, CHUNK + length + 1), down=_powers(INVERSE, CHUNK + length + 1))
+    up, down, n = _tables["up"], _tables["down"], len(data) - length + 1  # windows, those over a piece's end too
+    ends = np.cumsum([len(p) for p in pieces])
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], dtype=np.uint64)))
+    grams = _mixed((sums[gram:] - sums[:-gram]) * down[: len(data) - gram + 1])
+    key = grams & ~np.uint64(0x1FFFF) | np.arange(len(grams), dtype=np.uint64)  # least hash, then leftmost
+    padded = np.full(-(-len(key) // w) * w, np.uint64(2**64 - 1))
+    padded[: len(key)] = key
+    blocks = padded.reshape(-1, w)
+    ahead = np.minimum.accumulate(blocks, axis=1).reshape(-1)
+    behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].reshape(-1)
+    anchor = (np.minimum(behind[:n], ahead[w - 1 : w - 1 + n]) & np.uint64(0x1FFFF)).astype(np.int64)
+    edge = np.concatenate(([True], anchor[1:] != anchor[:-1]))
+    begins = np.concatenate(([0], ends[:-1]))
+    edge[begins[begins < n]] = True
+    last = np.maximum(ends - length + 1, begins)  # the first windows that lie over a piece's end
+    edge[last[last < n]] = True
+    start = np.flatnonzero(edge)
+    piece = np.searchsorted(ends, start, side="right")
+    count = np.diff(np.append(start, n))
+    inside = start < last[piece]
+    start, piece, count = start[inside], piece[inside], count[inside]
+    own = anchor[start]
+    whole = (sums[start + count + length - 1] - sums[start]) * down[start]
+    shape = (own - start).astype(np.uint64) << np.uint64(20) | count.astype(np.uint64)
+    return piece, grams[own], _mixed(whole ^ _mixed(shape)), start - begins[piece], count
+
+
+def portions(texts: list[bytes], length: int = LENGTH) -> Iterator[list[tuple[int, int, bytes]]]:
+    """Pieces (text, first byte, bytes) that hold every window once, together of CHUNK + length bytes at most."""
+    held: list[tuple[int, int, bytes]] = []
+    size = 0
+    for i, text in enumerate(texts):
+        for at in range(0, len(text) - length + 1, CHUNK):
+            piece = text[at : at + CHUNK + length - 1]
+            if size + len(piece) > CHUNK + length and held:
+                yield held
+                held, size = [], 0
+            held.append((i, at, piece))
+            size += len(piece)
+    if held:
+        yield held
 
 
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = batch.column("row").to_numpy(zero_copy_only=False)
-        for i, text in enumerate(C.bytes_of(batch)):
-            anchor, seg, start, count = segments(text)
-            if len(anchor):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(anchor), rows[i])), pa.array(anchor.view(np.int64)), pa.array(seg.view(np.int64)), pa.array(start), pa.array(count.astype(np.int32))], names=["row", "anchor", "seg", "start", "n"])
+        ids, names = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("id", "row"))
+        for part in portions(C.bytes_of(batch)):
+            piece, anchor, seg, start, count = segments([p for *_, p in part])
+            text, at = np.array([i for i, *_ in part])[piece], np.array([a for _, a, _ in part])[piece]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[text], names[text], anchor.view(np.int64), seg.view(np.int64), start + at, count.astype(np.int32))], names=["id", "row", "anchor", "seg", "start", "n"])
 
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,77 +123,51 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         held.append(b)
         rows += b.num_rows
-        if rows >= 20_000:
+        if rows >= ROWS:
             yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
             held, rows = [], 0
     if rows:
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
-def suffix_order(data: np.ndarray, length: int = LENGTH, levels: bool = True) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Suffixes in the order of their first length symbols, then of position; and the ranks by the first 1, 2, 4 ...
-    symbols, last by length (without levels: the last alone, begun with as many symbols as a word holds). data:
-    integers from 0."""
-    n, h = len(data), 1
-    bits = int(data.max(initial=1) + 1).bit_length()
-    key = data.astype(np.int64) + 1
-    while not levels and 2 * h * bits <= 62 and 2 * h <= length:
-        longer = key << bits * h
-        longer[: max(n - h, 0)] |= key[h:]
-        key, h = longer, 2 * h
-    rank, ranks = np.unique(key, return_inverse=True)[1].astype(np.int64), []
-    while True:
-        if levels or h >= length:
-            ranks.append(rank)
-        if h >= length:
-            return np.argsort(rank, kind="stable"), ranks
-        step = min(h, length - h)  # the last step overlaps
-        key = rank * (n + 1)
-        key[: max(n - step, 0)] += rank[step:] + 1
-        order = np.argsort(key)
-        new = np.empty(n, dtype=np.int64)
-        new[order] = np.cumsum(np.concatenate(([0], np.diff(key[order]) != 0)))
-        rank, h = new, h + step
-
-
-def longest_previous_factor(data: np.ndarray, length: int = LENGTH, whole: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """For each position the length, up to length, of the longest factor that starts there and also earlier, and of
-    the longest that also starts later. The candidates are the nearest smaller (larger) positions on either side in
-    suffix order. whole: factors shorter than length count as 0, which is faster."""
-    order, ranks = suffix_order(data, length, levels=not whole)
+def suffix_order(data: np.ndarray, starts: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes of some bytes that begin at starts, in the order of their first length bytes, then of position
+    (as numbers of starts); and, along it, a number for each different string of length bytes."""
+    windows = np.lib.stride_tricks.sliding_window_view(np.append(data, np.zeros(-length % 8, np.uint8)), length + -length % 8)[starts].copy()
+    windows[:, length:] = 0
+    order = np.argsort(windows.view(f"S{windows.shape[1]}").reshape(-1), kind="stable")
+    words = windows.view(np.uint64)[order]
+    return order, np.cumsum(np.concatenate(([0], (words[1:] != words[:-1]).any(axis=1))))
+
+
+def nearest_smaller(values: np.ndarray) -> np.ndarray:
+    """Index of the previous smaller value, -1 if none, by pointer jumping."""
+    at = np.arange(len(values)) - 1
+    open_ = np.flatnonzero((at >= 0) & (values[at] > values))
+    while len(open_):
+        at[open_] = at[at[open_]]
+        open_ = open_[(at[open_] >= 0) & (values[at[open_]] > values[open_])]
+    return at
+
+
+def longest_previous_factor(data: np.ndarray, starts: np.ndarray, length: int = LENGTH, whole: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """For each of the ascending starts the length, up to length, of the longest string that begins there and also
+    at an earlier start, and of the longest that also begins at a later one. The candidates are the nearest smaller
+    (larger) positions on either side in suffix order. whole: strings shorter than length count as 0."""
+    order, number = suffix_order(data, starts, length)
     n = len(order)
-    place = np.empty(n, dtype=np.int64)
-    place[order] = np.arange(n)
-
-    def nearest(values: np.ndarray) -> np.ndarray:
-        """Index of the previous smaller value, -1 if none, by pointer jumping."""
-        at = np.arange(n) - 1
-        open_ = np.flatnonzero((at >= 0) & (values[at] > values))
-        while len(open_):
-            at[open_] = at[at[open_]]
-            open_ = open_[(at[open_] >= 0) & (values[at[open_]] > values[open_])]
-        return at
 
     def common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Length of the common prefix of suffixes, up to length, from the ranks."""
-        out, x, y = np.zeros(len(a), dtype=np.int64), a.copy(), b.copy()
-        same = ranks[-1][a] == ranks[-1][b]
         if whole:
-            return length * same
-        for k in range(len(ranks) - 2, -1, -1):
-            ok = (x < n) & (y < n)
-            ok[ok] = ranks[k][x[ok]] == ranks[k][y[ok]]
-            step = (1 << k) * ok
-            out, x, y = out + step, x + step, y + step
-        return np.where(same, length, np.minimum(out, length))
+            return length * (number[a] == number[b])
+        differ = np.stack([data[starts[order[a]] + k] != data[starts[order[b]] + k] for k in range(length)] + [np.ones(len(a), bool)])
+        return differ.argmax(axis=0)
 
     def best(values: np.ndarray) -> np.ndarray:
         found = np.zeros(n, dtype=np.int64)
-        for back in (False, True):
-            near = nearest(values[::-1] if back else values)
-            near = np.where(near < 0, -1, n - 1 - near)[::-1] if back else near
-            held = np.flatnonzero(near >= 0)
-            found[order[held]] = np.maximum(found[order[held]], common(order[held], order[near[held]]))
+        for near in (nearest_smaller(values), n - 1 - nearest_smaller(values[::-1])[::-1]):
+            held = np.flatnonzero((near >= 0) & (near < n))
+            found[order[held]] = np.maximum(found[order[held]], common(held, near[held]))
         return found
 
     return best(order), best(n - 1 - order)
@@ -178,14 +176,11 @@ def longest_previous_factor(data: np.ndarray, length: int = LENGTH, whole: bool
 def repeated(parts: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
     """For each part, which of its windows of length also stand in another place of the parts (of whatever group:
     equal windows have equal anchors)."""
-    symbols, starts, at = [], [], 0
-    for k, p in enumerate(parts):
-        starts.append(at)
-        symbols += [np.frombuffer(p, dtype=np.uint8).astype(np.int64), np.array([256 + k])]
-        at += len(p) + 1
-    before, after = longest_previous_factor(np.concatenate(symbols), length, whole=True)
-    hit = (before >= length) | (after >= length)
-    return [hit[s : s + len(p) - length + 1] for s, p in zip(starts, parts)]
+    n = np.array([len(p) - length + 1 for p in parts])
+    upto = np.cumsum(n)
+    starts = np.arange(upto[-1]) + np.repeat(np.arange(len(parts)) * (length - 1), n)
+    before, after = longest_previous_factor(np.frombuffer(b"".join(parts), dtype=np.uint8), starts, length, whole=True)
+    return np.split((before >= length) | (after >= length), upto[:-1])
 
 
 def runs(hit: np.ndarray) -> np.ndarray:
@@ -195,22 +190,22 @@ def runs(hit: np.ndarray) -> np.ndarray:
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted by anchor: whole anchors together until enough bytes are held."""
-    held: list[tuple[int, int, bytes]] = []
+    """Sorted by anchor: whole anchors together until enough bytes are held. Hits of segments that stand once."""
+    held: list[tuple[int, int, int, bytes]] = []
     size = 0
 
     def result():
         hits = repeated([d for *_, d in held])
-        rows = [(a, s, r.tobytes()) for (a, s, _), hit in zip(held, hits) if len(r := runs(hit))]
+        rows = [(a, s, r.tobytes()) for (a, s, c, _), hit in zip(held, hits) if c == 1 and len(r := runs(hit))]
         columns = list(zip(*rows)) or [()] * 3
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary()))], names=["anchor", "seg", "hits"])
 
     for batch in batches:
-        for a, s, d in zip(batch.column("anchor").to_pylist(), batch.column("seg").to_pylist(), batch.column("data").to_pylist()):
+        for a, s, c, d in zip(*(batch.column(k).to_pylist() for k in ("anchor", "seg", "c", "data"))):
             if size >= SORTED and held[-1][0] != a:
                 yield result()
                 held, size = [], 0
-            held.append((a, s, d))
+            held.append((a, s, c, d))
             size += len(d)
     if held:
         yield result()
@@ -218,12 +213,36 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of the segments that have to be compared."""
+
+    def cut():
+        for batch in batches:
+            for i, text in enumerate(C.bytes_of(batch)):
+                found = batch.column("segs")[i].values
+                start, n = found.field("start").to_numpy(), found.field("n").to_numpy()
+                data = [text[a:b] for a, b in zip(start.tolist(), (start + n + LENGTH - 1).tolist())]
+                yield pa.RecordBatch.from_arrays([*(found.field(k) for k in ("anchor", "seg", "c", "hot")), pa.array(data, pa.binary())], names=["anchor", "seg", "c", "hot", "data"])
+
+    yield from _joined(cut())
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each window of segments: its number and hash."""
+    digest = xxhash.xxh3_128_digest
     for batch in batches:
-        for i, text in enumerate(C.bytes_of(batch)):
-            found = batch.column("segs")[i].values
-            anchor, seg, start, n = (found.field(k) for k in ("anchor", "seg", "start", "n"))
-            data = [text[a : a + k + LENGTH - 1] for a, k in zip(start.to_pylist(), n.to_pylist())]
-            yield pa.RecordBatch.from_arrays([anchor, seg, pa.array(data, pa.binary())], names=["anchor", "seg", "data"])
+        for a, s, c, d in zip(*(batch.column(k).to_pylist() for k in ("anchor", "seg", "c", "data"))):
+            n = len(d) - LENGTH + 1
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, a)), pa.array(np.full(n, s)), pa.array(np.full(n, c)), pa.array(np.arange(n, dtype=np.int32)), pa.array([digest(d[k : k + LENGTH]) for k in range(n)], pa.binary())], names=["anchor", "seg", "c", "k", "hash"])
+
+
+def _as_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lists of window numbers as runs."""
+    for batch in batches:
+        found = []
+        for at in batch.column("at"):
+            hit = np.zeros(max(k := at.values.to_numpy()) + 1, dtype=bool)
+            hit[k] = True
+            found.append(runs(hit).tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column("anchor"), batch.column("seg"), pa.array(found, pa.binary())], names=["anchor", "seg", "hits"])
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,26 +268,34 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    named = docs.withColumn("row", F.xxhash64("doc_id", "text"))
-    segs = named.select("row", "text").mapInArrow(lambda b: _joined(_segments(b)), "row long, anchor long, seg long, start long, n int")
-    # saved, as are the counts by segment below: a join that reads its own aggregate's partitions can't be split where a key is hot
+    named = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(C.NULL_ID)).alias("id"), F.xxhash64("text").alias("row"))
+    name, segment, n_parts = ["id", "row"], ["anchor", "seg"], C.partitions(docs.sparkSession)
+    # tables are saved before joins: a join that reads its own aggregate's partitions can't be split where a key is hot
+    segs = named.select(*name, "text").mapInArrow(lambda b: _joined(_segments(b)), "id long, row long, anchor long, seg long, start long, n int")
+    segs = C.saved(segs, "segments")
     counts = C.saved(segs.groupBy("anchor").agg(F.count("*").alias("c"), F.min("seg").alias("a"), F.max("seg").alias("b")).filter("c > 1"), "anchors")
-    flagged = segs.join(counts.select("anchor", (F.col("a") != F.col("b")).alias("mixed")), "anchor")
-    flagged = C.saved(flagged.select("row", "anchor", "seg", "start", "n", "mixed"), "segments")
-
-    # different segments under one anchor: each once, with how often it stands
-    wanted = flagged.filter("mixed").groupBy("row").agg(F.collect_list(F.struct("anchor", "seg", "start", "n")).alias("segs"))
-    data = named.join(wanted, "row").select("text", "segs").mapInArrow(_cut, "anchor long, seg long, data binary")
-    data = data.groupBy("anchor", "seg").agg(F.first("data").alias("data"))
-    once = data.repartition(C.partitions(docs.sparkSession), "anchor").sortWithinPartitions("anchor")
-    compared = once.mapInArrow(_compare, "anchor long, seg long, hits binary")
-    often = C.saved(flagged.filter("mixed").groupBy("anchor", "seg").agg(F.count("*").alias("c")).filter("c > 1"), "often")
-    partly = C.saved(compared.join(often, ["anchor", "seg"], "left_anti"), "compared")
-
-    whole = flagged.filter("NOT mixed").unionByName(flagged.filter("mixed").join(often, ["anchor", "seg"], "left_semi").select(flagged.columns))
-    some = flagged.filter("mixed").join(partly, ["anchor", "seg"]).select("row", "start", "hits")
+    flagged = C.saved(segs.join(counts.select("anchor", (F.col("a") != F.col("b")).alias("mixed")), "anchor"), "flagged")
+
+    # different segments under one anchor: each once (any place of it serves), with how often it stands
+    one = [F.first(k).alias(k) for k in (*name, "start", "n")]
+    kinds = C.saved(flagged.filter("mixed").groupBy(segment).agg(F.count("*").alias("c"), *one), "kinds")
+    hot = C.saved(kinds.groupBy("anchor").count().filter(F.col("count") > HOT).select("anchor", F.lit(True).alias("hot")), "hot")
+    kinds = kinds.join(hot, "anchor", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    wanted = kinds.groupBy(name).agg(F.collect_list(F.struct(*segment, "c", "hot", "start", "n")).alias("segs"))
+    data = C.saved(named.join(wanted, name).select("text", "segs").mapInArrow(_cut, "anchor long, seg long, c long, hot boolean, data binary"), "cut")
+
+    few = data.filter("NOT hot").drop("hot").repartition(n_parts, "anchor").sortWithinPartitions("anchor")
+    compared = few.mapInArrow(_compare, "anchor long, seg long, hits binary")
+    windows = C.saved(data.filter("hot").drop("hot").mapInArrow(lambda b: _joined(_windows(b)), "anchor long, seg long, c long, k int, hash binary"), "windows")
+    twice = C.saved(windows.groupBy("hash").count().filter(F.col("count") > 1).select("hash"), "twice")
+    counted = windows.filter("c = 1").join(twice, "hash").groupBy(segment).agg(F.collect_list("k").alias("at")).mapInArrow(_as_runs, "anchor long, seg long, hits binary")
+    often = kinds.filter("c > 1").select(*segment, F.lit(None).cast("binary").alias("hits"))
+    outcome = C.saved(compared.unionByName(counted).unionByName(often), "outcome")
+
     # little-endian pairs: from window 0 to window n - 1
     last = F.unhex(F.concat(*(F.lpad(F.hex(F.shiftright(F.col("n") - 1, 8 * k).bitwiseAND(255)), 2, "0") for k in range(4))))
-    hits = whole.select("row", "start", F.concat(F.unhex(F.lit("00000000")), last).alias("hits")).unionByName(some)
-    found = hits.groupBy("row").agg(F.collect_list(F.struct("start", "hits")).alias("found"))
-    return named.join(found, "row", "left").select("doc_id", "text", "found").mapInArrow(_remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    every = F.concat(F.unhex(F.lit("00000000")), last)
+    some = flagged.filter("mixed").join(outcome, segment).select(*name, "start", F.coalesce("hits", every).alias("hits"))
+    hits = flagged.filter("NOT mixed").select(*name, "start", every.alias("hits")).unionByName(some)
+    found = hits.groupBy(name).agg(F.collect_set(F.struct("start", "hits")).alias("found"))  # rows repeated have the same
+    return named.join(found, name, "left").select("doc_id", "text", "found").mapInArrow(_remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")

@@ -41,30 +41,51 @@ def test_passages_with_edits(spark):
 
 
 @settings(max_examples=80, deadline=None)
-@given(st.lists(st.integers(0, 2), min_size=1, max_size=60), st.integers(1, 20))
-def test_longest_previous_factor(values, length):
-    data = np.array(values)
-    before, after = S.longest_previous_factor(data, length)
+@given(st.lists(st.integers(0, 2), min_size=1, max_size=60), st.integers(1, 20), st.integers(1, 3))
+def test_longest_previous_factor(values, length, step):
+    values += [0] * length
+    data, starts = np.array(values, dtype=np.uint8), np.arange(0, len(values) - length + 1, step)
+    before, after = S.longest_previous_factor(data, starts, length)
 
     def common(i, j):
-        k = 0
-        while max(i, j) + k < len(values) and values[i + k] == values[j + k] and k < length:
-            k += 1
-        return k
-
-    n = range(len(values))
-    assert before.tolist() == [max((common(i, j) for j in n if j < i), default=0) for i in n]
-    assert after.tolist() == [max((common(i, j) for j in n if j > i), default=0) for i in n]
-    whole = S.longest_previous_factor(data, length, whole=True)
+        return next((k for k in range(length) if values[i + k] != values[j + k]), length)
+
+    at = starts.tolist()
+    assert before.tolist() == [max((common(i, j) for j in at if j < i), default=0) for i in at]
+    assert after.tolist() == [max((common(i, j) for j in at if j > i), default=0) for i in at]
+    whole = S.longest_previous_factor(data, starts, length, whole=True)
     assert ((whole[0] >= length) == (before >= length)).all() and ((whole[1] >= length) == (after >= length)).all()
 
 
-def test_chunks_of_long_texts(monkeypatch):
-    text = bytes(np.random.default_rng(0).integers(97, 100, 3000, dtype=np.uint8))
-    whole = S.segments(text)
+def test_portions_of_texts(monkeypatch):
+    rng = np.random.default_rng(0)
+    texts = [bytes(rng.integers(97, 100, n, dtype=np.uint8)) for n in (3000, 0, 199, 200, 201, 711, 712, 900, 64, 5000)]
+
+    def windows():
+        found = []
+        for part in S.portions(texts):
+            assert sum(len(p) for *_, p in part) <= S.CHUNK + S.LENGTH
+            piece, _, _, start, count = S.segments([p for *_, p in part])
+            found += [(part[k][0], part[k][1] + s + j) for k, s, c in zip(piece.tolist(), start.tolist(), count.tolist()) for j in range(c)]
+        return sorted(found)
+
+    every = [(i, s) for i, t in enumerate(texts) for s in range(len(t) - 199)]
+    assert windows() == every
     monkeypatch.setattr(S, "CHUNK", 512)
-    parts = S.segments(text)
-    assert parts[3].sum() == whole[3].sum() == len(text) - 199
+    S._tables.clear()
+    assert windows() == every
+
+
+def test_hot_anchors_and_repeated_rows(spark, monkeypatch):
+    monkeypatch.setattr(S, "HOT", 3)
+    rng = np.random.default_rng(9)
+    one = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
+    phrase, passage = one(90), one(230)
+    texts = [one(150) + phrase + one(150) for _ in range(12)] + [one(90) + passage + one(90) for _ in range(12)]
+    rows = [*enumerate(texts), (0, texts[0]), (None, texts[1]), (None, texts[1]), (3, texts[2])] + [(40, texts[13])] * 30
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    found = S.remove_repeats(df).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    assert cases.key(map(tuple, found)) == cases.key((i, *r) for (i, _), r in zip(rows, brute([t.encode() for _, t in rows])))
 
 
 def test_empty(spark):
