@@ -36,8 +36,8 @@ from driftlens.llm import common as C
 LENGTH, GRAM = 200, 32
 #: Bytes hashed at a time, bytes of segments whose windows are sorted at a time, and rows of segments in a batch.
 CHUNK, SORTED, ROWS = 1 << 16, 1 << 20, 20_000
-#: Different segments under one anchor that are compared in one task.
-HOT = 256
+#: Different segments under one anchor that are compared in one task: what is sorted at a time.
+HOT = SORTED // 256
 
 BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2^64
 INVERSE = pow(BASE, -1, 1 << 64)
