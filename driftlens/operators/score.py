@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftlens.functions import chars, links, rails, similarity, urls
+from driftlens.functions import links, urls, versions
 from driftlens.functions.lookalike import deglyph, find_lookalike, near_brands
 
 
@@ -49,21 +49,17 @@ def link_score(n_links: Column, n_domains: Column, n_dangerous: Column, risk: Co
 
 
 def with_features(edits: DataFrame) -> DataFrame:
-    """Adds what the score needs. edits: approved_body, current_body, approved_links (array<string>), current_refs
-    (array<struct<href,text>>), minutes_since_approval, late_edit_hours."""
-    before, after = F.coalesce("approved_body", F.lit("")), F.coalesce("current_body", F.lit(""))
-    df = edits.withColumn("_before", before).withColumn("_after", after)
-    df = df.withColumns({f"_{form}_{side}": f(F.col(f"_{side}")) for form, f in (("nfkd", chars.nfkd), ("nfkc", chars.nfkc)) for side in ("before", "after")})
-    df = df.withColumns({f"_words_{side}": similarity.tokens(chars.match_form(f"_nfkd_{side}")) for side in ("before", "after")})
-    df = df.withColumns({f"_rails_{side}": rails.rails(chars.strip_form(f"_nfkc_{side}")) for side in ("before", "after")})
-    df = df.withColumn("change", similarity.change_profile(F.col("_words_before"), F.col("_words_after")))
-    df = df.withColumn("new_rails", F.array_except("_rails_after", "_rails_before"))
-    new = lambda f, form="": f(f"{form}_after") & ~f(f"{form}_before")
-    df = df.withColumns({"new_invisible": new(chars.contains_invisible), "new_bidi": new(chars.contains_bidi), "new_confusable": new(chars.has_confusable, "_nfkc")})
-
-    df = df.withColumn("_hrefs", F.transform("current_refs", lambda r: r["href"]))
-    df = df.withColumn("added_links", links.new_items(F.coalesce("approved_links", F.array().cast("array<string>")), F.col("_hrefs")))
-    df = df.withColumns({"_parsed": urls.parse_urls("_hrefs"), "_parsed_before": urls.parse_urls("approved_links"), "_labels": links.label_forms(F.col("current_refs"))})
+    """The rows of edits, each in one struct (edit), and beside it what the score needs. edits: approved_body,
+    current_body, approved_links (array<string>), current_refs (array<struct<href,text>>), minutes_since_approval,
+    late_edit_hours."""
+    df = edits.select(F.struct(*(F.col(f"`{c}`") for c in edits.columns)).alias("edit"))
+    df = df.withColumn("texts", versions.compared(F.col("edit.approved_body"), F.col("edit.current_body")))
+    new = lambda flag: F.col(f"texts.{flag}_after") & ~F.col(f"texts.{flag}_before")
+    df = df.withColumns({"new_rails": F.array_except("texts.rails_after", "texts.rails_before"), **{f"new_{flag}": new(flag) for flag in versions.FLAGS}})
+
+    df = df.withColumn("_refs", F.col("edit.current_refs")).withColumn("_hrefs", F.transform("_refs", lambda r: r["href"]))
+    df = df.withColumn("added_links", links.new_items(F.coalesce("edit.approved_links", F.array().cast("array<string>")), F.col("_hrefs")))
+    df = df.withColumns({"_parsed": urls.parse_urls("_hrefs"), "_parsed_before": urls.parse_urls("edit.approved_links"), "_labels": links.label_forms(F.col("_refs"))})
     df = df.withColumn("added_domains", links.new_items(links.domains_of(F.col("_parsed_before")), links.domains_of(F.col("_parsed"))))
 
     # a link: its parts, label, whether it is dangerous or new, and its registrable domain in Unicode
@@ -86,13 +82,14 @@ def with_features(edits: DataFrame) -> DataFrame:
     df = df.withColumn("lookalike", F.get(F.filter(hits, lambda h: h.isNotNull()), F.lit(0)))
     df = df.withColumn("cloaked", F.get(F.filter("_links", lambda x: links.cloaked(x["label"], x["parts"]["host"])), F.lit(0))["href"])
     df = df.withColumn("dangerous", F.transform(F.filter("_links", lambda x: x["danger"]), lambda x: F.substring_index(x["href"], ":", 1)))
-    return df.withColumn("late", (F.col("late_edit_hours") > 0) & (F.col("minutes_since_approval") > F.col("late_edit_hours") * 60))
+    return df.withColumn("late", (F.col("edit.late_edit_hours") > 0) & (F.col("edit.minutes_since_approval") > F.col("edit.late_edit_hours") * 60))
 
 
 def score_drift(edits: DataFrame) -> DataFrame:
-    """The columns of edits and link, solicitation, obfuscation, structural, score, band, signals, added_links, added_domains."""
+    """The columns of edits and link, solicitation, obfuscation, structural, score, band, signals, added_links,
+    added_domains. A column of edits with one of these names is replaced; others stay as they are."""
     df = with_features(edits)
-    net, added = 1 - F.col("change.similarity"), F.col("change.added_fraction")
+    net, added = 1 - F.col("texts.similarity"), F.col("texts.added_fraction")
     df = df.withColumns({
         "link": link_score(F.size("added_links"), F.size("added_domains"), F.size("dangerous"), F.col("max_risk"), F.col("lookalike").isNotNull(), F.col("cloaked").isNotNull()),
         "solicitation": solicitation(F.size("new_rails")), "obfuscation": obfuscation(F.col("new_invisible"), F.col("new_bidi"), F.col("new_confusable")),
@@ -115,7 +112,7 @@ def score_drift(edits: DataFrame) -> DataFrame:
         one(F.col("new_confusable"), F.lit("homoglyph (look-alike) characters added after approval")),
         one(net > 0.4, F.lit("body substantially rewritten ("), percent(net), F.lit("% net change)")),
         one(added > 0.5, percent(added), F.lit("% of current text was added after approval")),
-        one(F.col("late"), F.lit("edited ~"), F.floor(F.col("minutes_since_approval") / 60 + 0.5).cast("string"), F.lit("h after approval")),
+        one(F.col("late"), F.lit("edited ~"), F.floor(F.col("edit.minutes_since_approval") / 60 + 0.5).cast("string"), F.lit("h after approval")),
     )
     kept = ["link", "solicitation", "obfuscation", "structural", "score", "band", "signals", "added_links", "added_domains"]
-    return df.withColumn("signals", signals).select(*edits.columns, *(c for c in kept if c not in edits.columns))
+    return df.withColumn("signals", signals).select(*(F.col(f"edit.`{c}`") for c in edits.columns if c not in kept), *kept)

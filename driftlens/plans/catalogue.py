@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from driftlens.config import Settings
 from driftlens.functions import chars, dims, links, lookalike, rails, similarity, urls
+from driftlens.functions import versions as pairs
 from driftlens.operators import log, score, watch
 from driftlens.plans.edits import NOW, VERSIONS_SQL, edits, versions
 from driftlens.streaming import stateful
@@ -321,7 +322,7 @@ def bigram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {PROFILE} SELECT doc_id, round(0.5 * uni + 0.5 * bi, 6) AS similarity, round(1 - (0.5 * uni + 0.5 * bi), 6) AS content_change, round(added, 6) AS added_fraction, round(removed, 6) AS removed_fraction FROM p")
 def change_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = words(spark, sf_dir).select("doc_id", similarity.change_profile(F.col("a"), F.col("b")).alias("p"))
+    found = versions(spark, sf_dir).select("doc_id", pairs.change_profile(F.col("t"), F.col("c")).alias("p"))
     return found.select("doc_id", r6("p.similarity").alias("similarity"), r6(1 - F.col("p.similarity")).alias("content_change"), r6("p.added_fraction").alias("added_fraction"), r6("p.removed_fraction").alias("removed_fraction"))
 
 

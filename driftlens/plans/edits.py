@@ -26,9 +26,16 @@ EDIT = """CASE doc_id % 12
 NOW = dt.datetime(2024, 1, 31)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table that is read in fewer parts than there are cores (a small one), dealt to all of them. Larger ones stay
+    where they are: work on single rows needs no shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, t (approved), c (current)."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("doc_id", "coalesce(text, '') AS t")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("doc_id", "coalesce(text, '') AS t"))
     return docs.selectExpr("doc_id", "t", f"{EDIT} AS c")
 
 
