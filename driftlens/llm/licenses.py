@@ -1,76 +1,33 @@
 """License scan by ordered signature rules.
 
-Texts are lower-cased (A-Z) and reduced to words; rules are regular expressions over the words joined by spaces. A
-rule runs only where its keyword occurs, which stands in whatever the rule can match. Detections are resolved by
-interval: among the places found, a detection inside (or equal to) another of the same or higher priority is
-suppressed; longer ones win, then rule order.
+Texts are lower-cased (A-Z) and reduced to words; rules (license_rules.py) are regular expressions, written by hand,
+over the words joined by spaces. A rule runs only where its keyword occurs, which stands in whatever the rule can
+match. Detections are resolved by interval: among the places found, a detection inside (or equal to) another of the
+same or higher priority is suppressed; longer ones win, then rule order.
 
-Defined results: null or text without words gives zero words, no labels and score 0; a place is counted for each
+Defined results: null text or text without words gives zero words, no labels and score 0; a place is counted for each
 base phrase; rows repeated each get a row; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftlens.llm import common as C
+from driftlens.llm.license_rules import MACROS, RULES
 
 # Phrases whose every place is counted, and their labels.
 BASE = [("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc")]
 
-# Label, keyword that must occur, and how the license's name is written (words, as a pattern).
-NAMES = [
-    ("mit", "mit", "(?:the )?mit"), ("apache-2", "apache", "apache(?: software)?(?: license)?(?: version)? 2(?: 0)?"),
-    ("apache-1.1", "apache", "apache(?: software)?(?: license)?(?: version)? 1 1"), ("gpl-2", "general public", "gnu general public(?: license)?(?: version)? v?2(?: 0)?"),
-    ("gpl-3", "general public", "gnu general public(?: license)?(?: version)? v?3(?: 0)?"), ("lgpl-2.1", "lesser general", "gnu lesser general public(?: license)?(?: version)? v?2 1"),
-    ("lgpl-3", "lesser general", "gnu lesser general public(?: license)?(?: version)? v?3(?: 0)?"), ("agpl-3", "affero", "gnu affero general public(?: license)?(?: version)? v?3(?: 0)?"),
-    ("bsd-2", "bsd", "(?:simplified bsd|bsd 2 clause|2 clause bsd|freebsd)"), ("bsd-3", "bsd", "(?:new bsd|modified bsd|bsd 3 clause|3 clause bsd|revised bsd)"),
-    ("bsd-4", "bsd", "(?:original bsd|bsd 4 clause|4 clause bsd)"), ("isc", "isc", "isc"), ("mpl-2", "mozilla", "mozilla public(?: license)?(?: version)? v?2(?: 0)?"),
-    ("mpl-1.1", "mozilla", "mozilla public(?: license)?(?: version)? v?1 1"), ("epl-1", "eclipse", "eclipse public(?: license)?(?: version)? v?1(?: 0)?"),
-    ("epl-2", "eclipse", "eclipse public(?: license)?(?: version)? v?2(?: 0)?"), ("cddl-1", "development and distribution", "common development and distribution(?: license)?(?: version)?(?: 1(?: 0)?)?"),
-    ("cc0", "cc0", "cc0(?: 1 0)?"), ("cc0", "creative commons zero", "creative commons zero(?: 1 0)?"), ("cc-by", "cc by", "cc by(?: [1-4] 0)?(?! [ns][cda]\\b)"), ("cc-by-sa", "cc by sa", "cc by sa(?: [1-4] 0)?"),
-    ("cc-by-nd", "cc by nd", "cc by nd(?: [1-4] 0)?"), ("cc-by-nc", "cc by nc", "cc by nc(?: [1-4] 0)?(?! [ns][da]\\b)"), ("cc-by-nc-sa", "cc by nc sa", "cc by nc sa(?: [1-4] 0)?"),
-    ("cc-by-nc-nd", "cc by nc nd", "cc by nc nd(?: [1-4] 0)?"), ("unlicense", "unlicense", "unlicense"), ("wtfpl", "what the fuck", "do what the fuck you want to public"),
-    ("zlib", "zlib", "zlib(?: libpng)?"), ("boost-1", "boost", "boost software(?: license)?(?: version)? 1(?: 0)?"), ("artistic-2", "artistic", "artistic(?: license)?(?: version)? 2(?: 0)?"),
-    ("artistic-1", "artistic", "artistic(?: license)?(?: version)? 1(?: 0)?"), ("eupl-1.2", "european union public", "european union public(?: licence| license)?(?: version)? v?1 2"), ("ofl-1.1", "open font", "sil open font(?: license)?(?: version)? 1 1"),
-    ("odbl-1", "open database", "open database(?: license)?(?: version)?(?: v?1(?: 0)?)?"), ("odc-by-1", "open data commons attribution", "open data commons attribution(?: license)?(?: version)?(?: v?1(?: 0)?)?"), ("pddl-1", "public domain dedication", "public domain dedication and(?: license)?(?: version)?(?: v?1(?: 0)?)?"),
-    ("psf-2", "python software", "python software foundation(?: license)?(?: version)?(?: 2(?: 0)?)?"), ("ruby", "ruby", "ruby"), ("php-3.01", "php", "php(?: license)?(?: version)? 3 0?1"),
-    ("postgresql", "postgresql", "postgresql"), ("openssl", "openssl", "openssl"), ("ms-pl", "microsoft public", "microsoft public"), ("ms-rl", "microsoft reciprocal", "microsoft reciprocal"),
-    ("cecill-2.1", "cecill", "cecill(?: license)?(?: version)? v?2 1"), ("gfdl-1.3", "free documentation", "gnu free documentation(?: license)?(?: version)? v?1 3"), ("rail", "rail", "(?:creativeml )?open rail(?: m)?"),
-    ("llama", "llama", "llama [234] community"), ("proprietary", "proprietary", "(?:a )?proprietary"), ("elastic-2", "elastic", "elastic(?: license)? 2(?: 0)?"), ("sspl-1", "server side public", "server side public(?: license)?(?: version)?(?: v?1)?"), ("bsl-1.1", "business source", "business source(?: license)?(?: version)?(?: 1 1)?"),
-]
-
-# The usual short forms of names, in the same way.
-SHORT = [
-    ("gpl-2", "gpl", "(?<!lesser )(?<!library )(?<!affero )(?:gpl(?: version)? v?|gplv)2(?: 0)?"), ("gpl-3", "gpl", "(?<!lesser )(?<!library )(?<!affero )(?:gpl(?: version)? v?|gplv)3(?: 0)?"),
-    ("lgpl-2.1", "gpl", "(?:lgplv|(?:lgpl|lesser gpl)(?: version)? v?)2 1"), ("lgpl-3", "gpl", "(?:lgplv|(?:lgpl|lesser gpl)(?: version)? v?)3(?: 0)?"), ("agpl-3", "gpl", "(?:agplv|(?:agpl|affero gpl)(?: version)? v?)3(?: 0)?"),
-    ("mpl-2", "mpl", "mpl(?: version)? v?2(?: 0)?"), ("mpl-1.1", "mpl", "mpl(?: version)? v?1 1"), ("epl-1", "epl", "epl(?: version)? v?1(?: 0)?"), ("epl-2", "epl", "epl(?: version)? v?2(?: 0)?"), ("cddl-1", "cddl", "cddl(?: version)?(?: v?1(?: 0)?)?"),
-    ("wtfpl", "wtfpl", "wtfpl"), ("boost-1", "bsl", "bsl 1 0"), ("bsl-1.1", "bsl", "bsl 1 1"), ("bsl-1.1", "busl", "busl 1 1"), ("eupl-1.2", "eupl", "eupl(?: version)? v?1 2"), ("ofl-1.1", "ofl", "(?:sil )?ofl(?: version)? v?1 1"),
-    ("odbl-1", "odbl", "odbl(?: v?1(?: 0)?)?"), ("gfdl-1.3", "gfdl", "gfdl(?: version)? v?1 3"), ("sspl-1", "sspl", "sspl(?: v?1(?: 0)?)?"),
-]
-
-# How a name (or, from the label, an identifier) is used (pattern), the priority and the confidence; more certain uses first.
-USES = [
-    ("spdx license identifier IDENTIFIER(?: 0)?(?: clause)?(?: only| or later)?", 0, 1.0), ("(?:licensed|released|distributed|available|published|made available) (?:under|by) (?:the )?(?:terms of )?(?:the )?NAME(?: licen[cs]e)?(?: version [0-9](?: [0-9])?)?", 1, 0.95),
-    ("(?:under|per|subject to) (?:the )?(?:terms (?:and conditions )?of )?(?:the )?NAME licen[cs]e(?: version [0-9](?: [0-9])?)?", 2, 0.9), ("licen[cs]e (?:is )?(?:the )?NAME", 3, 0.8), ("NAME licen[cs]e(?:d)?(?: version [0-9](?: [0-9])?)?", 4, 0.7), ("NAME", 5, 0.5),
-]
-# Licenses whose bare name is also an ordinary word; the last use doesn't hold for them.
-ORDINARY = {"mit", "isc", "ruby", "zlib", "rail", "proprietary", "postgresql", "openssl", "unlicense", "cc-by"}
-
-# Phrases of whole license texts, by hand.
-PHRASES = [
-    ("mit", "permission is hereby granted free of charge", "permission is hereby granted free of charge to any person obtaining a copy", 0.9), ("bsd", "redistribution and use", "redistribution and use in source and binary forms", 0.8),
-    ("isc", "permission to use copy modify", "permission to use copy modify and or distribute this software", 0.8), ("gpl", "free software you can redistribute", "free software you can redistribute it and or modify", 0.8),
-    ("public-domain", "public domain", "(?:released into|dedicated to|in) the public domain", 0.7), ("all-rights-reserved", "all rights reserved", "all rights reserved", 0.6),
-]
-
 
 @dataclass(frozen=True)
 class Rule:
@@ -83,12 +40,18 @@ class Rule:
 
 @cache
 def rules() -> list[Rule]:
-    """Every use of every name, and the phrases, in order of priority."""
-    whole = lambda p: re.compile(rb"(?<![^ ])" + p.encode() + rb"(?![^ ])")
-    found = [Rule(label, (b"spdx" if "spdx" in use else word.encode()), whole(use.replace("NAME", name).replace("IDENTIFIER", re.sub("[^a-z0-9]", " ", label))), priority, sure) for use, priority, sure in USES for label, word, name in NAMES + SHORT if not (use == "NAME" and label in ORDINARY)]
-    found += [Rule(label, word.encode(), whole(pattern), 2, sure) for label, word, pattern, sure in PHRASES]
-    once = {(r.label, r.pattern.pattern): r for r in reversed(found)}  # names of one license share its identifier
-    return sorted((r for r in found if once[r.label, r.pattern.pattern] is r), key=lambda r: r.priority)
+    """The rules in order of priority, then as written. A pattern begins with the space before its first word."""
+    found, label = [], ""
+    for line in filter(str.strip, RULES.splitlines()):
+        if not line.startswith(" "):
+            label = line.strip()
+            continue
+        about, pattern = line.split(" | ")
+        priority, sure, keyword = about.split(maxsplit=2)
+        for name, text in MACROS.items():
+            pattern = pattern.replace("{%s}" % name, text)
+        found.append(Rule(label, keyword.encode(), re.compile(f" {pattern.strip()}(?= )".encode()), int(priority), float(sure)))
+    return sorted(found, key=lambda r: r.priority)
 
 
 @cache
@@ -99,15 +62,24 @@ def by_keyword() -> list[tuple[bytes, list[tuple[int, Rule]]]]:
     return list(found.items())
 
 
+def suppressed(found: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """Of detections (start, end, priority, rule) those that lie in no other of the same or higher priority. For each
+    priority one sweep from the left, outer ones first, with the furthest end so far."""
+    left = []
+    for priority in sorted({d[2] for d in found}):
+        furthest = -1
+        for d in sorted((d for d in found if d[2] <= priority), key=lambda d: (d[0], -d[1], d[2], d[3])):
+            if d[2] == priority and d[1] > furthest:
+                left.append(d)
+            furthest = max(furthest, d[1])
+    return left
+
+
 def detections(joined: bytes) -> list[tuple[int, int, Rule]]:
     """What is left (start, end, rule; in bytes) after suppression."""
-    found = [(m.start(), m.end(), i, r) for word, own in by_keyword() if word in joined for i, r in own for m in r.pattern.finditer(joined)]
-    found.sort(key=lambda d: (d[3].priority, -(d[1] - d[0]), d[2], d[0]))
-    left: list[tuple[int, int, int, Rule]] = []
-    for d in found:
-        if not any(k[0] <= d[0] and d[1] <= k[1] for k in left):
-            left.append(d)
-    return [(a, b, r) for a, b, _, r in left]
+    padded = b" " + joined + b" "
+    found = [(m.start(), m.end() - 1, r.priority, i) for word, own in by_keyword() if word in joined for i, r in own for m in r.pattern.finditer(padded)]
+    return [(a, b, rules()[i]) for a, b, _, i in suppressed(found)] if found else []
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,18 +89,17 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text in C.bytes_of(batch):
             words = C.words_of(text)
             joined = b" ".join(words)
-            places = []
+            places, kept = [], detections(joined)
             for phrase, label in BASE:
                 needle, at = phrase.encode(), -1
                 while (at := joined.find(needle, at + 1)) >= 0:
                     end = at + len(needle)
                     if (at == 0 or joined[at - 1] == 32) and (end == len(joined) or joined[end] == 32):
-                        places.append((joined.count(b" ", 0, at), label))
-            base = {label for _, label in places}
-            kept = detections(joined)
+                        places.append((at, label))
+            begins = list(accumulate((len(w) + 1 for w in words), initial=0)) if places or kept else []  # byte each word begins at
+            starts, base = [bisect_left(begins, at) for at, _ in places], {label for _, label in places}
             score = max([0.95 * bool(base), *(r.confidence for _, _, r in kept)])
-            spans = ",".join(f"{joined.count(b' ', 0, a)}:{joined.count(b' ', 0, b) + 1}:{r.label}" for a, b, r in sorted(kept, key=lambda d: d[:2]))
-            starts = [p for p, _ in places]
+            spans = ",".join(f"{bisect_left(begins, a)}:{bisect_left(begins, b)}:{r.label}" for a, b, r in sorted(kept, key=lambda d: d[:2]))
             rows.append((len(words), len(places), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(base | {r.label for _, _, r in kept})), score, spans))
         columns = list(zip(*rows)) or [()] * 8
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, f.type) for c, f in zip(columns, list(schema)[1:]))], schema=schema)

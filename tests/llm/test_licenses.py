@@ -1,4 +1,8 @@
 import re
+import time
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from driftlens.llm import licenses as L
 
@@ -45,15 +49,36 @@ SHORT = [
 ]
 
 
+def brute(found):
+    """Suppression by the definition: detections (start, end, priority, rule)."""
+    outer = lambda k, d: k[2] <= d[2] and k[0] <= d[0] and d[1] <= k[1] and ((k[0], -k[1], k[2], k[3]) < (d[0], -d[1], d[2], d[3]))
+    return [d for d in found if not any(outer(k, d) for k in found)]
+
+
 def ungated(text):
     """Labels by all rules, whatever words a text holds."""
-    joined = b" ".join(L.C.words_of(text.encode()))
-    found = sorted(((m.start(), m.end(), i, r) for i, r in enumerate(L.rules()) for m in r.pattern.finditer(joined)), key=lambda d: (d[3].priority, d[0] - d[1], d[2], d[0]))
-    left = []
-    for d in found:
-        if not any(k[0] <= d[0] and d[1] <= k[1] for k in left):
-            left.append(d)
-    return {r.label for *_, r in left}
+    joined = b" " + b" ".join(L.C.words_of(text.encode())) + b" "
+    found = [(m.start(), m.end(), r.priority, i) for i, r in enumerate(L.rules()) for m in r.pattern.finditer(joined)]
+    return {L.rules()[i].label for *_, i in brute(found)}
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 12), st.integers(1, 6), st.integers(0, 3)), max_size=25))
+def test_suppression_against_its_definition(drawn):
+    found = [(a, a + n, p, i) for i, (a, n, p) in enumerate(drawn)]
+    assert sorted(L.suppressed(found)) == sorted(brute(found))
+
+
+def test_a_megabyte_of_license_lines():
+    lines = [*(t for t, _ in SHORT), "Licensed under the Apache License, Version 2.0; all rights reserved.", "released under the MIT license", "GNU General Public License v2 or later"]
+    text = (". ".join(lines) + "\n").encode()
+    text *= (1 << 20) // len(text)
+    began = time.time()
+    batch = L.pa.RecordBatch.from_pydict({"doc_id": [1], "text": [text.decode()]})
+    row = next(L._scan(iter([batch]))).to_pylist()[0]
+    assert time.time() - began < 12 and row["n_base"] == text.lower().count(b"under the mit license") + text.lower().count(b"apache license, version 2")
+    last = row["detections"].split(",")[-1].split(":")
+    assert int(last[1]) == row["n_words"] and last[2] == "gpl-2"
 
 
 def test_every_rule_runs_where_it_can_match(spark):
