@@ -1,16 +1,18 @@
 """Benchmark decontamination by SimHash over item-sized windows.
 
 A window of as many words as a benchmark item has is fingerprinted from its five-word shingles (weighted by how
-often they occur). The items' fingerprints stand in a multi-index: four blocks of 16 bits, each listed under every
-value within 4 bits, so that any fingerprint within 19 bits of an item's is met under some block. What is met within
-that radius is verified by the exact weighted Jaccard similarity of the shingles, at least 0.8.
-
-A window can only pass if eight ninths of its shingles are some of the item's (less where the document is shorter than
-the item), whatever their order, so windows are made at all starts where as many stand, and at no others. Their
-fingerprints and shared shingles are counted sliding from start to start. Items are taken in blocks of ITEMS, each block's index
-is broadcast and its size bounded; every document is read against every block.
-
-Defined results: null text and items without words match nothing; texts or items of fewer than five words are one
+often they occur), for each length that items have, by sums of bits up to each shingle. The items' fingerprints stand
+in a multi-index: for each length four blocks of 16 bits, each listed under every value within 4 bits, so that any
+fingerprint within 19 bits of an item's is met under some block. What is met within that radius is verified by the
+exact weighted Jaccard similarity of the shingles, at least 0.8.
+
+A window can only pass if eight ninths of its shingles are the item's (less where the document is shorter than the
+item), so windows are made at all starts where as many shingles of whatever items stand, and at no others. The one
+thing that could be lost is a window that is as similar and yet over 19 bits away: tests/llm looks for one. Items are
+taken in blocks of ITEMS, each block's index is broadcast and its size bounded; every document is read against every
+block.
+
+Defined results: null text, items without words and items with a null item_id match nothing; texts or items of fewer than five words are one
 shingle; rows repeated each get their own rows; of equally similar windows the first is named; an empty table on
 either side gives no rows; other columns are ignored.
 """
@@ -26,6 +28,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -72,9 +75,8 @@ def shingles(h: np.ndarray, size: int = SHINGLE) -> np.ndarray:
     return s ^ s >> np.uint64(29)
 
 
-def simhash(s: np.ndarray) -> int:
-    bits = np.unpackbits(s.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(bits * 2 > len(s), bitorder="little").view("<u8")[0])
+def _block(prints: np.ndarray, b: int) -> np.ndarray:
+    return (prints >> np.uint64(16 * b) & np.uint64(0xFFFF)).astype(np.int64)
 
 
 def simhashes(s: np.ndarray, length: int) -> np.ndarray:
@@ -84,105 +86,82 @@ def simhashes(s: np.ndarray, length: int) -> np.ndarray:
     return np.packbits((sums[length:] - sums[:-length]) * 2 > length, axis=1, bitorder="little").view("<u8")[:, 0]
 
 
-def shared(s: list[int], length: int, own: Counter) -> Iterator[int]:
-    """Of each run of length shingles, how many it shares with the item's (weighted by how often they occur)."""
-    held, both = Counter(), 0
-    for k, x in enumerate(s):
-        if x in own:
-            both += held[x] < own[x]
-            held[x] += 1
-        if k >= length and (y := s[k - length]) in own:
-            held[y] -= 1
-            both -= held[y] < own[y]
-        if k >= length - 1:
-            yield both
+def simhash(s: np.ndarray) -> int:
+    bits = np.unpackbits(s.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(bits * 2 > len(s), bitorder="little").view("<u8")[0])
 
 
 @dataclass
 class Index:
     items: list[tuple[int, int, Counter, int]]  # item_id, words, shingles, fingerprint
-    starts: np.ndarray  # of each block and value, in entries
-    entries: np.ndarray  # numbers of items
-    anchors: np.ndarray  # shingles of items, sorted
-    of: np.ndarray  # item of each
-    lengths: np.ndarray  # of items, in shingles
-    short: dict[int, dict[int, list[int]]]  # items of fewer words than a shingle: by words, by hash
+    slots: np.ndarray  # length's number, block and value of each entry, ascending
+    entries: np.ndarray  # their items
+    lengths: list[int]  # different lengths of items, in shingles
+    anchors: np.ndarray  # shingles of items, ascending
+    holders: tuple[np.ndarray, np.ndarray, np.ndarray]  # where each one's items begin; the items, and how often each has it
     gate: np.ndarray  # by the last 20 bits of a shingle: some item has one
+    short: dict[int, dict[int, list[int]]]  # items of fewer words than a shingle: by words, by hash
 
     @classmethod
     def build(cls, rows: list[tuple[int, str | None]]) -> Index:
-        items, anchors, of, short = [], [], [], {}
-        for item_id, text in sorted(rows):
+        items, short, long = [], {}, []
+        for item_id, text in sorted(rows, key=lambda r: (r[0], r[1] or "")):
             s = shingles(h := hashes(C.words_of((text or "").encode())))
             if not len(s):
                 continue
             if len(h) < SHINGLE:
                 short.setdefault(len(h), {}).setdefault(int(s[0]), []).append(len(items))
             else:
-                anchors.append(np.unique(s))
-                of += [len(items)] * len(anchors[-1])
+                long.append(len(items))
             items.append((item_id, len(h), Counter(s.tolist()), simhash(s)))
+        size = np.array([items[i][1] - SHINGLE + 1 for i in long], dtype=np.int64)
+        lengths = np.unique(size)
         masks = np.array([sum(1 << b for b in bits) for n in range(RADIUS // BLOCKS + 1) for bits in combinations(range(16), n)], dtype=np.int64)
-        prints = np.array([p for *_, p in items], dtype=np.uint64)
-        slots = [((prints >> np.uint64(16 * b) & np.uint64(0xFFFF)).astype(np.int64)[:, None] ^ masks) + (b << 16) for b in range(BLOCKS)]
-        slot = np.concatenate([x.reshape(-1) for x in slots]) if items else np.zeros(0, np.int64)
-        item = np.tile(np.repeat(np.arange(len(items), dtype=np.int32), len(masks)), BLOCKS)
-        order = np.argsort(slot, kind="stable")
-        anchor = np.concatenate(anchors) if anchors else np.zeros(0, np.uint64)
-        sort = np.argsort(anchor, kind="stable")
+        prints = np.array([items[i][3] for i in long], dtype=np.uint64)
+        base = np.searchsorted(lengths, size) * BLOCKS << 16
+        slots = np.concatenate([(base + (b << 16))[:, None] + (_block(prints, b)[:, None] ^ masks) for b in range(BLOCKS)]).reshape(-1)
+        entries = np.tile(np.repeat(np.array(long, dtype=np.int32), len(masks)), BLOCKS)
+        order = np.argsort(slots, kind="stable")
+        held = sorted((x, i, c) for i in long for x, c in items[i][2].items())
+        anchor, first = np.unique(np.array([x for x, *_ in held], dtype=np.uint64), return_index=True)
+        holders = (np.append(first, len(held)), np.array([i for _, i, _ in held], dtype=np.int64), np.array([c for *_, c in held], dtype=np.int64))
         gate = np.zeros(1 << 20, dtype=bool)
         gate[(anchor & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-        return cls(items, np.searchsorted(slot[order], np.arange((BLOCKS << 16) + 1)), item[order], anchor[sort], np.array(of, dtype=np.int64)[sort], np.array([n - SHINGLE + 1 for _, n, *_ in items], dtype=np.int64), short, gate)
+        return cls(items, slots[order], entries[order], lengths.tolist(), anchor, holders, gate, short)
 
-    def within(self, fingerprint: int) -> dict[int, int]:
-        """Items within the radius, and their distances."""
-        met: set[int] = set()
+    def within(self, k: int, prints: np.ndarray) -> list[list[tuple[int, int]]]:
+        """For each fingerprint the items of the k-th length within the radius, and their distances."""
+        met: list[dict[int, int]] = [{} for _ in prints]
         for b in range(BLOCKS):
-            slot = (b << 16) + (fingerprint >> 16 * b & 0xFFFF)
-            met.update(self.entries[self.starts[slot] : self.starts[slot + 1]].tolist())
-        return {i: d for i in met if (d := (self.items[i][3] ^ fingerprint).bit_count()) <= RADIUS}
-
-    def windows(self, s: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(item, first start, last start) of windows that hold enough of an item's shingles to pass."""
-        at = np.flatnonzero(self.gate[(s & np.uint64((1 << 20) - 1)).astype(np.int64)])
-        if not len(at) or not len(self.anchors):
-            return
-        low, high = np.searchsorted(self.anchors, s[at], "left"), np.searchsorted(self.anchors, s[at], "right")
-        n = high - low
-        item = self.of[np.arange(n.sum()) + np.repeat(low - np.cumsum(n) + n, n)]
-        length = np.minimum(self.lengths, len(s))
-        need = np.ceil(SIMILAR * (length + self.lengths) / (1 + SIMILAR) - 1e-9).astype(np.int64)
-        enough = (np.bincount(item, minlength=len(self.items)) >= need)[item]
-        item, place = item[enough], np.repeat(at, n)[enough]
-        order = np.argsort(item, kind="stable")
-        item, place = item[order], place[order]
-        edge = np.flatnonzero(np.diff(item)) + 1
-        for i, p in zip(item[np.append(0, edge)].tolist() if len(item) else (), np.split(place, edge)):
-            first, last = p[: len(p) - need[i] + 1], p[need[i] - 1 :]  # of as many shingles as are needed
-            lows, highs = np.maximum(last - length[i] + 1, 0), np.minimum(first, len(s) - length[i])
-            lows, highs = lows[fit := lows <= highs], highs[fit]
-            cut = np.flatnonzero(lows[1:] > highs[:-1] + 1) + 1
-            for a, b in zip(np.split(lows, cut), np.split(highs, cut)) if len(lows) else ():
-                yield i, int(a[0]), int(b[-1])
+            slot = (k * BLOCKS + b << 16) + _block(prints, b)
+            low, high = np.searchsorted(self.slots, slot, "left"), np.searchsorted(self.slots, slot, "right")
+            for at in np.flatnonzero(high > low).tolist():
+                for i in self.entries[low[at] : high[at]].tolist():
+                    if i not in met[at] and (d := (self.items[i][3] ^ int(prints[at])).bit_count()) <= RADIUS:
+                        met[at][i] = d
+        return [sorted(m.items()) for m in met]
+
+    def windows(self, s: np.ndarray, length: int, upto: np.ndarray) -> np.ndarray:
+        """Starts of the windows that hold enough shingles of items for an item of length to pass. upto: how many such
+        shingles stand before each place."""
+        n = min(length, len(s))
+        need = int(np.ceil(SIMILAR * (n + length) / (1 + SIMILAR) - 1e-9))
+        return np.flatnonzero(upto[n:] - upto[:-n] >= need)
 
     def search(self, words: list[bytes]) -> list[tuple[int, int, int, int, float]]:
         """(item_id, start, words, distance, similarity) of the best window for each item that passes."""
         best: dict[int, tuple] = {}
         h = hashes(words)
         s = shingles(h)
-        for i, first, last in self.windows(s) if len(h) >= SHINGLE else ():
-            item_id, size, own, _ = self.items[i]
-            length = min(size - SHINGLE + 1, len(s))
-            total = length + size - SHINGLE + 1
-            for a in range(first, last + 1, CHUNK):
-                b = min(a + CHUNK - 1, last)
-                part = s[a : b + length]
-                prints = None
-                for k, both in enumerate(shared(part.tolist(), length, own)):
-                    if (j := both / (total - both)) >= SIMILAR and j > best.get(i, (0,) * 5)[4]:
-                        prints = simhashes(part, length) if prints is None else prints
-                        if (d := self.within(int(prints[k])).get(i)) is not None:
-                            best[i] = (item_id, a + k, min(size, len(h)), d, j)
+        known = self.gate[(s & np.uint64((1 << 20) - 1)).astype(np.int64)] if len(h) >= SHINGLE else np.zeros(0, bool)
+        if known.any() and len(self.anchors):
+            at = np.flatnonzero(known)
+            place = np.minimum(np.searchsorted(self.anchors, s[at]), len(self.anchors) - 1)
+            anchor = np.full(len(s), -1)
+            anchor[at] = np.where(self.anchors[place] == s[at], place, -1)
+            upto = np.concatenate(([0], np.cumsum(anchor >= 0)))
+            for k, length in enumerate(self.lengths):
+                self._compare(k, s, anchor, self.windows(s, length, upto), min(length, len(s)), best)
         for size, own in self.short.items():  # one shingle: the words themselves
             if len(h) >= size:
                 one = shingles(h, size)
@@ -191,6 +170,30 @@ class Index:
                         best.setdefault(i, (self.items[i][0], start, size, 0, 1.0))
         return [best[i] for i in sorted(best)]
 
+    def shared(self, anchors: np.ndarray) -> np.ndarray:
+        """For each item how many shingles it shares with a window, weighted by how often they occur. anchors: numbers of
+        the window's shingles among those of items, -1 for others."""
+        mine, times = np.unique(anchors[anchors >= 0], return_counts=True)
+        first, items, counts = self.holders
+        n = first[mine + 1] - first[mine]
+        at = np.arange(n.sum()) + np.repeat(first[mine] - np.cumsum(n) + n, n)
+        return np.bincount(items[at], weights=np.minimum(counts[at], np.repeat(times, n)), minlength=len(self.items))
+
+    def _compare(self, k: int, s: np.ndarray, anchor: np.ndarray, starts: np.ndarray, n: int, best: dict[int, tuple]) -> None:
+        """Fingerprints of the windows of n shingles at starts, and what the index finds for them, verified."""
+        length = self.lengths[k]
+        for part in np.split(starts, np.flatnonzero((np.diff(starts) > n) | (np.diff(starts // CHUNK) > 0)) + 1) if len(starts) else ():
+            first = int(part[0])
+            different, number = np.unique(simhashes(s[first : part[-1] + n], n)[part - first], return_inverse=True)
+            found = self.within(k, different)
+            for start, m in zip(part.tolist(), number.tolist()):
+                if found[m]:
+                    shared = self.shared(anchor[start : start + n])
+                    for i, d in found[m]:
+                        both = float(shared[i])
+                        if (j := both / (n + length - both)) >= SIMILAR and j > best.get(i, (0,) * 5)[4]:
+                            best[i] = (self.items[i][0], start, n + SHINGLE - 1, d, j)
+
 
 def _scan(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,15 +206,35 @@ def _scan(sent):
     return run
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, items: int = ITEMS) -> DataFrame:
-    """One row for each document and benchmark item that it holds: doc_id, item_id, start (word from 0), n_words,
-    hamming, similarity, of the most similar window."""
-    spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def _indexes(benchmark: DataFrame, items: int) -> Iterator[Broadcast]:
+    """One index for each block of items, by a hash of item_id; never more than one block's items on the driver."""
+    spark = benchmark.sparkSession
     benchmark = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("item_id IS NOT NULL").distinct()
     n = max(1, -(-benchmark.count() // items))
-    found = []
     for k in range(n):
         rows = [(r["item_id"], r["text"]) for r in benchmark.filter(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k).toLocalIterator()]
-        found.append(docs.mapInArrow(_scan(spark.sparkContext.broadcast(Index.build(rows))), "doc_id long, item_id long, start long, n_words long, hamming long, similarity double"))
+        yield spark.sparkContext.broadcast(Index.build(rows))
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, items: int = ITEMS) -> DataFrame:
+    """One row for each document and benchmark item that it holds: doc_id, item_id, start (word from 0), n_words,
+    hamming, similarity, of the most similar window."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    found = [docs.mapInArrow(_scan(sent), "doc_id long, item_id long, start long, n_words long, hamming long, similarity double") for sent in _indexes(benchmark, items)]
     return reduce(DataFrame.unionByName, found)
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, items: int = ITEMS) -> DataFrame:
+    """The rows of docs, all columns, that hold no benchmark item. Rows are judged where they are: no shuffle."""
+
+    def kept(sent: Broadcast):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            index: Index = sent.value
+            for batch in batches:
+                yield batch.filter(pa.array([not index.search(C.words_of(t)) for t in C.bytes_of(batch)], pa.bool_()))
+
+        return run
+
+    for sent in _indexes(benchmark, items):
+        docs = docs.mapInArrow(kept(sent), docs.schema)
+    return docs

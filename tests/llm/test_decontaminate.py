@@ -1,6 +1,9 @@
 import random
+import time
 from collections import Counter
 
+import numpy as np
+
 from driftlens.llm import common as C
 from driftlens.llm import decontaminate as D
 
@@ -59,7 +62,39 @@ def test_index_holds_everything_within_the_radius():
         fingerprint = index.items[n % len(index.items)][3]
         for b in rng.sample(range(64), rng.randint(0, 24)):
             fingerprint ^= 1 << b
-        assert index.within(fingerprint) == {i: d for i, item in enumerate(index.items) if (d := (item[3] ^ fingerprint).bit_count()) <= D.RADIUS}
+        for k, length in enumerate(index.lengths):
+            want = [(i, d) for i, item in enumerate(index.items) if item[1] - 4 == length and (d := (item[3] ^ fingerprint).bit_count()) <= D.RADIUS]
+            assert index.within(k, np.array([fingerprint], dtype=np.uint64)) == [want]
+
+
+def test_recall_of_the_radius():
+    """Windows that are similar enough, by edits of every kind, are all within the radius."""
+    one, far = random.Random(77), []
+    for n in [20, 40, 60, 90, 150, 300] * 120:
+        own = [f"v{one.randrange(3000)}" for _ in range(n)]
+        words = own[:]
+        for _ in range(one.randint(1, 1 + n // 40)):
+            k = one.randrange(len(words) - 6)
+            words[k : k + one.randint(0, 2)] = [f"u{one.randrange(999)}" for _ in range(one.randint(0, 2))]
+            if one.random() < 0.3:
+                words[k:k] = words[k : k + 6]
+        a, b = (shingles(w) for w in (words[:n], own))
+        both = (a & b).total()
+        if both / (a.total() + b.total() - both) >= 0.8:
+            x, y = (D.simhash(D.shingles(D.hashes([w.encode() for w in v]))) for v in (words[:n], own))
+            far.append((x ^ y).bit_count())
+    assert len(far) > 150 and max(far) <= D.RADIUS
+
+
+def test_a_preface_that_all_items_share():
+    one = random.Random(5)
+    preface = [f"p{k}" for k in range(40)]
+    items = [(k, " ".join(preface + [f"v{one.randrange(10**6)}" for _ in range(20 + k % 5)])) for k in range(300)]
+    index = D.Index.build(items)
+    text = " ".join(preface * 15).encode()
+    began = time.time()
+    assert index.search(C.words_of(text)) == [] and time.time() - began < 2
+    assert [h[0] for h in index.search(C.words_of(f"x y {items[7][1]} z".encode()))] == [7]
 
 
 def test_empty(spark):
