@@ -5,11 +5,12 @@ segment they agree, and in the next (round the ring) they differ in one bit at m
 segment has both errors and the two others none, or the segment before the one without an error has at most one.
 Keys are therefore an exact segment with a codeword index near the next segment: one key a segment on one side of
 the join, up to six on the other (golay.nearby). Rows that meet under a key are verified by their Hamming distance.
-Under a key only a spanning forest of the links is put out, not all pairs; components are joined afterwards.
+Under a key only a spanning forest of the links is put out, not all pairs; components of fingerprints are joined
+afterwards and named by their smallest document.
 
 Defined results: null text or text without words has fingerprint zero and is linked like any other; rows repeated
-share a component; a null doc_id gets a row but never names a component unless it is alone; an empty table gives an
-empty result; other columns are ignored.
+share a component; a row with a null doc_id links like any other but never names a component unless all of its rows
+are so; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,8 +30,8 @@ from driftlens.llm.golay import nearby
 SHINGLE, SEED, RADIUS = 3, 42, 2
 #: Bits of the fingerprint: (first, width) of each segment.
 SEGMENTS = [(0, 22), (22, 21), (43, 21)]
-#: Fingerprints under one key that are compared by scanning; beyond, they are divided by exact parts first.
-SCAN = 4096
+#: Fingerprints that are compared by scanning; more are divided by exact parts first.
+SCAN = 512
 CHUNK = 1 << 15
 
 
@@ -77,19 +78,20 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def forest(fps: np.ndarray) -> list[tuple[int, int]]:
-    """Links (positions in fps, all different) that join whatever is connected within the radius."""
-    if len(fps) > SCAN:  # three parts: two fingerprints within two bits agree in one of them
-        found = []
-        for a, n in SEGMENTS:
-            part = fps >> np.uint64(a) & np.uint64((1 << n) - 1)
-            order = np.argsort(part, kind="stable")
-            for at in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
-                if 1 < len(at) < len(fps):
-                    found += [(int(at[i]), int(at[j])) for i, j in forest(fps[at])]
-                elif len(at) == len(fps):
-                    found += _grow(fps)
-        return found
-    return _grow(fps)
+    """Links (positions in fps, all different) that join whatever is connected within the radius. Many fingerprints
+    are divided by the bits in which they differ at all: of three parts of those, two within two bits agree in one."""
+    differ = int(np.bitwise_or.reduce(fps ^ fps[0]))
+    bits = [b for b in range(64) if differ >> b & 1]
+    if len(fps) <= SCAN or len(bits) <= 6:
+        return _grow(fps)
+    found = []
+    for k in range(RADIUS + 1):
+        part = fps & np.uint64(sum(1 << b for b in bits[k :: RADIUS + 1]))
+        order = np.argsort(part, kind="stable")
+        for at in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
+            if len(at) > 1:
+                found += [(int(at[i]), int(at[j])) for i, j in forest(fps[at])]
+    return found
 
 
 def _grow(fps: np.ndarray) -> list[tuple[int, int]]:
@@ -109,7 +111,7 @@ def _grow(fps: np.ndarray) -> list[tuple[int, int]]:
 
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links among sorted rows; a key's rows may go on from batch to batch."""
-    key, fp, own = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool)
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
     def found(key, fp, own):
         start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
@@ -124,15 +126,17 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["fa", "fb"])
 
     for batch in batches:
-        key = np.concatenate((key, batch.column("key").to_numpy(zero_copy_only=False)))
-        fp = np.concatenate((fp, batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)))
-        own = np.concatenate((own, batch.column("own").to_numpy(zero_copy_only=False)))
-        if len(key) and key[0] != key[-1]:
+        if not batch.num_rows:
+            continue
+        rows = tuple(batch.column(k).to_numpy(zero_copy_only=False) for k in ("key", "fp", "own"))
+        held.append((rows[0], rows[1].view(np.uint64), rows[2]))
+        if held[0][0][0] != rows[0][-1]:  # a key has ended
+            key, fp, own = (np.concatenate(c) for c in zip(*held))
             cut = int(np.searchsorted(key, key[-1]))
             yield found(key[:cut], fp[:cut], own[:cut])
-            key, fp, own = key[cut:], fp[cut:], own[cut:]
-    if len(key):
-        yield found(key, fp, own)
+            held = [(key[cut:], fp[cut:], own[cut:])]
+    if held:
+        yield found(*(np.concatenate(c) for c in zip(*held)))
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
@@ -140,11 +144,11 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     reachable over links of at most two differing bits)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     prints = C.saved(docs.mapInArrow(_fingerprints, "doc_id long, fp long"), "fingerprints")
-    # a component is named by a fingerprint's smallest document; links are between those names
-    nodes = C.saved(prints.groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")
+    nodes = C.saved(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
     keys = nodes.select("fp").mapInArrow(_keys, "key long, fp long, own boolean")
     links = keys.repartition(C.partitions(docs.sparkSession), "key").sortWithinPartitions("key").mapInArrow(_links, "fa long, fb long").distinct()
-    named = lambda c: nodes.select(F.col("fp").alias(f"f{c}"), F.col("node").alias(c)).filter(F.col("node").isNotNull())
-    found = components(links.join(named("a"), "fa").join(named("b"), "fb").select("a", "b"))
-    named_nodes = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return prints.join(named_nodes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    found = components(links.select(F.col("fa").alias("a"), F.col("fb").alias("b")))
+    members = C.saved(nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("root")), "members")
+    names = members.groupBy("root").agg(F.min("first").alias("component_id"))  # the smallest that isn't null
+    named = members.join(names, "root").select("fp", "component_id")
+    return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

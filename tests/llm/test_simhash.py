@@ -1,5 +1,6 @@
 import itertools
 import re
+import time
 
 import numpy as np
 import xxhash
@@ -102,3 +103,36 @@ def test_long_chain(spark):
 
 def test_empty(spark):
     assert simhash.near_dedup(cases.docs(spark, [])).collect() == []
+
+
+def test_null_ids_link(spark):
+    near = "one two three four five six seven eight nine ten"
+    prints = {}
+    for i, w in enumerate(["ten", "ten eleven", "ten eleven twelve"] + [f"ten word{k}" for k in range(400)]):
+        prints[i] = (near.replace("ten", w), simhash.fingerprint(simhash.shingle_hashes(near.replace("ten", w).encode())))
+    chain = next(((a, b, c) for a in prints for b in prints for c in prints if len({prints[k][1] for k in (a, b, c)}) == 3 and (prints[a][1] ^ prints[b][1]).bit_count() <= 2 and (prints[b][1] ^ prints[c][1]).bit_count() <= 2 and (prints[a][1] ^ prints[c][1]).bit_count() > 2), None)
+    assert chain
+    rows = [(1, prints[chain[0]][0]), (None, prints[chain[1]][0]), (3, prints[chain[2]][0]), (None, "alone among others")]
+    got = {(r["doc_id"], r["component_id"]) for r in simhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, 1), (None, 1), (3, 1), (None, None)}
+
+
+def test_many_fingerprints_under_one_exact_segment():
+    rng = np.random.default_rng(3)
+    fps = np.unique(rng.integers(0, 1 << 42, 100_000, dtype=np.uint64) << np.uint64(22) | np.uint64(77))
+    fps = np.unique(np.concatenate((fps, fps[:500] ^ np.uint64(1 << 40 | 1 << 30))))
+    began = time.time()
+    links = simhash.forest(fps)
+    assert time.time() - began < 20
+    want = {(int(f), int(f ^ np.uint64(1 << 40 | 1 << 30))) for f in fps[np.isin(fps ^ np.uint64(1 << 40 | 1 << 30), fps)]}
+    assert want and all(int(fps[i] ^ fps[j]).bit_count() <= 2 for i, j in links)
+    group = {}
+
+    def root(x):
+        while group.get(x, x) != x:
+            x = group[x]
+        return x
+
+    for i, j in links:
+        group[root(int(fps[i]))] = root(int(fps[j]))
+    assert all(root(a) == root(b) for a, b in want)
