@@ -11,13 +11,13 @@ never learned from and isn't held out; an empty table gives an empty result; oth
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +34,10 @@ FAMILIES = {
     "iranian": "fa ku ps", "dravidian": "ta te kn ml", "sinitic": "zh yue", "japonic": "ja", "koreanic": "ko", "celtic": "ga cy gd br", "malayic": "id ms tl",
 }
 FAMILY = {language: family for family, languages in FAMILIES.items() for language in languages.split()}
-LETTER = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str) -> bool:
+    return any(map(str.isalpha, text))
 
 
 def vector(text: bytes) -> np.ndarray:
@@ -120,23 +123,26 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
-    """Fit on labelled documents whose remainder isn't 2, about sample of each language."""
+    """Fit on labelled documents whose remainder isn't 2, about sample of each language, twice as many at most (where
+    ids repeat)."""
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder(F.col("doc_id")) != 2))
     rates = labelled.groupBy("lang").count().select("lang", (F.lit(sample) / F.col("count") * (1 << 20)).alias("rate"))
-    # a row for each language, so small enough to send
+    rates = C.saved(rates, "rates")  # a row for each language, so small enough to send
+    most = 2 * sample * rates.count()
     chosen = labelled.join(F.broadcast(rates), "lang").filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.col("rate"))
-    rows = sorted((r["lang"], bytes(r["x"])) for r in chosen.select("lang", "text").mapInArrow(_vectors, "lang string, x binary").collect())
+    rows = sorted((r["lang"], bytes(r["x"])) for r in chosen.select("lang", "text").mapInArrow(_vectors, "lang string, x binary").limit(most).collect())
     x = np.frombuffer(b"".join(v for _, v in rows), dtype="<f2").astype(np.float32).reshape(-1, FEATURES)
     return fit(x, [k for k, _ in rows])
 
 
 def predictions(model: Model | None, batch: pa.RecordBatch) -> list[tuple[str, float]]:
     texts = batch.column("text").to_pylist()
-    return [model.predict(vector(t.encode())) if model and t and LETTER.search(t) else ("und", 0.0) for t in texts]
+    return [model.predict(vector(t.encode())) if model and t and has_letter(t) else ("und", 0.0) for t in texts]
 
 
-def _predict(model: Model | None):
+def _predict(sent: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model: Model | None = sent.value
         for batch in batches:
             languages, scores = zip(*predictions(model, batch)) if batch.num_rows else ((), ())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(languages, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
@@ -147,14 +153,15 @@ def _predict(model: Model | None):
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     """One row per document: doc_id, held_out (its remainder is 2), lang_pred, score."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(remainder(F.col("doc_id")) == 2, F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(_predict(model), "doc_id long, held_out boolean, lang_pred string, score double")
+    return docs.mapInArrow(_predict(docs.sparkSession.sparkContext.broadcast(model)), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def keep_known(docs: DataFrame, model: Model | None) -> DataFrame:
     """The rows of docs, all columns, whose language isn't und."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array([k != "und" for k, _ in predictions(model, batch)], pa.bool_()))
+            yield batch.filter(pa.array([k != "und" for k, _ in predictions(sent.value, batch)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

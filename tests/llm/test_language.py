@@ -38,3 +38,21 @@ def test_unlisted_languages_and_families():
     model = G.fit(x, ["q1"] * 20 + ["en"] * 20 + ["de"] * 20)
     assert model.families == {"germanic": ["de", "en"], "only q1": ["q1"]}
     assert [model.predict(G.vector(t))[0] for t in (b"aaa bbb ", b"ccc ddd ", b"eee fff ")] == ["q1", "en", "de"]
+
+
+def test_vote_against_brute_force():
+    rng = G.np.random.default_rng(1)
+    names = [f"k{i}" for i in range(5)]
+    machines = {(a, b): rng.normal(size=7).astype("f4") for i, a in enumerate(names) for b in names[i + 1 :]}
+    model = G.Model({"only": names}, machines)
+    for _ in range(200):
+        x = rng.normal(size=6).astype("f4")
+        duel = {(a, b): float(w[:-1] @ x + w[-1]) for (a, b), w in machines.items()}
+        margin = lambda k: sum(m if a == k else -m for (a, b), m in duel.items() if k in (a, b))
+        wins = lambda k: sum((m >= 0) == (a == k) for (a, b), m in duel.items() if k in (a, b))
+        assert model.choose(names, x)[0] == max(names, key=lambda k: (wins(k), margin(k), k))
+
+
+def test_numbers_are_not_letters():
+    assert not any(map(G.has_letter, ("½ ² Ⅷ ① 3 _", "", "...", "🙂")))
+    assert all(map(G.has_letter, ("3 a", "字", "é", "ª")))
