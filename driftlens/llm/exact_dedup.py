@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from driftlens.llm import common as C
 
-#: A memtable is flushed at this many bytes of text or documents.
-MEMTABLE_BYTES, MEMTABLE_ROWS = 64 << 20, 1 << 20
+#: A memtable is flushed at this many bytes of text or documents; documents whose digests are merged in one task, about.
+MEMTABLE_BYTES, MEMTABLE_ROWS, BUCKET_ROWS = 64 << 20, 1 << 20, 1 << 20
 
 RUN = "run long, bucket int, digests binary, starts binary, ids binary, keeps binary, sizes binary, filter binary"
 MERGED = "run long, bucket int, keep binary, size binary, mine binary, entries binary"
@@ -99,6 +99,20 @@ def memtables(n_buckets: int, digest: Callable[[bytes], bytes]):
     return run
 
 
+def merged_order(key: np.ndarray, last: np.ndarray, run: np.ndarray) -> np.ndarray:
+    """The order of digests (four words each) of sorted runs that follow one another; of one digest the least last, then
+    run, comes first. A stable sort merges runs; what agrees in the first word is put in order by the rest."""
+    order = np.argsort(key[:, 0], kind="stable")
+    first = key[order, 0]
+    tied = np.zeros(len(order), dtype=bool)
+    tied[1:] = first[1:] == first[:-1]
+    tied[:-1] |= tied[1:]
+    at = np.flatnonzero(tied)
+    part = order[at]
+    order[at] = part[np.lexsort((run[part], last[part], key[part, 3], key[part, 2], key[part, 1], key[part, 0]))]
+    return order
+
+
 def compact(runs: pd.DataFrame) -> pd.DataFrame:
     """Merge the runs of one bucket: for each entry of each run, what its digest's group keeps."""
     digests = [np.frombuffer(d, dtype=np.uint8).reshape(-1, 32) for d in runs["digests"]]
@@ -121,9 +135,7 @@ def compact(runs: pd.DataFrame) -> pd.DataFrame:
 
     keep, size, mine, entries = keeps.copy(), sizes.copy(), np.ones(len(every), dtype=bool), np.ones(len(every), dtype=np.int64)
     if len(possible):
-        key = every[possible].copy().view(">u8").reshape(-1, 4)
-        # within a digest the largest id comes first, of the first run where two have it
-        order = possible[np.lexsort((run[possible], ~keeps[possible], key[:, 3], key[:, 2], key[:, 1], key[:, 0]))]
+        order = possible[merged_order(every[possible].copy().view(">u8").astype(np.uint64).reshape(-1, 4), ~keeps[possible], run[possible])]
         new = np.ones(len(order), dtype=bool)
         new[1:] = (every[order][1:] != every[order][:-1]).any(axis=1)
         start, group = np.flatnonzero(new), np.cumsum(new) - 1
@@ -183,7 +195,7 @@ def exact_dedup(docs: DataFrame, digest: Callable[[bytes], bytes] = sha256, n_bu
     Texts are equal when identical after lower-casing A-Z; of equal texts the row with the largest doc_id stays.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    n_buckets = n_buckets or C.partitions(docs.sparkSession)
+    n_buckets = n_buckets or max(C.partitions(docs.sparkSession), docs.count() // BUCKET_ROWS)
     runs = C.saved(docs.mapInArrow(memtables(n_buckets, digest), RUN), "runs")
     merged = C.saved(runs.select("run", "bucket", "digests", "keeps", "sizes", "filter").groupBy("bucket").applyInPandas(compact, MERGED), "merged")
     entries = runs.select("run", "bucket", "digests", "keeps").join(merged.select("run", "bucket", "entries"), ["run", "bucket"]).mapInArrow(_representatives, "doc_id long, digest binary")
