@@ -3,7 +3,7 @@
 Rows without a known language go, then copies (the largest doc_id of equal texts stays), then near copies (the
 smallest doc_id of a group stays), then documents that hold a benchmark item; the rest is packed. Null text has no
 language and goes with the first stage. Rows that repeat a document whole are copies; where different texts share a
-doc_id, near copies and leaks are decided by doc_id: such rows stay or go together.
+doc_id, near copies are decided by doc_id: such rows stay or go together. Leaks are decided row by row.
 """
 
 from __future__ import annotations
@@ -23,22 +23,23 @@ def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = exact_dedup.exact_dedup(docs)
-    kept = found.filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    marked = docs.withColumn("_own", F.sha2(F.translate(F.coalesce("text", F.lit("")), common.UPPER, common.LOWER), 256))
-    left = marked.join(kept, marked["doc_id"].eqNullSafe(kept["_id"]) & (marked["_own"] == kept["_sha"]), "left_semi")
+    own = common.fresh(docs, "_own")
+    kept = found.filter("kept").select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("sha"))
+    marked = docs.withColumn(own, F.sha2(F.translate(F.coalesce("text", F.lit("")), common.UPPER, common.LOWER), 256))
+    left = marked.join(kept, marked["doc_id"].eqNullSafe(kept["id"]) & (marked[own] == kept["sha"]), "left_semi")
     if not found.filter("NOT kept AND doc_id <=> keep_id").isEmpty():  # a row that repeats the one that stays
-        left = left.withColumn("_n", F.row_number().over(W.partitionBy("doc_id", "_own").orderBy("text"))).filter("_n = 1")
-    return left.select(docs.columns)
+        n = common.fresh(left, "_n")
+        left = left.withColumn(n, F.row_number().over(W.partitionBy("doc_id", own).orderBy("text"))).filter(F.col(n) == 1)
+    return left.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    first = simhash.near_dedup(docs).filter("doc_id <=> component_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(first, docs["doc_id"].eqNullSafe(first["_id"]), "left_semi")
+    first = simhash.near_dedup(docs).filter("doc_id <=> component_id").select(F.col("doc_id").alias("id")).distinct()
+    return docs.join(first, docs["doc_id"].eqNullSafe(first["id"]), "left_semi")
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    leaks = decontaminate.find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(leaks, docs["doc_id"].eqNullSafe(leaks["_id"]), "left_anti")
+    return decontaminate.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
