@@ -113,18 +113,23 @@ class Tagger:
                     self.p[k] -= (rate * (1 - r / (rounds + 1)) * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-7)).astype(np.float32)
         return self
 
-    def decode(self, windows: np.ndarray) -> np.ndarray:
-        """The best tag sequence of each window (Viterbi)."""
-        score, p = self.scores(windows), self.p
-        n, length, _ = score.shape
-        back = np.zeros(score.shape, dtype=np.int8)
-        best = score[:, 0] + p["start"]
+    def decode(self, scores: list[np.ndarray]) -> list[np.ndarray]:
+        """The best tag sequence (Viterbi) for each sequence of emission scores (length, tags); all go side by side."""
+        p, ends = self.p, np.array([len(s) for s in scores]) - 1
+        n, length, rows = len(scores), int(ends.max()) + 1, np.arange(len(scores))
+        score = np.zeros((length, n, self.tags), np.float32)
+        for i, s in enumerate(scores):
+            score[: len(s), i] = s
+        back, last = np.zeros(score.shape, dtype=np.int8), np.zeros(n, dtype=np.int8)
+        best = score[0] + p["start"]
+        last[ends == 0] = best.argmax(1)[ends == 0]
         for t in range(1, length):
             step = best[:, :, None] + p["trans"]
-            back[:, t] = step.argmax(1)
-            best = step.max(1) + score[:, t]
-        out = np.zeros((n, length), dtype=np.int8)
-        out[:, -1] = best.argmax(1)
-        for t in range(length - 1, 0, -1):
-            out[:, t - 1] = back[np.arange(n), t, out[:, t]]
-        return out
+            back[t] = step.argmax(1)
+            best = step.max(1) + score[t]
+            if (over := ends == t).any():
+                last[over] = best[over].argmax(1)
+        out = np.zeros((length, n), dtype=np.int8)
+        for t in range(length - 1, -1, -1):
+            out[t] = np.where(ends == t, last, back[t + 1][rows, out[t + 1]] if t + 1 < length else last)
+        return [out[: e + 1, i] for i, e in enumerate(ends.tolist())]

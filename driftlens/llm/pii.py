@@ -1,13 +1,14 @@
 """Personal data: patterns for four kinds, and a trained tagger that adds spans.
 
 The tagger is a character-level bidirectional LSTM with CRF transitions (crf.py), trained in numpy on the driver
-from the patterns' spans in a bounded sample: windows of about SAMPLE_DOCS documents, WINDOWS of them at most. Every
-whole text is searched for digits and at-signs; windows of 96 characters that step by 48 are decoded wherever one is
-within 64 characters, since no kind is without them. Each character takes its tag from the window in which it stands
-most centrally, so one sequence of tags covers the text. Spans that meet a pattern's span, or that lack what their
-kind can't be without, are dropped.
-
-Defined results: null or empty text has no spans; a text without digits and at-signs isn't decoded; rows repeated
+from the patterns' spans in a bounded sample: windows of about SAMPLE_DOCS documents, WINDOWS of them at most, half of
+them with the spans written as people disguise them (DISGUISES), which no pattern finds. Every whole text is searched
+for digits and at-signs; windows of 96 characters that step by 48 are scored wherever one is within 64 characters,
+since no kind is without them. The scores of overlapping windows are averaged and one best sequence of tags is sought
+over each stretch that they cover, so spans don't break at a window's edge. Spans that meet a pattern's span, or that
+lack what their kind can't be without, are dropped.
+
+Defined results: null or empty text has no spans; a text without digits and at-signs isn't scored; rows repeated
 each get a row; if the sample holds no span, nothing is added; an empty table gives an empty result; other columns
 are ignored.
 """
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,15 +30,20 @@ from driftlens.llm.crf import Tagger
 
 KINDS = ("email", "ip", "card", "phone")
 #: The bounds of the training sample.
-SAMPLE_DOCS, WINDOWS = 8000, 1200
+SAMPLE_DOCS, WINDOWS = 8000, 1600
 WIDTH, STEP, REACH = 96, 48, 64
+#: Windows scored at a time; the longest stretch decoded as one (longer ones are cut where a character is surely outside).
+BATCH, STRETCH = 512, 4096
+
+# What is written in disguise, by kind, and how (two ways).
+DISGUISES = {0: [{"@": "(at)", ".": "(dot)"}, {"@": "[at]"}], 1: [{".": "[.]"}, {".": "(.)"}], 2: [{" ": ".", "-": "."}, {" ": "/", "-": "/"}], 3: [{"+": "00"}, {"+": "(00)"}]}
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-SIGN = re.compile(r"[0-9@]")
+SIGN = re.compile(r"[0-9@]|\(at\)|\[at\]")
 DIGITS = re.compile(r"[0-9]")
 Span = tuple[int, int, int]  # start, end, kind
 
@@ -124,7 +131,7 @@ def plausible(text: str, kind: int) -> bool:
     """What a span of the kind can't be without."""
     digits = len(DIGITS.findall(text))
     if kind == 0:
-        return bool(re.fullmatch(r"[^\s@]+@[^\s@]+\.[^\s@]+", text))
+        return bool(re.fullmatch(r"[^\s@]+(?:@|\(at\)|\[at\])[^\s@]+(?:\.|\(dot\))[^\s@]+", text))
     if kind == 1:
         parts = re.findall(r"[0-9]+", text)
         return len(parts) == 4 and all(len(p) <= 3 and int(p) <= 255 for p in parts)
@@ -133,13 +140,30 @@ def plausible(text: str, kind: int) -> bool:
     return 9 <= digits <= 15 and not re.search(r"[^\W\d_]", text)
 
 
+def disguised(text: str, spans: list[Span], how: int) -> tuple[str, list[Span]]:
+    """The text with its spans (which don't overlap) rewritten, and where they then are."""
+    parts, found, at, length = [], [], 0, 0
+    for a, b, kind in spans:
+        if a < at:
+            continue
+        new = text[a:b]
+        for old, put in DISGUISES[kind][how].items():
+            new = new.replace(old, put)
+        parts += [text[at:a], new]
+        length += a - at
+        found.append((length, length + len(new), kind))
+        length, at = length + len(new), b
+    return "".join([*parts, text[at:]]), found
+
+
 def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
         for doc_id, text in zip(C.ids_of(batch).tolist(), C.strings_of(batch)):
-            if starts := window_starts(text):
-                values, tags = classes(text), tags_of(base_spans(text), len(text))
-                rows += [(doc_id, a, cut(values, a, 129).astype("<i2").tobytes(), cut(tags, a, 0).tobytes()) for a in starts]
+            spans = base_spans(text)
+            for text, spans in [(text, spans)] + [disguised(text, spans, doc_id & 1)] * bool(spans):
+                values, tags = classes(text), tags_of(spans, len(text))
+                rows += [(doc_id, a, cut(values, a, 129).astype("<i2").tobytes(), cut(tags, a, 0).tobytes()) for a in window_starts(text)]
         columns = list(zip(*rows)) or [()] * 4
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["doc_id", "at", "x", "y"])
 
@@ -157,19 +181,61 @@ def train(docs: DataFrame, sample: int = SAMPLE_DOCS, windows: int = WINDOWS, ro
     return Tagger(130, 1 + 2 * len(KINDS)).train(x, y.astype(np.int64), rounds=rounds) if y.any() else None
 
 
+def stretches(starts: list[int], length: int) -> list[tuple[int, int]]:
+    """First and last character (exclusive) of what overlapping windows cover."""
+    found: list[list[int]] = []
+    for a in starts:
+        if found and a < found[-1][1]:
+            found[-1][1] = min(a + WIDTH, length)
+        else:
+            found.append([a, min(a + WIDTH, length)])
+    return [(a, b) for a, b in found]
+
+
+def shorter(score: np.ndarray, at: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Pieces of a stretch that begins at a place: STRETCH characters at most, cut where a character most surely lies
+    outside of any span."""
+    while len(score) > STRETCH:
+        low = STRETCH - STRETCH // 8
+        k = low + int((score[low:STRETCH, 0] - score[low:STRETCH, 1:].max(axis=1)).argmax())
+        yield at, score[:k]
+        score, at = score[k:], at + k
+    yield at, score
+
+
 def model_spans(model: Tagger, texts: list[str]) -> list[list[Span]]:
-    """Spans of the tagger in several texts; all their windows are decoded together."""
-    jobs = [(i, a) for i, t in enumerate(texts) for a in window_starts(t)]
-    values = {i: classes(texts[i]) for i, _ in jobs}
-    tags = {i: np.zeros(len(texts[i]), dtype=np.int8) for i in values}
-    for at in range(0, len(jobs), 512):
-        part = jobs[at : at + 512]
-        for (i, a), row in zip(part, model.decode(np.stack([cut(values[i], a, 129) for i, a in part]))):
-            # the middle of a window decides; the first and last window of a text also decide up to its ends
-            first, last = (a + (WIDTH - STEP) // 2 if a else 0), a + (WIDTH + STEP) // 2
-            last = len(texts[i]) if a + STEP >= len(texts[i]) else min(last, len(texts[i]))
-            tags[i][first:last] = row[first - a : last - a]
-    return [spans_of(tags[i]) if i in tags else [] for i in range(len(texts))]
+    """Spans of the tagger in several texts: window scores averaged, then decoded by stretch."""
+    found: list[list[Span]] = [[] for _ in texts]
+    jobs: list[tuple[int, int, np.ndarray, np.ndarray, list[int]]] = []  # text, first character, sums, counts, windows
+    for i, text in enumerate(texts):
+        starts = window_starts(text)
+        for a, b in stretches(starts, len(text)):
+            jobs.append((i, a, np.zeros((b - a, model.tags), np.float32), np.zeros((b - a, 1), np.float32), [s for s in starts[bisect_left(starts, a) : bisect_left(starts, b)]]))
+    values = {i: classes(texts[i]) for i in {j[0] for j in jobs}}
+    windows = [(job, s) for job in jobs for s in job[4]]
+    for at in range(0, len(windows), BATCH):
+        part = windows[at : at + BATCH]
+        for ((_, first, sums, counts, _), s), row in zip(part, model.scores(np.stack([cut(values[job[0]], s, 129) for job, s in part]))):
+            sums[s - first : s - first + WIDTH] += row[: len(sums) - (s - first)]
+            counts[s - first : s - first + WIDTH] += 1
+    pieces = sorted(((i, at, piece) for i, a, sums, counts, _ in jobs for at, piece in shorter(sums / counts, a)), key=lambda p: len(p[2]))
+    for at in range(0, len(pieces), BATCH):
+        part = pieces[at : at + BATCH]
+        for (i, first, _), tags in zip(part, model.decode([score for *_, score in part])):
+            found[i] += [(first + a, first + b, kind) for a, b, kind in spans_of(tags)]
+    return [sorted(f) for f in found]
+
+
+def groups(texts: list[str], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about that many characters, which bounds the scores held."""
+    start, held = 0, 0
+    for i, t in enumerate(texts):
+        held += len(t)
+        if held >= most:
+            yield start, i + 1
+            start, held = i + 1, 0
+    if start < len(texts):
+        yield start, len(texts)
 
 
 def _show(spans: list[Span]) -> str:
@@ -184,7 +250,7 @@ def _find(sent):
         for batch in batches:
             texts = [t if SIGN.search(t) else "" for t in C.strings_of(batch)]
             base = [base_spans(t) if t else [] for t in texts]
-            added = model_spans(model, texts) if model else [[]] * len(texts)
+            added = [s for a, b in groups(texts) for s in model_spans(model, texts[a:b])] if model else [[]] * len(texts)
             rows = []
             for text, own, more in zip(texts, base, added):
                 more = [s for s in more if plausible(text[s[0] : s[1]], s[2]) and not any(a < s[1] and s[0] < b for a, b, _ in own)]

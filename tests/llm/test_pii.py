@@ -1,3 +1,4 @@
+import itertools
 import re
 
 import numpy as np
@@ -76,3 +77,40 @@ def test_untrained_and_empty(spark):
     assert len(pii.find_pii(docs, None).collect()) == len(cases.rows())
     none = cases.docs(spark, [])
     assert pii.train(none) is None and pii.find_pii(none, None).collect() == []
+
+
+def test_decoding_against_brute_force():
+    rng = np.random.default_rng(3)
+    model = Tagger(10, 3, embed=3, hidden=3)
+    model.p["trans"], model.p["start"] = rng.normal(size=(3, 3)).astype("f4"), rng.normal(size=3).astype("f4")
+    scores = [rng.normal(size=(n, 3)).astype("f4") for n in (1, 1, 2, 5, 4, 6)]
+    for s, got in zip(scores, model.decode(scores)):
+        value = lambda y: model.p["start"][y[0]] + sum(s[t, k] for t, k in enumerate(y)) + sum(model.p["trans"][a, b] for a, b in zip(y, y[1:]))
+        assert tuple(got.tolist()) == max(itertools.product(range(3), repeat=len(s)), key=value)
+
+
+def test_stretches_cover_and_bound(monkeypatch):
+    text = ("words " * 40 + "call 12 ") * 6 + "1" * 9000
+    starts = pii.window_starts(text)
+    held = pii.stretches(starts, len(text))
+    covered = {k for s in starts for k in range(s, min(s + pii.WIDTH, len(text)))}
+    assert {k for a, b in held for k in range(a, b)} == covered and sum(b - a for a, b in held) == len(covered)
+    score = np.random.default_rng(0).normal(size=(20_000, 9)).astype("f4")
+    parts = list(pii.shorter(score, 7))
+    assert all(len(p) <= pii.STRETCH for _, p in parts) and np.array_equal(np.concatenate([p for _, p in parts]), score) and [a for a, _ in parts] == np.cumsum([7] + [len(p) for _, p in parts])[:-1].tolist()
+
+
+def test_spans_that_no_pattern_finds(spark):
+    """Disguised data of documents that weren't learned from."""
+    model = pii.train(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").filter("doc_id >= 1000 AND text IS NOT NULL").collect()}
+    spans = {i: pii.base_spans(t) for i, t in texts.items()}
+    hidden = {i: pii.disguised(texts[i], s, i & 1) for i, s in spans.items() if s}
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in hidden.items()], "doc_id long, text string").repartition(8)
+    right = added = wanted = 0
+    for r in pii.find_pii(docs, model).collect():
+        want = set(pii._show(hidden[r["doc_id"]][1]).split(",")) - set(r["base"].split(","))
+        more = set(filter(None, r["spans"].split(","))) - set(r["base"].split(","))
+        right, added, wanted = right + len(want & more), added + len(more), wanted + len(want)
+    print(f"right {right}, added {added}, disguised {wanted}")
+    assert wanted > 100 and right >= 0.6 * wanted and right >= 0.8 * added
