@@ -36,65 +36,62 @@ SEGMENTS = "shard long, segment long, first long, n_ids long, doc_ids binary, le
 SEGMENTS_ARROW = pa.schema([(c, pa.int64()) for c in ("shard", "segment", "first", "n_ids")] + [(c, pa.binary()) for c in ("doc_ids", "lengths", "offsets", "words")])
 
 
+#: How the widest of k values is found from two overlapping shorter runs: k, the shorter run, the second one's place.
+RUNS = [(2, 1, 1), (3, 2, 1), (4, 2, 2), (5, 4, 1), (6, 3, 3), (7, 4, 3), (8, 4, 4), (10, 5, 5), (12, 6, 6), (15, 8, 7), (20, 10, 10), (30, 15, 15), (60, 30, 30)]
+
+
 def _bits(values: np.ndarray) -> np.ndarray:
-    """Bits that each value needs, by table and 16-bit steps."""
-    out, rest = np.zeros(values.shape, dtype=np.int8), values.copy()
-    for step in (32, 16, 8, 4, 2, 1):
-        big = rest >= np.uint64(1) << np.uint64(step)
-        out[big] += step
-        rest[big] >>= np.uint64(step)
-    return out + (rest > 0).astype(np.int8)
+    """Bits that each value needs: the exponent of its upper or lower half, which a float holds exactly."""
+    upper = values >> np.uint64(32)
+    if not upper.any():
+        return np.frexp(values.astype(np.float64))[1].astype(np.int8)
+    lower = np.frexp((values & np.uint64(0xFFFFFFFF)).astype(np.float64))[1]
+    return np.where(upper > 0, 32 + np.frexp(upper.astype(np.float64))[1], lower).astype(np.int8)
 
 
 def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Words, and the first word of each block. All blocks take a step at a time together."""
+    """Words, and the first word of each block. All blocks choose their words a step at a time together; the words of
+    one selector are then packed at once."""
     n = -(-len(ids) // BLOCK)
     if not n:
         return np.zeros(0, dtype="<u8"), np.zeros(0, dtype="<u4")
-    pad = 128
-    values = np.zeros((n, BLOCK + pad), dtype=np.uint64)
+    values = np.zeros((n, BLOCK + 128), dtype=np.uint64)
     flat = np.zeros(n * BLOCK, dtype=np.uint64)
     flat[: len(ids)] = ids
     values[:, :BLOCK] = flat.reshape(n, BLOCK)
     size = np.full(n, BLOCK)
     size[-1] = len(ids) - (n - 1) * BLOCK
-    # the widest of the next k values, for each selector's k
-    wide = {1: _bits(values)}
-    widest = np.full((n, BLOCK), 0, dtype=np.int8)  # selector to use at each position
-    for k in range(2, 61):
-        prev, w = wide[k - 1], wide[1]
-        m = prev.copy()
-        m[:, : 1 - k] = np.maximum(prev[:, : 1 - k], w[:, k - 1 :])
-        wide[k] = m
+    wide = {1: np.zeros(values.shape, dtype=np.int8)}  # the widest of the next k values
+    wide[1][:, :BLOCK] = _bits(flat).reshape(n, BLOCK)
+    for k, shorter, second in RUNS:
+        wide[k] = wide[shorter].copy()
+        np.maximum(wide[shorter][:, :-second], wide[shorter][:, second:], out=wide[k][:, :-second])
+    selector = np.zeros((n, BLOCK), dtype=np.int8)  # to use at each position
     for s in range(15, 1, -1):
-        fits = wide[COUNTS[s]][:, :BLOCK] <= BITS[s]
-        widest[fits] = s
-    zero = np.ones((n, BLOCK), dtype=bool)
-    for a, b in ((0, 60), (60, 60)):
-        zero &= wide[b][:, a : a + BLOCK] == 0
-    widest[zero] = 1
-    at, row, words, owners = np.zeros(n, dtype=np.int64), np.arange(n), [], []
+        selector[wide[COUNTS[s]][:, :BLOCK] <= BITS[s]] = s
+    zero = wide[60] == 0
+    selector[zero[:, :BLOCK] & zero[:, 60 : 60 + BLOCK]] = 1
+    at, row, rows, places = np.zeros(n, dtype=np.int64), np.arange(n), [], []
     while len(row):
-        s = widest[row, at[row]]
-        word = s.astype(np.uint64) << np.uint64(60)
-        for k in np.unique(s):
-            here = np.flatnonzero(s == k)
-            r, p = row[here], at[row[here]]
-            if k >= 2:
-                width = np.uint64(BITS[k])
-                for j in range(COUNTS[k]):
-                    word[here] |= values[r, p + j] << (width * np.uint64(j))
-        words.append(word)
-        owners.append(row)
-        raw = row[s == 0]
-        if len(raw):
-            words.append(values[raw, at[raw]])
-            owners.append(raw)
-        at[row] += COUNTS[s]
-        row = row[at[row] < size[row]]
-    owner = np.concatenate(owners)
-    order = np.argsort(owner, kind="stable")
-    return np.concatenate(words)[order].astype("<u8"), np.searchsorted(owner[order], np.arange(n)).astype("<u4")
+        rows.append(row)
+        places.append(at)
+        at = at + COUNTS[selector[row, at]]
+        held = at < size[row]
+        row, at = row[held], at[held]
+    row, at = np.concatenate(rows), np.concatenate(places)
+    order = np.argsort(row, kind="stable")
+    row, at = row[order], at[order]
+    chosen = selector[row, at]
+    word = chosen.astype(np.uint64) << np.uint64(60)
+    for s in range(2, 16):
+        here = np.flatnonzero(chosen == s)
+        for j in range(COUNTS[s] if len(here) else 0):
+            word[here] |= values[row[here], at[here] + j] << np.uint64(BITS[s] * j)
+    raw = chosen == 0
+    place = np.cumsum(1 + raw) - 1 - raw
+    words = np.zeros(len(word) + int(raw.sum()), dtype="<u8")
+    words[place], words[place[raw] + 1] = word, values[row[raw], at[raw]]
+    return words, place[np.searchsorted(row, np.arange(n))].astype("<u4")
 
 
 def decode(words: np.ndarray, offsets: np.ndarray, n_ids: int) -> np.ndarray:
