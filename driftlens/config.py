@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 @dataclass(frozen=True)
@@ -21,4 +24,16 @@ class Settings:
             raise ValueError("the threshold lies between 0 and 1")
 
 
+def with_defaults(settings: DataFrame) -> DataFrame:
+    """Settings of communities as a table (community_id and whichever of the fields of Settings it has): what is null,
+    or an action that isn't known, takes its default."""
+    have, out = set(settings.columns), [F.col("community_id")]
+    for f in fields(Settings):
+        given = F.col(f.name) if f.name in have else F.lit(None)
+        if f.name == "action":
+            given = F.when(given.isin("requeue", "notify", "log"), given)
+        out.append(F.coalesce(given, F.lit(f.default)).alias(f.name))
+    return settings.select(*out)
+
+
 TTL_DAYS, LOG_LIMIT, READ_LIMIT, DASHBOARD_LIMIT, PAGE = 30, 200, 25, 60, 3

@@ -25,6 +25,14 @@ def events(scored: DataFrame, settings: Settings = Settings()) -> DataFrame:
     )
 
 
+def by_settings(scored: DataFrame, settings: DataFrame) -> DataFrame:
+    """Scored edits that reach their own community's threshold, with its action. settings: config.with_defaults; a
+    community that isn't listed takes the defaults."""
+    own = settings.select("community_id", F.col("threshold").alias("_threshold"), F.col("action").alias("_action"))
+    found = scored.join(own, "community_id", "left").filter(F.col("score") >= F.coalesce("_threshold", F.lit(Settings().threshold)))
+    return found.withColumn("action", F.coalesce("_action", F.lit(Settings().action))).drop("_threshold", "_action")
+
+
 def latest_per_thing(log: DataFrame) -> DataFrame:
     rest = [c for c in log.columns if c not in KEY]
     return log.groupBy(*KEY).agg(F.max_by(F.struct(*rest), "detected_at").alias("e")).select(*KEY, "e.*")

@@ -19,6 +19,11 @@ def noisy_or(*parts: Column) -> Column:
     return 1 - reduce(lambda a, b: a * b, (1 - clamp(p) for p in parts))
 
 
+def noisy_or_of(part: Column) -> Column:
+    """The same over the rows of a group, an aggregate."""
+    return 1 - F.product(1 - clamp(part))
+
+
 def band(score: Column) -> Column:
     return F.when(score >= 0.85, "high").when(score >= 0.55, "medium").when(score >= 0.30, "low").otherwise("none")
 

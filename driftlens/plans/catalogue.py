@@ -9,23 +9,13 @@ from driftlens.config import Settings
 from driftlens.functions import chars, dims, links, lookalike, rails, similarity, urls
 from driftlens.functions import versions as pairs
 from driftlens.operators import log, score, watch
+from driftlens.plans.registry import registry
 from driftlens.plans.edits import NOW, VERSIONS_SQL, edits, versions
 from driftlens.streaming import stateful
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Register a function under its name, with its SQL."""
-
-    def put(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return put
+query = registry(QUERIES, ORACLES)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -158,10 +148,12 @@ def ipv4_disguise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return every.select("doc_id", "host", urls.canonical_ipv4("host").alias("address"))
 
 
-@query()
+@query(f"""WITH {HOSTS_SQL} SELECT DISTINCT host, CASE host WHEN 'xn--pypal-4ve.com' THEN 'pаypal.com' WHEN 'xn--mnchen-3ya.de' THEN 'münchen.de' WHEN 'xn--bcher-kva.example' THEN 'bücher.example' WHEN 'xn--fsqu00a.xn--0zwm56d' THEN '例子.测试' ELSE host END AS decoded
+    FROM (SELECT host FROM hosts UNION ALL SELECT unnest(['xn--pypal-4ve.com', 'xn--mnchen-3ya.de', 'xn--!!.org', 'xn--bcher-kva.example', 'xn--fsqu00a.xn--0zwm56d']))""")
 def punycode_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Decoded hosts of pages and of spoofed ones; punycode can't be read in SQL."""
-    every = hosts(spark, sf_dir).select("host").unionByName(spark.createDataFrame([("xn--pypal-4ve.com",), ("xn--mnchen-3ya.de",), ("xn--!!.org",)], "host string")).distinct()
+    """Decoded hosts of pages and of spoofed ones, whose decodings the SQL states."""
+    odd = [("xn--pypal-4ve.com",), ("xn--mnchen-3ya.de",), ("xn--!!.org",), ("xn--bcher-kva.example",), ("xn--fsqu00a.xn--0zwm56d",)]
+    every = hosts(spark, sf_dir).select("host").unionByName(spark.createDataFrame(odd, "host string")).distinct()
     return every.select("host", F.get(urls.decode_hosts(F.array("host")), F.lit(0)).alias("decoded"))
 
 
@@ -500,8 +492,10 @@ def suffix_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dims.suffixes(spark)
 
 
-@query("SELECT 'c' || n_nationkey AS community_id FROM nation WHERE n_nationkey NOT IN (SELECT DISTINCT s_nationkey FROM supplier WHERE s_suppkey < 20)")
+@query("""SELECT 'c' || n_nationkey AS community_id, 'Driftlens watches approved content for later edits in c' || n_nationkey AS message FROM nation
+    WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier GROUP BY s_nationkey HAVING sum(s_acctbal) > 15000)""")
 def welcome_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations install; those whose suppliers hold much have been welcomed before."""
     installs = table(spark, sf_dir, "nation").select(F.concat(F.lit("c"), "n_nationkey").alias("community_id"))
-    known = table(spark, sf_dir, "supplier").filter("s_suppkey < 20").select(F.concat(F.lit("c"), "s_nationkey").alias("community_id")).distinct()
-    return watch.welcome(installs, known, "Driftlens").select("community_id")
+    rich = table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.sum("s_acctbal").alias("held")).filter("held > 15000")
+    return watch.welcome(installs, rich.select(F.concat(F.lit("c"), "s_nationkey").alias("community_id")), "Driftlens")

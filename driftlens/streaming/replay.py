@@ -2,21 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftlens.streaming.stateful import EVENTS, as_of_stream
+from driftlens.streaming.stateful import EVENTS, as_of_stream, shared_dir
 
 
 def replay(events: DataFrame, ttl_days: float, files: int = 4) -> DataFrame:
     """Writes the events as files in time order to the session's shared folder, streams them a file at a time and
     reads what came out."""
     spark = events.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="replay-")
-    path = f"{shared}/replay-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/replay-{uuid.uuid4().hex}"
     events.repartitionByRange(files, "at").sortWithinPartitions("at").write.parquet(f"{path}/in")
     # a day's lateness: files are listed by time of writing, which parallel tasks don't keep in order
     stream = spark.readStream.schema(EVENTS).parquet(f"{path}/in")

@@ -7,10 +7,11 @@ timeout, TTL after the approval.
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -47,21 +48,30 @@ def _carry(ttl_days: float):
     return run
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share. Without one a local session takes a temporary folder; a cluster,
+    whose machines don't share those, must name it."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return found or "file://" + tempfile.mkdtemp(prefix="driftlens-")
+
+
 def as_of_stream(events: DataFrame, ttl_days: float = TTL_DAYS, lateness: str = "1 day") -> DataFrame:
     """Edits of a stream of events (EVENTS; kind: approval or edit) with the approval that holds."""
     return events.withWatermark("at", lateness).groupBy(*KEY).applyInPandasWithState(_carry(ttl_days), JOINED, "approved_us long, payload string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def log_sink(path: str, limit: int = LOG_LIMIT) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: upsert by thing, keep each community's newest. Each batch writes a version of the whole log
-    (it is bounded), so a batch that is run again gives the same version."""
+    """For foreachBatch: upsert by thing, keep each community's newest. Each batch writes a version of the log (bounded
+    for each community), so a batch that is run again gives the same version. Communities are spread over the tasks."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         before = _versions(spark, path, batch_id)
         held = batch if before is None else spark.read.schema(batch.schema).parquet(f"{path}/version={before}").unionByName(batch)
         kept = log.retain(log.latest_per_thing(held), limit).drop("rank")
-        kept.select(batch.columns).coalesce(1).write.mode("overwrite").parquet(f"{path}/version={batch_id}")
+        kept.select(batch.columns).write.mode("overwrite").parquet(f"{path}/version={batch_id}")
 
     return write
 
