@@ -7,7 +7,8 @@ fingerprint within 19 bits of an item's is met under some block. What is met wit
 exact weighted Jaccard similarity of the shingles, at least 0.8.
 
 A window can only pass if eight ninths of its shingles are the item's (less where the document is shorter than the
-item), so windows are made at all starts where as many shingles of whatever items stand, and at no others. The one
+item), so windows are made at all starts where as many shingles of whatever items stand, and at no others, of the
+lengths of items with which the text shares as many. The one
 thing that could be lost is a window that is as similar and yet over 19 bits away: tests/llm looks for one. Items are
 taken in blocks of ITEMS, each block's index is broadcast and its size bounded; every document is read against every
 block.
@@ -91,6 +92,11 @@ def simhash(s: np.ndarray) -> int:
     return int(np.packbits(bits * 2 > len(s), bitorder="little").view("<u8")[0])
 
 
+def needed(length, n):
+    """Shingles that a window of n must share with an item of length to be similar enough."""
+    return np.ceil(SIMILAR * (n + length) / (1 + SIMILAR) - 1e-9)
+
+
 @dataclass
 class Index:
     items: list[tuple[int, int, Counter, int]]  # item_id, words, shingles, fingerprint
@@ -145,8 +151,7 @@ class Index:
         """Starts of the windows that hold enough shingles of items for an item of length to pass. upto: how many such
         shingles stand before each place."""
         n = min(length, len(s))
-        need = int(np.ceil(SIMILAR * (n + length) / (1 + SIMILAR) - 1e-9))
-        return np.flatnonzero(upto[n:] - upto[:-n] >= need)
+        return np.flatnonzero(upto[n:] - upto[:-n] >= needed(length, n))
 
     def search(self, words: list[bytes]) -> list[tuple[int, int, int, int, float]]:
         """(item_id, start, words, distance, similarity) of the best window for each item that passes."""
@@ -160,8 +165,12 @@ class Index:
             anchor = np.full(len(s), -1)
             anchor[at] = np.where(self.anchors[place] == s[at], place, -1)
             upto = np.concatenate(([0], np.cumsum(anchor >= 0)))
+            # no window shares more with an item than the whole text does
+            sizes = np.array([size - SHINGLE + 1 for _, size, *_ in self.items])
+            likely = set(sizes[self.shared(anchor) >= needed(sizes, np.minimum(sizes, len(s)))].tolist())
             for k, length in enumerate(self.lengths):
-                self._compare(k, s, anchor, self.windows(s, length, upto), min(length, len(s)), best)
+                if length in likely:
+                    self._compare(k, s, anchor, self.windows(s, length, upto), min(length, len(s)), best)
         for size, own in self.short.items():  # one shingle: the words themselves
             if len(h) >= size:
                 one = shingles(h, size)
