@@ -5,6 +5,8 @@ segment they agree, and in the next (round the ring) they differ in one bit at m
 segment has both errors and the two others none, or the segment before the one without an error has at most one.
 Keys are therefore an exact segment with a codeword index near the next segment: one key a segment on one side of
 the join, up to six on the other (golay.nearby). Rows that meet under a key are verified by their Hamming distance.
+A key under which very many different fingerprints meet is narrowed by bits that it doesn't fix (_spread), so that
+its rows are dealt to many tasks.
 Under a key only a spanning forest of the links is put out, not all pairs; components of fingerprints are joined
 afterwards and named by their smallest document.
 
@@ -32,7 +34,11 @@ SHINGLE, SEED, RADIUS = 3, 42, 2
 SEGMENTS = [(0, 22), (22, 21), (43, 21)]
 #: Fingerprints that are compared by scanning; more are divided by exact parts first.
 SCAN = 512
+#: A key is narrowed if it holds more fingerprints than HOT and more than one in SHARE of all rows of its level, so
+#: that at most SHARE keys (18 times as many on the first level, where a fingerprint has up to 18 rows) are broadcast.
+HOT, SHARE = 4096, 10_000
 CHUNK = 1 << 15
+ROWS, KEYED = ["key", "fp", "own", "rest"], "key long, fp long, own boolean, rest long"
 
 
 def shingle_hashes(text: bytes, size: int = SHINGLE, seed: int = SEED) -> np.ndarray:
@@ -64,7 +70,8 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, fp, own): own for the side with one key a segment, else for the side with all nearby ones."""
+    """Rows (key, fp, own, rest): own for the side with one key a segment, else for the side with all nearby ones;
+    rest has the bits that the key doesn't fix."""
     for batch in batches:
         fp = batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
         part = [(fp >> np.uint64(a) & np.uint64((1 << n) - 1)).astype(np.int64) for a, n in SEGMENTS]
@@ -74,7 +81,40 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held = codes >= 0
             held[:, 0] = True
             row, column = np.nonzero(held)
-            yield pa.RecordBatch.from_arrays([pa.array(keys[row, column]), pa.array(fp[row].view(np.int64)), pa.array(column == 0)], names=["key", "fp", "own"])
+            first, width = SEGMENTS[i]
+            rest = np.full(len(row), (1 << 64) - 1 ^ ((1 << width) - 1) << first, dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[row, column]), pa.array(fp[row].view(np.int64)), pa.array(column == 0), pa.array(rest)], names=ROWS)
+
+
+def _narrowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Three rows for each: of three parts of the rest, two fingerprints within two bits agree in one. Adds part
+    and value, which narrow the key, and takes the part's bits from the rest."""
+    for batch in batches:
+        rest = batch.column("rest").to_numpy(zero_copy_only=False)
+        for mask in np.unique(rest):
+            rows = batch.filter(pa.array(rest == mask))
+            fp = rows.column("fp").to_numpy(zero_copy_only=False)
+            bits = [b for b in range(64) if int(mask) >> b & 1]
+            for k in range(RADIUS + 1):
+                part = np.array(sum(1 << b for b in bits[k :: RADIUS + 1]), dtype=np.uint64).view(np.int64)
+                left = np.full(len(fp), mask & ~part)
+                yield pa.RecordBatch.from_arrays([*rows.columns[:3], pa.array(left), pa.array(np.full(len(fp), k)), pa.array(fp & part)], names=[*ROWS, "part", "value"])
+
+
+def _spread(keys: DataFrame, rows: int) -> DataFrame:
+    """Rows (key, fp, own) of the keys, hot ones narrowed until none is left. Ends, as a group whose rest has n bits
+    has at most 2^n fingerprints, which is no more than HOT after a few levels."""
+    done = None
+    while True:
+        limit = max(HOT, rows // SHARE)
+        hot = C.saved(keys.groupBy("key").count().filter(F.col("count") > limit).select("key"), "hot")
+        cool = (keys if hot.isEmpty() else keys.join(F.broadcast(hot), "key", "left_anti")).select("key", "fp", "own")
+        done = cool if done is None else done.unionByName(cool)
+        if hot.isEmpty():
+            return done
+        parts = keys.join(F.broadcast(hot), "key", "left_semi").mapInArrow(_narrowed, f"{KEYED}, part long, value long")
+        keys = C.saved(parts.withColumn("key", F.xxhash64("key", "part", "value")).drop("part", "value"), "narrowed")
+        rows = keys.count()
 
 
 def forest(fps: np.ndarray) -> list[tuple[int, int]]:
@@ -123,7 +163,7 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             group = np.unique(fp[a:b])
             pairs += [(int(group[i].view(np.int64)), int(group[j].view(np.int64))) for i, j in forest(group)]
         columns = list(zip(*pairs)) or [(), ()]
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["fa", "fb"])
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b"])
 
     for batch in batches:
         if not batch.num_rows:
@@ -139,15 +179,19 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield found(*(np.concatenate(c) for c in zip(*held)))
 
 
+def near_links(nodes: DataFrame) -> DataFrame:
+    """Links a, b that join whatever is connected within the radius. nodes: fp (long), each once."""
+    keys = _spread(nodes.select("fp").mapInArrow(_keys, KEYED), nodes.count())
+    return keys.repartition(C.partitions(nodes.sparkSession), "key").sortWithinPartitions("key").mapInArrow(_links, "a long, b long").distinct()
+
+
 def near_dedup(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hexadecimal digits), component_id (the smallest doc_id
     reachable over links of at most two differing bits)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     prints = C.saved(docs.mapInArrow(_fingerprints, "doc_id long, fp long"), "fingerprints")
     nodes = C.saved(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
-    keys = nodes.select("fp").mapInArrow(_keys, "key long, fp long, own boolean")
-    links = keys.repartition(C.partitions(docs.sparkSession), "key").sortWithinPartitions("key").mapInArrow(_links, "fa long, fb long").distinct()
-    found = components(links.select(F.col("fa").alias("a"), F.col("fb").alias("b")))
+    found = components(near_links(nodes))
     members = C.saved(nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("root")), "members")
     names = members.groupBy("root").agg(F.min("first").alias("component_id"))  # the smallest that isn't null
     named = members.join(names, "root").select("fp", "component_id")

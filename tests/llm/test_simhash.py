@@ -136,3 +136,31 @@ def test_many_fingerprints_under_one_exact_segment():
     for i, j in links:
         group[root(int(fps[i]))] = root(int(fps[j]))
     assert all(root(a) == root(b) for a, b in want)
+
+
+def test_hot_keys_are_narrowed(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    alike = rng.integers(0, 1 << 9, 400, dtype=np.uint64) << np.uint64(30) | rng.integers(0, 2, 400, dtype=np.uint64) << np.uint64(63)
+    fps = np.unique(np.concatenate((alike, rng.integers(0, 2**64, 50, dtype=np.uint64))))
+    want = brute(list(enumerate(fps.tolist())))
+    nodes = spark.createDataFrame([(int(f),) for f in fps.view(np.int64)], "fp long")
+    for hot, share in ((4096, 10_000), (64, 100)):
+        monkeypatch.setattr(simhash, "HOT", hot)
+        monkeypatch.setattr(simhash, "SHARE", share)
+        spread = simhash._spread(nodes.mapInArrow(simhash._keys, simhash.KEYED), nodes.count())
+        largest = spread.groupBy("key").count().agg({"count": "max"}).first()[0]
+        assert largest <= 64 if hot == 64 else largest > 64
+        links = [(r["a"], r["b"]) for r in simhash.near_links(nodes).collect()]
+        assert all(((a ^ b) & (1 << 64) - 1).bit_count() <= 2 for a, b in links)
+        at = {int(f): k for k, f in enumerate(fps.view(np.int64))}
+        parent = list(range(len(fps)))
+
+        def root(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for a, b in links:
+            x, y = root(at[a]), root(at[b])
+            parent[max(x, y)] = min(x, y)
+        assert [root(k) for k in range(len(fps))] == want
