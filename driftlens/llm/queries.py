@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftlens.llm import chat, common, decontaminate, exact_dedup, language, licenses, packing, pii, simhash, suffix_dedup, token_file
+from driftlens.llm import chat, common, decontaminate, exact_dedup, language, licenses, packing, pii, simhash, suffix_dedup, token_file, vector_codes
 
 
 def op1_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,12 +64,43 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(common.documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_file, op2_license_scan, op3_decontaminate, op4_language, op5_suffix_dedup, op6_pii, op7_chat_format, op8_simhash_near_dedup, op9_packing, op10_exact_dedup)}
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes.compress(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return coded.select("vec_id", "code", "error", "label_error", F.lit(books.sha256() if books else None).cast("string").alias("codebooks_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_file, op2_license_scan, op3_decontaminate, op4_language, op5_suffix_dedup, op6_pii, op7_chat_format, op8_simhash_near_dedup, op9_packing, op10_exact_dedup, op12_vector_codes)}
 
 _LOWER = f"translate(coalesce(text, ''), '{common.UPPER}', '{common.LOWER}')"
 _ESCAPED = "regexp_replace(replace(coalesce({0}, ''), chr(92), chr(92) || chr(92)), '<(\\||s>|/s>|<SYS>>|</SYS>>)|\\[(INST\\]|/INST\\])', '##\\0', 'g')"
 
+
+
+def _vector_codes_sql() -> str:
+    """Each round as two tables: the nearest entries, then the new ones. Whole numbers in doubles, so exact."""
+    dot = "list_inner_product"
+    steps = [
+        f"""WITH kept AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: floor({vector_codes.SCALE} * x::DOUBLE)) AS v FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        f"part AS MATERIALIZED (SELECT vec_id, label, p, v[p * len(v) // {vector_codes.PARTS} + 1:(p + 1) * len(v) // {vector_codes.PARTS}] AS x FROM kept, range({vector_codes.PARTS}) AS r(p))",
+        f"book0 AS MATERIALIZED (SELECT p, e, x AS c FROM (SELECT p, x, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e FROM part) WHERE e < {vector_codes.ENTRIES})",
+    ]
+    for k in range(vector_codes.ROUNDS + 1):
+        steps.append(f"""near{k} AS MATERIALIZED (SELECT vec_id, label, p, x, min((d, e)) AS best FROM (
+            SELECT a.*, e, {dot}(x, x) - 2 * {dot}(x, c) + {dot}(c, c) AS d FROM part a JOIN book{k} USING (p)) GROUP BY ALL)""")
+        if k < vector_codes.ROUNDS:
+            steps.append(f"""book{k + 1} AS MATERIALIZED (SELECT p, e, coalesce(n.c, b.c) AS c FROM book{k} b LEFT JOIN (
+                SELECT p, e, list(m ORDER BY i) AS c FROM (SELECT p, best[2] AS e, i, floor(sum(x[i]) / count(*)) AS m FROM near{k}, unnest(range(1, len(x) + 1)) AS u(i) GROUP BY ALL) GROUP BY p, e) n USING (p, e))""")
+    last = vector_codes.ROUNDS
+    steps.append(f"coded AS (SELECT vec_id, label, string_agg(printf('%02x', best[2]), '' ORDER BY p) AS code, sum(best[1])::BIGINT AS error FROM near{last} GROUP BY vec_id, label)")
+    return ", ".join(steps) + f"""
+        SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error,
+            (SELECT sha256(string_agg(c[i]::BIGINT::VARCHAR, ',' ORDER BY p, e, i)) FROM book{last}, unnest(range(1, len(c) + 1)) AS u(i)) AS codebooks_sha256
+        FROM coded"""
+
+
 ORACLES = {
+    "op12_vector_codes": _vector_codes_sql(),
     "op7_chat_format": f"""
         WITH rows AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
