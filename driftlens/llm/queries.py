@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftlens.llm import chat, common, decontaminate, exact_dedup, language, licenses, packing, pii, simhash, suffix_dedup, token_file, vector_codes
+from driftlens.llm import chat, common, decontaminate, exact_dedup, language, licenses, packing, pii, quality, simhash, spelling, suffix_dedup, token_file, vector_codes
 
 
 def op1_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,12 +64,21 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(common.documents(spark, sf_dir))
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.documents(spark, sf_dir)
+    return quality.score(docs, quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded, books = vector_codes.compress(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
     return coded.select("vec_id", "code", "error", "label_error", F.lit(books.sha256() if books else None).cast("string").alias("codebooks_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_file, op2_license_scan, op3_decontaminate, op4_language, op5_suffix_dedup, op6_pii, op7_chat_format, op8_simhash_near_dedup, op9_packing, op10_exact_dedup, op12_vector_codes)}
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(common.documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_file, op2_license_scan, op3_decontaminate, op4_language, op5_suffix_dedup, op6_pii, op7_chat_format, op8_simhash_near_dedup, op9_packing, op10_exact_dedup, op11_quality, op12_vector_codes, op13_spelling_variants)}
 
 _LOWER = f"translate(coalesce(text, ''), '{common.UPPER}', '{common.LOWER}')"
 _ESCAPED = "regexp_replace(replace(coalesce({0}, ''), chr(92), chr(92) || chr(92)), '<(\\||s>|/s>|<SYS>>|</SYS>>)|\\[(INST\\]|/INST\\])', '##\\0', 'g')"
@@ -99,7 +108,32 @@ def _vector_codes_sql() -> str:
         FROM coded"""
 
 
+#: The crc32 of a run behind its doc_id, bit by bit; near words by levenshtein, which counts bytes, over letters that have one each.
+_SPELLING_SQL = f"""
+    WITH RECURSIVE run AS MATERIALIZED (
+        SELECT doc_id, run, count(*) AS n FROM (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\u00c0-\u00ff]+')), '{common.UPPER}', '{common.LOWER}') AS run FROM documents)
+        WHERE length(run) >= {spelling.LEAST_LENGTH} GROUP BY ALL),
+    bytes AS (
+        SELECT *, flatten(list_transform(string_split(coalesce(doc_id::VARCHAR, '') || ':' || run, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)] ELSE [195, unicode(c) - 64] END)) AS b FROM run),
+    bits AS (SELECT doc_id, run, n, flatten(list_transform(b, lambda x: list_transform([0, 1, 2, 3, 4, 5, 6, 7], lambda k: ((x >> k) & 1)::BIGINT))) AS b FROM bytes),
+    hash AS MATERIALIZED (SELECT run, n, xor(list_reduce(list_prepend(4294967295::BIGINT, b), lambda c, k: xor(c >> 1, (xor(c, k) & 1) * 3988292384)), 4294967295) AS h FROM bits),
+    word AS MATERIALIZED (
+        SELECT word, sum(n)::BIGINT AS n FROM (
+            SELECT n, CASE WHEN h % {spelling.SPOILED} = 0 THEN left(run, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word FROM hash)
+        WHERE length(word) >= {spelling.LEAST_LENGTH} GROUP BY word HAVING sum(n) >= {spelling.LEAST_COUNT}),
+    one AS MATERIALIZED (SELECT *, length(word) AS size, translate(word, '{"".join(map(chr, range(0xC0, 0x100)))}', '{common.UPPER}{"".join(map(str, range(10)))}!#$%&()*+,-./:;<=>?@[]^_{{|}}~') AS w FROM word),
+    near AS MATERIALIZED (
+        SELECT a.word, b.word AS near, b.n AS near_n FROM one a JOIN one b ON b.size BETWEEN a.size - 1 AND a.size + 1 AND a.w <> b.w
+        WHERE (left(a.w, 3) = left(b.w, 3) OR right(a.w, 3) = right(b.w, 3)) AND levenshtein(a.w, b.w) = 1),
+    best AS (SELECT word, count(*) AS n_near, max(near_n) AS most, arg_min(near, (-near_n, near)) AS near FROM near GROUP BY word),
+    form AS MATERIALIZED (
+        SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN most >= {spelling.FACTOR} * n THEN near END AS form, CASE WHEN most >= {spelling.FACTOR} * n THEN most END AS form_n FROM word LEFT JOIN best USING (word)),
+    step AS (SELECT word, word AS root, form AS next FROM form UNION ALL SELECT s.word, f.word, f.form FROM step s JOIN form f ON s.next = f.word)
+    SELECT f.word, f.form, s.root, f.n, f.n_near, f.form_n FROM form f JOIN step s ON s.word = f.word AND s.next IS NULL"""
+
+
 ORACLES = {
+    "op13_spelling_variants": _SPELLING_SQL,
     "op12_vector_codes": _vector_codes_sql(),
     "op7_chat_format": f"""
         WITH rows AS (
