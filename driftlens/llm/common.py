@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import sys
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -73,6 +77,23 @@ def strings_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     return [s if s is not None else "" for s in batch.column(name).to_pylist()]
 
 
+@contextlib.contextmanager
+def task_memory(*held) -> Iterator[None]:
+    """Around what a task does: at its end what it has held (anything with clear()) is emptied, and freed memory goes back
+    to the system. Python workers live on from stage to stage."""
+    try:
+        yield
+    finally:
+        for h in held:
+            h.clear()
+        pa.default_memory_pool().release_unused()
+        if sys.platform == "linux":
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+
 def no_rows(schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_pylist([], schema=schema)
 

@@ -39,7 +39,8 @@ SHINGLE, SIMILAR, RADIUS = 5, 0.8, 19
 BLOCKS = 4
 #: Items in one broadcast index: some 40 KB each.
 ITEMS = 1000
-CACHED_WORDS = 1_000_000
+#: Hashes of words that a task remembers, some 15 MB.
+CACHED_WORDS = 100_000
 #: Windows fingerprinted at a time.
 CHUNK = 4096
 
@@ -47,7 +48,7 @@ FOUND = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("start", pa
 
 
 class Words(dict):
-    """64-bit hashes of words, remembered."""
+    """64-bit hashes of words, remembered while a task runs."""
 
     def __missing__(self, word: bytes) -> int:
         if len(self) > CACHED_WORDS:
@@ -207,10 +208,11 @@ class Index:
 def _scan(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: Index = sent.value
-        for batch in batches:
-            rows = [(doc_id, *hit) for doc_id, text in zip(C.ids_of(batch).tolist(), C.bytes_of(batch)) for hit in index.search(C.words_of(text))]
-            columns = list(zip(*rows)) or [()] * len(FOUND)
-            yield pa.RecordBatch.from_arrays([C.id_array(columns[0]), *(pa.array(c, f.type) for c, f in zip(columns[1:], list(FOUND)[1:]))], schema=FOUND)
+        with C.task_memory(_words):
+            for batch in batches:
+                rows = [(doc_id, *hit) for doc_id, text in zip(C.ids_of(batch).tolist(), C.bytes_of(batch)) for hit in index.search(C.words_of(text))]
+                columns = list(zip(*rows)) or [()] * len(FOUND)
+                yield pa.RecordBatch.from_arrays([C.id_array(columns[0]), *(pa.array(c, f.type) for c, f in zip(columns[1:], list(FOUND)[1:]))], schema=FOUND)
 
     return run
 
@@ -239,8 +241,9 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, items: int = ITEMS) -> Dat
     def kept(sent: Broadcast):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index: Index = sent.value
-            for batch in batches:
-                yield batch.filter(pa.array([not index.search(C.words_of(t)) for t in C.bytes_of(batch)], pa.bool_()))
+            with C.task_memory(_words):
+                for batch in batches:
+                    yield batch.filter(pa.array([not index.search(C.words_of(t)) for t in C.bytes_of(batch)], pa.bool_()))
 
         return run
 

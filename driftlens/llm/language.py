@@ -41,7 +41,7 @@ def has_letter(text: str) -> bool:
 
 
 def vector(text: bytes) -> np.ndarray:
-    """Square roots of hashed counts of 1 to 3 bytes, of length 1. The text is read in overlapping chunks."""
+    """Square roots of hashed counts of 2 and 3 bytes, of length 1. The text is read in overlapping chunks."""
     data = np.frombuffer(b" " + text.lower() + b" ", dtype=np.uint8)
     counts = np.zeros(FEATURES)
     for at in range(0, max(len(data) - 2, 1), CHUNK):
@@ -161,7 +161,8 @@ def keep_known(docs: DataFrame, model: Model | None) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array([k != "und" for k, _ in predictions(sent.value, batch)], pa.bool_()))
+        with C.task_memory():
+            for batch in batches:
+                yield batch.filter(pa.array([k != "und" for k, _ in predictions(sent.value, batch)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

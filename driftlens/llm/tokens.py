@@ -20,8 +20,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Words (and other pieces) that a worker remembers; it forgets them all when there are more. Longer ones aren't remembered.
-CACHE_WORDS, CACHE_CHARS = 1_000_000, 60
+#: Words (and other pieces) that a worker remembers, some 80 MB; it forgets them all when there are more. Longer ones aren't remembered.
+CACHE_WORDS, CACHE_CHARS = 300_000, 60
 CUT = "\x01"
 
 # Letters whose lower case and normal form are theirs alone, and the signs that may follow them.
