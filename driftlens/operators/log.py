@@ -18,10 +18,19 @@ def two_places(score: Column) -> Column:
 
 def events(scored: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Log rows of scored edits that reach the threshold."""
+    return _rows(scored.filter(F.col("score") >= settings.threshold), F.lit(settings.action))
+
+
+def events_in_force(scored: DataFrame) -> DataFrame:
+    """Log rows of scored edits that reach the threshold that goes along with them, with their action."""
+    return _rows(scored.filter(F.col("score") >= F.col("threshold")), F.col("action"))
+
+
+def _rows(scored: DataFrame, action: Column) -> DataFrame:
     cut = lambda c: F.substring(F.coalesce(c, F.lit("")), 1, EXCERPT)
-    return scored.filter(F.col("score") >= settings.threshold).select(
+    return scored.select(
         *KEY, "type", two_places(F.col("score")).alias("score"), "band", "signals", F.coalesce("approved_by", F.lit("unknown")).alias("approved_by"), F.coalesce("author", F.lit("unknown")).alias("author"),
-        F.coalesce("permalink", F.lit("")).alias("permalink"), cut("approved_body").alias("before_excerpt"), cut("current_body").alias("after_excerpt"), F.lit(settings.action).alias("action"), F.col("edited_at").alias("detected_at"),
+        F.coalesce("permalink", F.lit("")).alias("permalink"), cut("approved_body").alias("before_excerpt"), cut("current_body").alias("after_excerpt"), action.alias("action"), F.col("edited_at").alias("detected_at"),
     )
 
 

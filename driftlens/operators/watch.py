@@ -38,6 +38,41 @@ def as_of(edits: DataFrame, approvals: DataFrame, ttl_days: float = TTL_DAYS) ->
     return found.filter(live(F.col("approved_at"), F.col("edited_at"), ttl_days)).withColumn("minutes_since_approval", (F.unix_micros("edited_at") - F.unix_micros("approved_at")) / 6e7)
 
 
+def as_answered(edits: DataFrame, approvals: DataFrame, answers: DataFrame, version: str, ttl_days: float = TTL_DAYS) -> DataFrame:
+    """as_of where moderators also answer what was flagged. answers: community_id, thing_id, answered_at, answer. restore
+    approves the thing as it then stands: the last edit's version becomes the approved one (its column version; without an
+    edit since, the approved version is approved anew), approved at that time by the answer. remove ends the watch until the
+    thing is approved or restored again. Other answers change nothing. Adds baseline: what the edit is compared with
+    (approval, restore). A null version doesn't change what a thing holds.
+
+    approvals and edits both hold version, the content's column. All events of a thing pass in the order of their times, at one
+    time approvals first, then answers, then edits: two windows over one order, so one shuffle and one sort."""
+    at = ["approved_at", "answered_at", "edited_at"]
+    own = [c for c in edits.columns if c not in (*KEY, version)]
+    extra = [c for c in approvals.columns if c not in (*KEY, version)]
+    none = lambda df, names: F.lit(None).cast(df.select(F.struct(*names)).schema[0].dataType)
+    events = [
+        df.select(*KEY, F.col(time).alias("_at"), F.lit(kind).alias("_kind"), *columns)
+        for kind, (df, time, columns) in enumerate(zip((approvals, answers.filter(F.col("answer").isin("restore", "remove")), edits), at, (
+            (F.lit("approval").alias("_what"), F.struct(*extra).alias("_approval"), none(edits, own).alias("_edit"), F.col(version).alias("_version")),
+            (F.col("answer").alias("_what"), none(approvals, extra).alias("_approval"), none(edits, own).alias("_edit"), F.lit(None).cast(edits.schema[version].dataType).alias("_version")),
+            (F.lit("edit").alias("_what"), none(approvals, extra).alias("_approval"), F.struct(*own).alias("_edit"), F.col(version).alias("_version")),
+        )))
+    ]
+    every = events[0].unionByName(events[1]).unionByName(events[2])
+    order = W.partitionBy(*KEY).orderBy("_at", "_kind").rowsBetween(W.unboundedPreceding, W.currentRow)
+    # what the thing holds, and by whose approval, at each event
+    held = every.withColumns({"_holds": F.last("_version", ignorenulls=True).over(order), "_by": F.last("_approval", ignorenulls=True).over(order)})
+    base = lambda *c: F.struct(*(F.col(x).alias(name) for x, name in zip(("_at", "_what", *c), ("at", "baseline", "holds", "by"))))
+    based = F.when(F.col("_what") == "approval", base("_version", "_approval")).when(F.col("_what").isin("restore", "remove"), base("_holds", "_by"))
+    seen = held.withColumn("_base", F.last(based, ignorenulls=True).over(order)).filter("_what = 'edit' AND _base.baseline IN ('approval', 'restore') AND _base.by IS NOT NULL")
+    found = seen.select(
+        *KEY, *(F.col(f"_edit.{c}").alias(c) for c in own), F.col("_version").alias(version), *(F.col(f"_base.by.{c}").alias(c) for c in extra if c != "approved_at"),
+        F.col("_base.at").alias("approved_at"), F.col("_base.holds").alias(f"approved_{version}"), F.col("_base.baseline").alias("baseline"),
+    )
+    return found.filter(live(F.col("approved_at"), F.col("edited_at"), ttl_days))
+
+
 def watch_list(approvals: DataFrame) -> DataFrame:
     """The latest approval of each thing."""
     return approvals.groupBy(*KEY).agg(F.max("approved_at").alias("approved_at"))

@@ -409,16 +409,30 @@ def asof_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined(spark, sf_dir).select("event_id", "approval_id")
 
 
-@query(_TTL_SQL)
-def stream_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same over a stream of the events in time order, run to its end."""
+def carried(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the stream gives for the events in the order of their arrival, up to a day late, over seven runs on one checkpoint."""
     from driftlens.streaming.replay import replay
 
     both = stateful.encode(approvals(spark, sf_dir), "approval", "approved_at").unionByName(stateful.encode(clicks(spark, sf_dir), "edit", "edited_at"))
-    out = replay(both, TTL)
+    return replay(both, TTL, NOW)[0]
+
+
+@query(_TTL_SQL)
+def stream_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over a stream in which events come late and out of order."""
+    out = stateful.joined(carried(spark, sf_dir))
     return out.select(F.get_json_object("edit", "$.event_id").cast("long").alias("event_id"), F.get_json_object("approval", "$.approval_id").cast("long").alias("approval_id"))
 
 
+@query(f"""SELECT thing_id, approval_id, strftime(ends, '%Y-%m-%d %H:%M:%S.%f') AS expired FROM (
+    SELECT user_id::VARCHAR AS thing_id, event_id AS approval_id, ts + INTERVAL 3 DAY AS ends, lead(ts) OVER (PARTITION BY user_id ORDER BY ts) AS later FROM events WHERE event_type = 'signup')
+    WHERE ends <= TIMESTAMP '{NOW}' AND (later IS NULL OR later >= ends)""")
+def stream_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What runs out on the same stream, told by the state's timers."""
+    out = stateful.expired(carried(spark, sf_dir))
+    return out.select("thing_id", F.get_json_object("approval", "$.approval_id").cast("long").alias("approval_id"), F.date_format("expired_at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("expired"))
+
+
 @query(f"WITH {ASOF_SQL} SELECT event_id, round((epoch_us(edited_at) - epoch_us(approved_at)) / 6e7, 6) AS minutes, (epoch_us(edited_at) - epoch_us(approved_at)) / 6e7 > 24 * 60 AS late FROM j WHERE {_LIVE}")
 def late_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined(spark, sf_dir).select("event_id", r6("minutes_since_approval").alias("minutes"), (F.col("minutes_since_approval") > 24 * 60).alias("late"))

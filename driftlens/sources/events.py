@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftlens.config import Settings
+from driftlens.config import Settings, in_force
 from driftlens.functions.links import REFS, extract_link_refs
 from driftlens.functions.urls import parse_urls
 from driftlens.functions import links
@@ -38,12 +38,23 @@ def approvals(actions: DataFrame) -> DataFrame:
 def edits(updates: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Edited versions; comments only if they are watched."""
     found = updates.filter(F.col("thing_id").isNotNull() & ((F.col("type") == "post") | F.lit(settings.watch_comments)))
+    return _edited(found, F.lit(float(settings.late_edit_hours)))
+
+
+def _edited(found: DataFrame, late_edit_hours: Column, *also: str) -> DataFrame:
     return found.select(
         "community_id", "thing_id", "type", F.coalesce("body", F.lit("")).alias("current_body"), F.concat(extract_link_refs(F.coalesce("body", F.lit(""))), _own_url()).alias("current_refs"),
-        F.coalesce("author", "event_author", F.lit("unknown")).alias("author"), F.coalesce("permalink", F.lit("")).alias("permalink"), F.col("at").alias("edited_at"), F.lit(float(settings.late_edit_hours)).alias("late_edit_hours"),
+        F.coalesce("author", "event_author", F.lit("unknown")).alias("author"), F.coalesce("permalink", F.lit("")).alias("permalink"), F.col("at").alias("edited_at"), late_edit_hours.alias("late_edit_hours"), *also,
     )
 
 
+def edits_in_force(updates: DataFrame, settings: DataFrame) -> DataFrame:
+    """edits() where each community has settings of its own that change in time (config.in_force): comments count where they
+    are watched at the time of the edit, and late_edit_hours, threshold and action of that time go along."""
+    found = in_force(updates.filter(F.col("thing_id").isNotNull()), settings, "at").filter((F.col("type") == "post") | F.col("watch_comments"))
+    return _edited(found, F.col("late_edit_hours"), "threshold", "action")
+
+
 def json_array(column: Column) -> Column:
     """An array kept as JSON text; what can't be read is empty."""
     return F.coalesce(F.from_json(column, "array<string>"), F.array().cast("array<string>"))

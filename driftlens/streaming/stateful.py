@@ -1,8 +1,14 @@
-"""The same as-of join over a stream, and the sink of the bounded log.
+"""The same as-of join over a stream, with expiry; and the sink of the bounded log.
 
-State is one approval for each thing. Events of a micro-batch are taken in event time, approvals first where times
-are equal; a late approval never replaces a newer one. State that no edit can reach any more is dropped by event-time
-timeout, TTL after the approval.
+State is, for each thing, the approvals that an edit may still meet and the edits that wait. An edit is joined once the
+watermark has passed it, when no earlier approval can still arrive: events may come in any order within the lateness, and
+what comes out is what the batch join gives. Event-time timers wake a thing for its next edit or its next expiry; an
+approval goes when a later one holds for all edits to come or when its time is over, and an approval that ran out without
+a later one gives an expiry row. State of a thing is bounded by what arrives for it within the lateness.
+
+The last edits of a stream wait until the watermark passes them, so a source that may fall silent should send ticks: events of
+kind TICK under a key of their own. Events later than the lateness are dropped by Spark. Rows without a time are ignored;
+of two approvals of a thing at one time the one read last counts.
 """
 
 from __future__ import annotations
@@ -13,39 +19,92 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from driftlens.config import LOG_LIMIT, TTL_DAYS
 from driftlens.operators import log
 from driftlens.operators.watch import KEY
 
 EVENTS = "community_id string, thing_id string, kind string, at timestamp, payload string"
-JOINED = "community_id string, thing_id string, edited_at timestamp, approved_at timestamp, edit string, approval string"
-
-
-def _carry(ttl_days: float):
-    ttl = pd.Timedelta(days=ttl_days)
-
-    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        events = pd.concat(list(parts)).assign(order=lambda e: (e["kind"] != "approval").astype(int)).sort_values(["at", "order"], kind="stable")
-        at, held = (pd.Timestamp(state.get[0], unit="us"), state.get[1]) if state.exists else (None, None)
-        rows = []
-        for e in events.itertuples():
-            if e.kind == "approval":
-                if at is None or e.at >= at:
-                    at, held = e.at, e.payload
-            elif at is not None and at <= e.at < at + ttl:
-                rows.append((*key, e.at, at, e.payload, held))
-        if at is not None:
-            state.update((at.value // 1000, held))
-            state.setTimeoutTimestamp(max(at.value // 1_000_000 + int(ttl.total_seconds() * 1000), state.getCurrentWatermarkMs() + 1))
-        if rows:
-            yield pd.DataFrame(rows, columns=["community_id", "thing_id", "edited_at", "approved_at", "edit", "approval"])
-
-    return run
+APPROVAL, EDIT, TICK = "approval", "edit", "tick"
+_OUT = "community_id string, thing_id string, kind string, at_us long, approved_us long, edit string, approval string"
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class AsOf(StatefulProcessor):
+    """Approvals and edits of one thing, in event time. Times are microseconds."""
+
+    def __init__(self, ttl_us: int):
+        self.ttl = ttl_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.approvals = handle.getMapState("approvals", "at long", "payload string")
+        self.edits = handle.getListState("edits", "at long, payload string")
+        self.wake = handle.getValueState("wake", "at long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        due = []
+        for part in rows:
+            part = part[part["at_us"].notna()]
+            for at, payload in part.loc[part["kind"] == APPROVAL, ["at_us", "payload"]].itertuples(index=False, name=None):
+                self.approvals.updateValue((int(at),), (payload,))
+                due.append(int(at) + self.ttl)
+            waiting = [(int(at), payload) for at, payload in part.loc[part["kind"] == EDIT, ["at_us", "payload"]].itertuples(index=False, name=None)]
+            if waiting:
+                self.edits.appendList(waiting)
+                due.append(min(at for at, _ in waiting))
+        self._wake_at(min(due, default=None))
+        return iter(())
+
+    def _wake_at(self, at: int | None) -> None:
+        """One timer a thing, for the earliest time it waits for."""
+        now = self.wake.get() if self.wake.exists() else None
+        if at is not None and (now is None or at < now[0]):
+            if now is not None:
+                self.handle.deleteTimer(_timer(now[0]))
+            self.handle.registerTimer(_timer(at))
+            self.wake.update((at,))
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        self.wake.clear()
+        approvals = sorted((at[0], payload[0]) for at, payload in self.approvals.iterator())
+        waiting = sorted(self.edits.get(), key=lambda e: e[0])
+        out, k, ready = [], -1, 0
+        for at, edit in waiting:
+            if at > passed:
+                break
+            ready += 1
+            while k + 1 < len(approvals) and approvals[k + 1][0] <= at:
+                k += 1
+            if k >= 0 and at < approvals[k][0] + self.ttl:
+                out.append((*key, EDIT, at, approvals[k][0], edit, approvals[k][1]))
+        ends = []
+        for (at, approval), later in zip(approvals, [a[0] for a in approvals[1:]] + [None]):
+            end = at + self.ttl
+            ran_out = end <= passed and (later is None or later >= end)
+            if ran_out:
+                out.append((*key, "expiry", end, at, None, approval))
+            if end <= passed or (later is not None and later <= passed):
+                self.approvals.removeKey((at,))
+            else:
+                ends.append(end)
+        if ready == len(waiting):
+            self.edits.clear()
+        elif ready:
+            self.edits.put(waiting[ready:])
+        self._wake_at(min([at for at, _ in waiting[ready : ready + 1]] + ends, default=None))
+        if out:
+            yield pd.DataFrame(out, columns=[*KEY, "kind", "at_us", "approved_us", "edit", "approval"])
+
+    def close(self) -> None:
+        pass
+
+
+def _timer(at_us: int) -> int:
+    """Milliseconds, rounded up: when a watermark of so much has passed, no event at at_us or before can come."""
+    return -(-at_us // 1000)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -57,9 +116,28 @@ def shared_dir(spark: SparkSession) -> str:
     return found or "file://" + tempfile.mkdtemp(prefix="driftlens-")
 
 
+def carry(events: DataFrame, ttl_days: float = TTL_DAYS, lateness: str = "1 day") -> DataFrame:
+    """Both kinds of result of a stream of events (EVENTS): edits with the approval that held, and expiries. State is kept in
+    RocksDB, which timers need; a session with another provider is set to it."""
+    if events.sparkSession.conf.get("spark.sql.streaming.stateStore.providerClass", "") != _ROCKSDB:
+        events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKSDB)
+    timed = events.withWatermark("at", lateness).withColumn("at_us", F.unix_micros("at"))
+    return timed.groupBy(*KEY).transformWithStateInPandas(AsOf(round(ttl_days * 86400_000_000)), _OUT, "Append", "EventTime")
+
+
+def joined(carried: DataFrame) -> DataFrame:
+    """Edits with the approval that held."""
+    return carried.filter(F.col("kind") == EDIT).select(*KEY, F.timestamp_micros("at_us").alias("edited_at"), F.timestamp_micros("approved_us").alias("approved_at"), "edit", "approval")
+
+
+def expired(carried: DataFrame) -> DataFrame:
+    """Approvals that ran out before a later one came."""
+    return carried.filter(F.col("kind") == "expiry").select(*KEY, F.timestamp_micros("approved_us").alias("approved_at"), F.timestamp_micros("at_us").alias("expired_at"), "approval")
+
+
 def as_of_stream(events: DataFrame, ttl_days: float = TTL_DAYS, lateness: str = "1 day") -> DataFrame:
-    """Edits of a stream of events (EVENTS; kind: approval or edit) with the approval that holds."""
-    return events.withWatermark("at", lateness).groupBy(*KEY).applyInPandasWithState(_carry(ttl_days), JOINED, "approved_us long, payload string", "append", GroupStateTimeout.EventTimeTimeout)
+    """Edits of a stream of events (EVENTS; kind: approval, edit or tick) with the approval that holds."""
+    return joined(carry(events, ttl_days, lateness))
 
 
 def log_sink(path: str, limit: int = LOG_LIMIT) -> Callable[[DataFrame, int], None]:
