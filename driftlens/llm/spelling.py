@@ -4,9 +4,9 @@ Words are counted in bounded dictionaries within tasks before they are shuffled.
 ordered by frequency, rarest first (ties by the bigram, then by position), and each word keeps its PREFIX rarest: one
 edit spoils two bigrams at most, so two words that differ by one edit share one of these three, at most one position apart.
 Since that edit lies on one side of the shared bigram, the words are equal on the other side and through it: a
-word's keys are what stands up to the end of each such bigram, and from its start on, each with a length. That states
-bigram and position limit, and leaves few candidates for the exact comparison. A key that many words share is divided
-into blocks, so that no task holds it whole.
+word's keys are what stands up to the end of each such bigram, and from its start on, each with a length, and where that is
+the lesser part also half of the rest. That states bigram and position limit, and leaves few candidates for the exact
+comparison. A key that many words share is divided into blocks, so that no task holds it whole.
 
 Defined results: null text has no words, a null doc_id reads as the empty string in the checksum; rows repeated count
 each time; of equally common near words the smallest in code-point order is the form; texts and words of any length are
@@ -21,7 +21,8 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftlens.llm import common as C
@@ -113,34 +114,56 @@ def rarest(word: str, ranks: dict[str, int]) -> list[int]:
     return sorted(range(len(ranked)), key=lambda i: (ranked[i], i))[:PREFIX]
 
 
-def with_prefix(words: DataFrame) -> DataFrame:
-    """word, n, at: the positions of the word's rarest bigrams."""
+def keys(word: str, at: list[int], shorter: int, more: int) -> set[int]:
+    """Keys of a word by its rare bigrams at the given positions, to meet another one; shorter: the length of the shorter
+    of the two, more: by how much they differ. The edit lies behind the bigram or before it. The other side, with the bigram, is equal; where that is less
+    than the rest, one half of the rest is equal too."""
+    found = set()
+    for p in at:
+        for side, equal, rest in (("head", word[: p + 2], word[p + 2 :]), ("tail", word[p:], word[:p])):
+            r = shorter - len(equal)  # what is left of the shorter word
+            if r < 0 or r + more < 1:  # no room for the edit
+                continue
+            name = f"{side} {shorter} {more} {equal} "
+            if len(equal) >= r:
+                found.add(_hash(name))
+            else:
+                found.add(_hash(f"{name}< {rest[: r // 2]}"))
+                found.add(_hash(f"{name}> {rest[len(rest) - r + r // 2 :]}"))
+    return found
+
+
+def _hash(key: str) -> int:
+    return xxhash.xxh64_intdigest(key.encode()) - (1 << 63)
+
+
+def roles(word: str, ranks: dict[str, int]) -> tuple[set[int], set[int], set[int]]:
+    """Keys to meet words of equal length, of one more and of one less."""
+    at = rarest(word, ranks)
+    return tuple(keys(word, at, n, more) for n, more in ((len(word), 0), (len(word), 1), (len(word) - 1, 1)))
+
+
+def with_keys(words: DataFrame) -> DataFrame:
+    """word, n, asks, answers: a word of equal length, or one longer, answers under a key that the other asks for."""
     sent = words.sparkSession.sparkContext.broadcast(bigram_ranks(words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = [rarest(w, sent.value) for w in C.strings_of(batch, "word")]
-            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), pa.array(at, pa.list_(pa.int32()))], names=["word", "n", "at"])
-
-    return words.mapInArrow(run, "word string, n long, at array<int>")
-
+            found = [(same, more, less) for same, more, less in (roles(w, sent.value) for w in C.strings_of(batch, "word"))]
+            asks, answers = (pa.array([list(f[0] | f[k]) for f in found], pa.list_(pa.int64())) for k in (1, 2))
+            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), asks, answers], names=["word", "n", "asks", "answers"])
 
-def keys(more: int = 0) -> Column:
-    """A word's keys, as they would be in a word that is longer by so many code points: side, equal part, length."""
-    length = F.length("word") + more
-    heads = F.transform("at", lambda p: F.xxhash64(F.lit("head"), F.substring(F.col("word"), F.lit(1), p + 2), length))
-    tails = F.transform("at", lambda p: F.xxhash64(F.lit("tail"), F.substring(F.col("word"), p + 1, F.length("word")), length))
-    return F.array_distinct(F.concat(heads, tails))
+    return words.mapInArrow(run, "word string, n long, asks array<long>, answers array<long>")
 
 
 def near_pairs(words: DataFrame) -> DataFrame:
     """a, a_n, b, b_n: each pair of words that are one inserted, deleted or replaced code point apart, once."""
-    prefixed = C.saved(with_prefix(words), "prefix")
-    index = prefixed.select(F.explode(keys()).alias("key"), F.col("word").alias("b"), F.col("n").alias("b_n"))
+    keyed = C.saved(with_keys(words), "keyed")
+    index = keyed.select(F.explode("answers").alias("key"), F.col("word").alias("b"), F.col("n").alias("b_n"))
     full = index.groupBy("key").count().filter(F.col("count") > BLOCK)
     full = C.saved(full.select("key", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")), "full")  # sent only if its files are small
     index = index.join(full, "key", "left").select("key", F.coalesce(F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int"), F.lit(0)).alias("block"), "b", "b_n")
-    asked = prefixed.select(F.explode(F.array_union(keys(), keys(1))).alias("key"), F.col("word").alias("a"), F.col("n").alias("a_n"))
+    asked = keyed.select(F.explode("asks").alias("key"), F.col("word").alias("a"), F.col("n").alias("a_n"))
     asked = asked.join(full, "key", "left").withColumn("block", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("blocks"), F.lit(1)) - 1))).drop("blocks")
     once = (F.length("a") < F.length("b")) | ((F.length("a") == F.length("b")) & (F.col("a") < F.col("b")))
     found = asked.join(index, ["key", "block"]).filter(once).filter(F.levenshtein("a", "b", 1) == 1)
