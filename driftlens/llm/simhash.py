@@ -34,9 +34,8 @@ SHINGLE, SEED, RADIUS = 3, 42, 2
 SEGMENTS = [(0, 22), (22, 21), (43, 21)]
 #: Fingerprints that are compared by scanning; more are divided by exact parts first.
 SCAN = 512
-#: A key is narrowed if it holds more fingerprints than HOT and more than one in SHARE of all rows of its level, so
-#: that at most SHARE keys (18 times as many on the first level, where a fingerprint has up to 18 rows) are broadcast.
-HOT, SHARE = 4096, 10_000
+#: A key is narrowed if it holds more fingerprints than this, however large the table is.
+HOT = 4096
 CHUNK = 1 << 15
 ROWS, KEYED = ["key", "fp", "own", "rest"], "key long, fp long, own boolean, rest long"
 
@@ -102,20 +101,20 @@ def _narrowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([*rows.columns[:3], pa.array(left), pa.array(np.full(len(fp), k)), pa.array(fp & part)], names=[*ROWS, "part", "value"])
 
 
-def _spread(keys: DataFrame, rows: int) -> DataFrame:
+def _spread(keys: DataFrame) -> DataFrame:
     """Rows (key, fp, own) of the keys, hot ones narrowed until none is left. Ends, as a group whose rest has n bits
-    has at most 2^n fingerprints, which is no more than HOT after a few levels."""
+    has at most 2^n fingerprints, which is no more than HOT after a few levels. Hot keys are a table: Spark sends it to
+    the tasks where its files are small, and shuffles it like any other where they aren't."""
     done = None
     while True:
-        limit = max(HOT, rows // SHARE)
-        hot = C.saved(keys.groupBy("key").count().filter(F.col("count") > limit).select("key"), "hot")
-        cool = (keys if hot.isEmpty() else keys.join(F.broadcast(hot), "key", "left_anti")).select("key", "fp", "own")
+        hot = C.saved(keys.groupBy("key").count().filter(F.col("count") > HOT).select("key"), "hot")
+        none = hot.isEmpty()
+        cool = (keys if none else keys.join(hot, "key", "left_anti")).select("key", "fp", "own")
         done = cool if done is None else done.unionByName(cool)
-        if hot.isEmpty():
+        if none:
             return done
-        parts = keys.join(F.broadcast(hot), "key", "left_semi").mapInArrow(_narrowed, f"{KEYED}, part long, value long")
+        parts = keys.join(hot, "key", "left_semi").mapInArrow(_narrowed, f"{KEYED}, part long, value long")
         keys = C.saved(parts.withColumn("key", F.xxhash64("key", "part", "value")).drop("part", "value"), "narrowed")
-        rows = keys.count()
 
 
 def forest(fps: np.ndarray) -> list[tuple[int, int]]:
@@ -182,7 +181,7 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def near_links(nodes: DataFrame) -> DataFrame:
     """Links a, b that join whatever is connected within the radius. nodes: fp (long), each once."""
-    keys = _spread(nodes.select("fp").mapInArrow(_keys, KEYED), nodes.count())
+    keys = _spread(C.saved(nodes.select("fp").mapInArrow(_keys, KEYED), "keys"))
     return keys.repartition(C.partitions(nodes.sparkSession), "key").sortWithinPartitions("key").mapInArrow(_links, "a long, b long").distinct()
 
 

@@ -144,10 +144,9 @@ def test_hot_keys_are_narrowed(spark, monkeypatch):
     fps = np.unique(np.concatenate((alike, rng.integers(0, 2**64, 50, dtype=np.uint64))))
     want = brute(list(enumerate(fps.tolist())))
     nodes = spark.createDataFrame([(int(f),) for f in fps.view(np.int64)], "fp long")
-    for hot, share in ((4096, 10_000), (64, 100)):
+    for hot in (4096, 64):
         monkeypatch.setattr(simhash, "HOT", hot)
-        monkeypatch.setattr(simhash, "SHARE", share)
-        spread = simhash._spread(nodes.mapInArrow(simhash._keys, simhash.KEYED), nodes.count())
+        spread = simhash._spread(nodes.mapInArrow(simhash._keys, simhash.KEYED))
         largest = spread.groupBy("key").count().agg({"count": "max"}).first()[0]
         assert largest <= 64 if hot == 64 else largest > 64
         links = [(r["a"], r["b"]) for r in simhash.near_links(nodes).collect()]
@@ -164,3 +163,15 @@ def test_hot_keys_are_narrowed(spark, monkeypatch):
             x, y = root(at[a]), root(at[b])
             parent[max(x, y)] = min(x, y)
         assert [root(k) for k in range(len(fps))] == want
+
+
+def test_the_limit_of_a_hot_key_does_not_grow_with_the_table(spark, monkeypatch):
+    """One key holds one in a thousand of all rows, which is over the limit."""
+    monkeypatch.setattr(simhash, "HOT", 30)
+    rng = np.random.default_rng(8)
+    alike = np.unique(rng.integers(0, 1 << 12, 60, dtype=np.uint64)) << np.uint64(45)
+    fps = np.unique(np.concatenate((alike, rng.integers(0, 2**64, 60_000, dtype=np.uint64))))
+    nodes = spark.createDataFrame([(int(f),) for f in fps.view(np.int64)], "fp long").repartition(4)
+    rows = nodes.mapInArrow(simhash._keys, simhash.KEYED)
+    assert rows.groupBy("key").count().agg({"count": "max"}).first()[0] > 30
+    assert simhash._spread(rows).groupBy("key").count().agg({"count": "max"}).first()[0] <= 30
