@@ -282,7 +282,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     hot = C.saved(kinds.groupBy("anchor").count().filter(F.col("count") > HOT).select("anchor", F.lit(True).alias("hot")), "hot")
     kinds = kinds.join(hot, "anchor", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
     wanted = kinds.groupBy(name).agg(F.collect_list(F.struct(*segment, "c", "hot", "start", "n")).alias("segs"))
-    data = C.saved(named.join(wanted, name).select("text", "segs").mapInArrow(_cut, "anchor long, seg long, c long, hot boolean, data binary"), "cut")
+    cut = lambda rows: rows.join(wanted, name).select("text", "segs").mapInArrow(_cut, "anchor long, seg long, c long, hot boolean, data binary")
+    whole = C.saved(named.groupBy(name).count().filter("count > 1").select(*name), "whole")  # rows that are repeated whole share a name
+    once = cut(named if whole.isEmpty() else named.join(whole, name, "left_anti"))
+    data = C.saved(once if whole.isEmpty() else once.unionByName(cut(named.join(whole, name, "left_semi")).dropDuplicates(segment)), "cut")
 
     few = data.filter("NOT hot").drop("hot").repartition(n_parts, "anchor").sortWithinPartitions("anchor")
     compared = few.mapInArrow(_compare, "anchor long, seg long, hits binary")

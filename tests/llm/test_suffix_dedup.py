@@ -5,6 +5,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from driftlens.llm import common as C
 from driftlens.llm import suffix_dedup as S
 
 from . import cases
@@ -88,5 +89,20 @@ def test_hot_anchors_and_repeated_rows(spark, monkeypatch):
     assert cases.key(map(tuple, found)) == cases.key((i, *r) for (i, _), r in zip(rows, brute([t.encode() for _, t in rows])))
 
 
+def test_a_row_repeated_many_times_is_cut_once(spark, monkeypatch):
+    """Every copy of a row has the row's name: what is compared for it doesn't grow with them."""
+    rng = np.random.default_rng(4)
+    one = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
+    phrase = one(150)
+    texts = [one(200) + phrase + one(200) for _ in range(20)]
+    rows = [*enumerate(texts)] + [(3, texts[3])] * 10_000
+    saved, cut = C.saved, []
+    monkeypatch.setattr(C, "saved", lambda df, name: cut.append(found := saved(df, name)) or found if name == "cut" else saved(df, name))
+    found = S.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).select("doc_id", "n_removed", "n_spans").distinct().collect()
+    assert cut[0].count() == cut[0].select("anchor", "seg").distinct().count() < 200
+    want = brute([t.encode() for t in texts])
+    assert {r["doc_id"]: r["n_removed"] for r in found} == {i: len(t) if i == 3 else want[i][1] for i, t in enumerate(texts)}
+
+
 def test_empty(spark):
     assert S.remove_repeats(cases.docs(spark, [])).collect() == []
