@@ -410,7 +410,7 @@ def asof_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def carried(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the stream gives for the events in the order of their arrival, up to a day late, over seven runs on one checkpoint."""
+    """What the stream gives for the events in the order of their arrival, up to a day late, over five runs on one checkpoint."""
     from driftlens.streaming.replay import replay
 
     both = stateful.encode(approvals(spark, sf_dir), "approval", "approved_at").unionByName(stateful.encode(clicks(spark, sf_dir), "edit", "edited_at"))

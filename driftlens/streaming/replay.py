@@ -20,7 +20,7 @@ def arrivals(events: DataFrame, lateness_hours: float) -> DataFrame:
     return events.withColumn("arrived_us", F.unix_micros("at") + late)
 
 
-def replay(events: DataFrame, ttl_days: float, until: dt.datetime, slices: int = 6, lateness_hours: float = 24.0, start: Callable[[DataFrame, str], StreamingQuery] | None = None) -> tuple[DataFrame | None, list[StreamingQueryProgress]]:
+def replay(events: DataFrame, ttl_days: float, until: dt.datetime, slices: int = 4, lateness_hours: float = 24.0, start: Callable[[DataFrame, str], StreamingQuery] | None = None) -> tuple[DataFrame | None, list[StreamingQueryProgress]]:
     """Deals the events into slices by when they arrived and runs the stream once for each, on the checkpoint that the run
     before left, then once more on a tick that moves the watermark to until. Returns what came out (stateful.carry) and the
     progress of every micro-batch. start: starts the query on a stream of results, given the folder for its checkpoint and output."""
