@@ -11,7 +11,7 @@ import unicodedata
 from urllib.parse import unquote_to_bytes
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -249,6 +249,17 @@ def registrable_domain(host: Column) -> Column:
     return bind(labels_of(F.coalesce(host, F.lit(""))), longest)
 
 
+def match_suffix(hosts: DataFrame, suffixes: DataFrame) -> DataFrame:
+    """Adds suffix and kind: the longest suffix of two to four labels that a host stands below, by a join with a table of
+    suffixes (suffix, kind) of any size; null where there is none. hosts: host and more; each different row once."""
+    labels = labels_of(F.coalesce("host", F.lit("")))
+    tried = hosts.distinct().withColumn("_k", F.explode(F.array(*(F.lit(k) for k in (2, 3, 4))))).withColumn("_l", labels).filter(F.size("_l") > F.col("_k"))
+    tried = tried.select(*hosts.columns, "_k", F.array_join(F.slice("_l", -F.col("_k"), F.col("_k")), ".").alias("suffix"))
+    best = tried.join(suffixes, "suffix").groupBy(*hosts.columns).agg(F.max(F.struct("_k", "suffix", "kind")).alias("_b"))
+    same = [F.col(f"h.{c}").eqNullSafe(F.col(f"b.{c}")) for c in hosts.columns]
+    return hosts.distinct().alias("h").join(best.alias("b"), same, "left").select("h.*", "b._b.suffix", "b._b.kind")
+
+
 def dangerous_scheme(href: Column) -> Column:
     return href.rlike(DANGEROUS)
 

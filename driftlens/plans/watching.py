@@ -1,4 +1,5 @@
-"""Queries of what is kept and changes in time: stored snapshots, settings by time, answers of moderators."""
+"""Queries of what is kept and changes in time: stored snapshots, settings by time, answers of moderators, the log that a
+stream feeds; and of brands as a table."""
 
 from __future__ import annotations
 
@@ -8,10 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftlens import config
-from driftlens.operators import watch
+from driftlens.functions import dims
+from driftlens.operators import brands, log, watch
 from driftlens.plans import catalogue as K
 from driftlens.plans.registry import registry
 from driftlens.storage.snapshots import SnapshotStore
+from driftlens.sources import events
+from driftlens.storage.drift_log import LogTable
+from driftlens.streaming import jobs, stateful
+from driftlens.streaming.replay import replay
 from driftlens.streaming.stateful import shared_dir
 
 QUERIES: dict = {}
@@ -95,3 +101,59 @@ def answered_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("c").alias("community_id"), F.col("user_id").cast("string").alias("thing_id"), F.col("ts").cast("timestamp").alias("answered_at"), F.when(F.col("event_type") == "purchase", "restore").otherwise("remove").alias("answer")
     )
     return watch.as_answered(edits, approvals, answers, "body", K.TTL).select("event_id", "approved_body", "approval_id", "baseline")
+
+
+# ---- the log that a stream feeds ------------------------------------------------------------------------------------------
+_NEWEST = 3
+
+
+@query(f"""WITH {K.ASOF_SQL}, s AS (SELECT {_COMMUNITY} AS community_id, user_id::VARCHAR AS thing_id, floor({K._SCORE} * 100 + 0.5) / 100 AS score, edited_at AS detected_at, event_id FROM j WHERE {K._LIVE} AND {K._SCORE} >= 0.55),
+    l AS (SELECT community_id, thing_id, max(detected_at) AS detected_at, arg_max(score, detected_at) AS score, arg_max(event_id, detected_at) AS event_id FROM s GROUP BY ALL)
+    SELECT community_id, thing_id, event_id, score FROM (SELECT *, row_number() OVER (PARTITION BY community_id ORDER BY detected_at DESC, thing_id) AS rank FROM l) WHERE rank <= {_NEWEST}""")
+def log_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From the stream of late events to the log: every micro-batch is merged into the communities that it touches."""
+    both = stateful.encode(_by_community(K.approvals(spark, sf_dir)), "approval", "approved_at").unionByName(stateful.encode(_by_community(K.clicks(spark, sf_dir)), "edit", "edited_at"))
+    table = LogTable(spark, f"{shared_dir(spark)}/log-{uuid.uuid4().hex}", _NEWEST, buckets=8)
+
+    def start(stream: DataFrame, path: str):
+        edit = F.from_json("edit", "event_id long, value double")
+        rows = stateful.joined(stream).select("community_id", "thing_id", F.col("edited_at").alias("detected_at"), edit.alias("e")).select("community_id", "thing_id", "detected_at", "e.event_id", F.expr("least(1.0D, abs(e.value) / 20.0D)").alias("score"))
+        hits = rows.filter("score >= 0.55").withColumn("score", log.two_places(F.col("score")))
+        return hits.writeStream.foreachBatch(table.write).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+
+    replay(both, K.TTL, K.NOW, start=start)
+    return table.read().select("community_id", "thing_id", "event_id", "score")
+
+
+# ---- brands as a table ----------------------------------------------------------------------------------------------------
+@query(K.ORACLES["lookalike_best"])
+def brand_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best look-alike of each label, found by keys in a table of brands."""
+    return brands.match(K.names(spark, sf_dir), dims.brands(spark)).select("label", "brand", "kind", "severity")
+
+
+# ---- jobs that run once ------------------------------------------------------------------------------------------------------
+@query("""SELECT 'c' || user_id AS community_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS installed, 'Driftlens watches approved content for later edits in c' || user_id AS message
+    FROM events WHERE event_type IN ('view', 'error') GROUP BY user_id""")
+def welcome_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Views stand for installs, errors for upgrades: a job run five times over three deliveries of them, the second delivery twice."""
+    path = f"{shared_dir(spark)}/welcome-{uuid.uuid4().hex}"
+    rows = K.table(spark, sf_dir, "events").select(F.concat(F.lit("c"), "user_id").alias("community_id"), F.expr("CASE event_type WHEN 'view' THEN 'install' WHEN 'error' THEN 'upgrade' ELSE event_type END AS kind"), F.col("ts").cast("timestamp").alias("at"))
+    spark.createDataFrame([], events.INSTALLS).write.parquet(f"{path}/in")
+    ledger = jobs.Ledger(spark, f"{path}/ledger", jobs.WELCOMES, "community_id")
+    installs = events.installs(spark.readStream.schema(events.INSTALLS).parquet(f"{path}/in"))
+    middle = rows.filter((F.col("at") >= "2024-01-02") & (F.col("at") < "2024-01-12"))
+    for part in (rows.filter(F.col("at") < "2024-01-02"), middle, middle, rows.filter(F.col("at") >= "2024-01-12"), None):
+        if part is not None:
+            part.write.mode("append").parquet(f"{path}/in")
+        jobs.welcome_job(installs, ledger, f"{path}/checkpoint", "Driftlens").awaitTermination()
+    return ledger.rows().select("community_id", F.date_format("installed_at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("installed"), "message")
+
+
+@query(f"""WITH a AS (SELECT user_id::VARCHAR AS thing_id, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts) AS later FROM events WHERE event_type = 'signup'),
+    runs AS (SELECT unnest(generate_series(TIMESTAMP '2023-12-31 04:00:00', TIMESTAMP '{K.NOW}', INTERVAL 1 DAY)) AS due),
+    first AS (SELECT thing_id, ts, later, min(due) AS due FROM a JOIN runs ON due >= ts + INTERVAL 3 DAY GROUP BY ALL)
+    SELECT thing_id, strftime(due, '%Y-%m-%d %H:%M') AS pruned FROM first WHERE later IS NULL OR later > due""")
+def prune_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each daily run takes off the watch list."""
+    return jobs.prune_runs(K.approvals(spark, sf_dir), K.NOW, K.TTL).select("thing_id", F.date_format("pruned_at", "yyyy-MM-dd HH:mm").alias("pruned"))

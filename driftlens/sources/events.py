@@ -14,6 +14,11 @@ from driftlens.functions import links
 MOD_ACTIONS = "community_id string, thing_id string, action string, type string, title string, body string, url string, is_self boolean, moderator string, at timestamp"
 EDITS = "community_id string, thing_id string, type string, body string, url string, is_self boolean, author string, event_author string, permalink string, at timestamp"
 
+INSTALLS = "community_id string, kind string, at timestamp"
+
+# Events by which a community comes to have the engine, or a new version of it.
+INSTALL_KINDS = ["install", "upgrade"]
+
 # Moderator actions that approve.
 APPROVALS = ["approvelink", "approvecomment"]
 
@@ -55,6 +60,11 @@ def edits_in_force(updates: DataFrame, settings: DataFrame) -> DataFrame:
     return _edited(found, F.col("late_edit_hours"), "threshold", "action")
 
 
+def installs(events: DataFrame) -> DataFrame:
+    """Communities that installed or upgraded, each event a row."""
+    return events.filter(F.col("kind").isin(INSTALL_KINDS) & F.col("community_id").isNotNull())
+
+
 def json_array(column: Column) -> Column:
     """An array kept as JSON text; what can't be read is empty."""
     return F.coalesce(F.from_json(column, "array<string>"), F.array().cast("array<string>"))

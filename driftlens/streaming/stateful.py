@@ -1,4 +1,4 @@
-"""The same as-of join over a stream, with expiry; and the sink of the bounded log.
+"""The same as-of join over a stream, with expiry.
 
 State is, for each thing, the approvals that an edit may still meet and the edits that wait. An edit is joined once the
 watermark has passed it, when no earlier approval can still arrive: events may come in any order within the lateness, and
@@ -14,16 +14,16 @@ of two approvals of a thing at one time the one read last counts.
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
-from driftlens.config import LOG_LIMIT, TTL_DAYS
-from driftlens.operators import log
+from driftlens.config import TTL_DAYS
 from driftlens.operators.watch import KEY
+from driftlens.storage.drift_log import log_sink, read_log  # noqa: F401
 
 EVENTS = "community_id string, thing_id string, kind string, at timestamp, payload string"
 APPROVAL, EDIT, TICK = "approval", "edit", "tick"
@@ -140,34 +140,6 @@ def as_of_stream(events: DataFrame, ttl_days: float = TTL_DAYS, lateness: str =
     return joined(carry(events, ttl_days, lateness))
 
 
-def log_sink(path: str, limit: int = LOG_LIMIT) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: upsert by thing, keep each community's newest. Each batch writes a version of the log (bounded
-    for each community), so a batch that is run again gives the same version. Communities are spread over the tasks."""
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        before = _versions(spark, path, batch_id)
-        held = batch if before is None else spark.read.schema(batch.schema).parquet(f"{path}/version={before}").unionByName(batch)
-        kept = log.retain(log.latest_per_thing(held), limit).drop("rank")
-        kept.select(batch.columns).write.mode("overwrite").parquet(f"{path}/version={batch_id}")
-
-    return write
-
-
-def _versions(spark, path: str, below: int | None = None) -> int | None:
-    """The newest version of the log before a batch."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
-    names = [s.getPath() for s in fs.listStatus(where)] if fs.exists(where) else []
-    done = [int(p.getName().split("=")[1]) for p in names if p.getName().startswith("version=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-    return max((v for v in done if below is None or v < below), default=None)
-
-
-def read_log(spark, path: str) -> DataFrame | None:
-    version = _versions(spark, path)
-    return None if version is None else spark.read.parquet(f"{path}/version={version}")
-
-
 def encode(df: DataFrame, kind: str, at: str) -> DataFrame:
     """Approvals or edits as events: what isn't a key goes along as JSON."""
     return df.select(*KEY, F.lit(kind).alias("kind"), F.col(at).alias("at"), F.to_json(F.struct(*(c for c in df.columns if c not in KEY))).alias("payload"))
