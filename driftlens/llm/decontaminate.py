@@ -8,10 +8,13 @@ exact weighted Jaccard similarity of the shingles, at least 0.8.
 
 A window can only pass if eight ninths of its shingles are the item's (less where the document is shorter than the
 item), so windows are made at all starts where as many shingles of whatever items stand, and at no others, of the
-lengths of items with which the text shares as many. The one
-thing that could be lost is a window that is as similar and yet over 19 bits away: tests/llm looks for one. Items are
-taken in blocks of ITEMS, each block's index is broadcast and its size bounded; every document is read against every
-block.
+lengths of items with which the text shares as many. The one thing that could be lost is a window that is as similar and
+yet over 19 bits away: tests/llm looks for one.
+
+Up to ITEMS items are one index, which is broadcast, and documents are judged where they are. More items are a table: each
+is listed under its rarest shingles, so many that a document which is similar enough must hold one. One reading of the
+documents, through a filter of fixed size, finds those that may hold a listed shingle; a join on shingles gives the pairs of
+document and item, and each document is searched as above for its own items only. Both ways give the same rows.
 
 Defined results: null text, items without words and items with a null item_id match nothing; texts or items of fewer than five words are one
 shingle; rows repeated each get their own rows; of equally similar windows the first is named; an empty table on
@@ -23,7 +26,6 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -37,8 +39,10 @@ from driftlens.llm import common as C
 
 SHINGLE, SIMILAR, RADIUS = 5, 0.8, 19
 BLOCKS = 4
-#: Items in one broadcast index: some 40 KB each.
+#: Items in the broadcast index, some 40 KB each; more are joined.
 ITEMS = 1000
+#: Bits of the filter of listed shingles: 4 MB, whatever their number.
+FILTER = 1 << 25
 #: Hashes of words that a task remembers, some 15 MB.
 CACHED_WORDS = 100_000
 #: Windows fingerprinted at a time.
@@ -46,6 +50,8 @@ CHUNK = 4096
 
 FOUND = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("start", pa.int64()), ("n_words", pa.int64()), ("hamming", pa.int64()), ("similarity", pa.float64())])
 
+FOUND_DDL = "doc_id long, item_id long, start long, n_words long, hamming long, similarity double"
+
 
 class Words(dict):
     """64-bit hashes of words, remembered while a task runs."""
@@ -217,36 +223,138 @@ def _scan(sent):
     return run
 
 
-def _indexes(benchmark: DataFrame, items: int) -> Iterator[Broadcast]:
-    """One index for each block of items, by a hash of item_id; never more than one block's items on the driver."""
-    spark = benchmark.sparkSession
-    benchmark = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("item_id IS NOT NULL").distinct()
-    n = max(1, -(-benchmark.count() // items))
-    for k in range(n):
-        rows = [(r["item_id"], r["text"]) for r in benchmark.filter(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k).toLocalIterator()]
-        yield spark.sparkContext.broadcast(Index.build(rows))
+def _items(benchmark: DataFrame) -> DataFrame:
+    return benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("item_id IS NOT NULL").distinct()
+
+
+def _index(items: DataFrame) -> Broadcast:
+    return items.sparkSession.sparkContext.broadcast(Index.build([(r["item_id"], r["text"]) for r in items.collect()]))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, items: int = ITEMS) -> DataFrame:
     """One row for each document and benchmark item that it holds: doc_id, item_id, start (word from 0), n_words,
-    hamming, similarity, of the most similar window."""
+    hamming, similarity, of the most similar window. items: how many at most are broadcast."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = [docs.mapInArrow(_scan(sent), "doc_id long, item_id long, start long, n_words long, hamming long, similarity double") for sent in _indexes(benchmark, items)]
-    return reduce(DataFrame.unionByName, found)
+    known = _items(benchmark)
+    if known.count() > items:
+        return _joined(docs, known).select(FOUND.names)
+    return docs.mapInArrow(_scan(_index(known)), FOUND_DDL)
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, items: int = ITEMS) -> DataFrame:
-    """The rows of docs, all columns, that hold no benchmark item. Rows are judged where they are: no shuffle."""
+    """The rows of docs, all columns, that hold no benchmark item. With up to items of them rows are judged where they are,
+    without a shuffle; else by id and text."""
+    known = _items(benchmark)
+    if known.count() > items:
+        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+        leaks = C.saved(_joined(texts, known).select(F.col("doc_id").alias("leak"), "row").distinct(), "leaks")
+        own = F.xxhash64(F.col("text").cast("string"))
+        return docs.join(leaks, docs["doc_id"].cast("long").eqNullSafe(leaks["leak"]) & (own == leaks["row"]), "left_anti")
+    sent = _index(known)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index: Index = sent.value
+        with C.task_memory(_words):
+            for batch in batches:
+                yield batch.filter(pa.array([not index.search(C.words_of(t)) for t in C.bytes_of(batch)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+# ---- more items than are broadcast ---------------------------------------------------------------------------------
+def codes(words: list[bytes], sizes: list[int]) -> np.ndarray:
+    """What a text can meet items by: its shingles, and for each of sizes (below SHINGLE) its runs of so many words."""
+    h = hashes(words)
+    found = [shingles(h)] if len(h) >= SHINGLE else []
+    found += [shingles(h, n) ^ np.uint64(n) for n in sizes if len(h) >= n]
+    return np.concatenate(found).view(np.int64) if found else np.zeros(0, dtype=np.int64)
+
+
+def _item_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each different code of an item: how often it has it, how many it has in all, and its words below SHINGLE."""
+    for batch in batches:
+        rows = []
+        for item, text in zip(batch.column("item").to_pylist(), C.bytes_of(batch)):
+            words = C.words_of(text)
+            if words:
+                own, times = np.unique(codes(words, [len(words)] if len(words) < SHINGLE else []), return_counts=True)
+                rows += [(item, int(c), int(t), int(times.sum()), min(len(words), SHINGLE)) for c, t in zip(own, times)]
+        columns = list(zip(*rows)) or [()] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["item", "code", "times", "total", "size"])
+
 
-    def kept(sent: Broadcast):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index: Index = sent.value
-            with C.task_memory(_words):
-                for batch in batches:
-                    yield batch.filter(pa.array([not index.search(C.words_of(t)) for t in C.bytes_of(batch)], pa.bool_()))
+def listed(found: list[tuple[int, int, int]], total: int) -> list[int]:
+    """Of an item's codes (how many items have it, code, times), rarest first, so many that a window which lacks them all can't
+    be similar enough."""
+    missing, out = total - int(np.ceil(SIMILAR * total - 1e-9)), []
+    for _, code, times in sorted(found):
+        out.append(code)
+        missing -= times
+        if missing < 0:
+            break
+    return out
+
+
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = [(item, code) for item, total, found in zip(*(batch.column(k).to_pylist() for k in ("item", "total", "found"))) for code in listed([(f["n"], f["code"], f["times"]) for f in found], total)]
+        columns = list(zip(*rows)) or [(), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["item", "code"])
+
+
+def _filter_of(index: DataFrame) -> np.ndarray:
+    """One bit for each value of a code's last bits, packed; parts of it are merged through a tree."""
+
+    def bits(rows: Iterator) -> Iterator[np.ndarray]:
+        held = np.zeros(FILTER, dtype=bool)
+        held[np.fromiter((r["code"] & (FILTER - 1) for r in rows), dtype=np.int64)] = True
+        yield np.packbits(held)
+
+    def either(a: np.ndarray | None, b: np.ndarray | None) -> np.ndarray | None:
+        return b if a is None else a if b is None else a | b
+
+    found = index.select("code").rdd.mapPartitions(bits).treeAggregate(None, either, either)
+    return np.zeros(FILTER // 8, dtype=np.uint8) if found is None else found
+
+
+def _suspects(sent: Broadcast, sizes: list[int]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.unpackbits(sent.value).view(bool)
+        with C.task_memory(_words):
+            for batch in batches:
+                found = []
+                for text in C.bytes_of(batch):
+                    own = codes(C.words_of(text), sizes)
+                    found.append(np.unique(own[held[own & (FILTER - 1)]]))
+                rows = batch.append_column("codes", pa.array(found, pa.list_(pa.int64())))
+                yield rows.filter(pa.array([len(f) > 0 for f in found], pa.bool_()))
+
+    return run
 
-        return run
 
-    for sent in _indexes(benchmark, items):
-        docs = docs.mapInArrow(kept(sent), docs.schema)
-    return docs
+def _search_own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each document against its own items."""
+    with C.task_memory(_words):
+        for batch in batches:
+            rows = []
+            for doc_id, row, text, items in zip(C.ids_of(batch).tolist(), batch.column("row").to_pylist(), C.bytes_of(batch), batch.column("items").to_pylist()):
+                index = Index.build([(i["item_id"], i["text"]) for i in items])
+                rows += [(doc_id, row, *hit) for hit in index.search(C.words_of(text))]
+            columns = list(zip(*rows)) or [()] * (len(FOUND) + 1)
+            yield pa.RecordBatch.from_arrays([C.id_array(columns[0]), pa.array(columns[1], pa.int64()), *(pa.array(c, f.type) for c, f in zip(columns[2:], list(FOUND)[1:]))], names=["doc_id", "row", *FOUND.names[1:]])
+
+
+def _joined(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """FOUND and row, a hash of the text."""
+    items = C.saved(items.select("item_id", "text", F.xxhash64("item_id", "text").alias("item")), "items")
+    coded = C.saved(items.select("item", "text").mapInArrow(_item_codes, "item long, code long, times long, total long, size long"), "codes")
+    sizes = [r["size"] for r in coded.filter(F.col("size") < SHINGLE).select("size").distinct().collect()]  # four at most
+    often = coded.groupBy("code").agg(F.countDistinct("item").alias("n"))
+    own = coded.join(often, "code").groupBy("item", "total").agg(F.collect_list(F.struct("n", "code", "times")).alias("found"))  # as long as the item
+    index = C.saved(own.mapInArrow(_listed, "item long, code long"), "listed")
+    sent = docs.sparkSession.sparkContext.broadcast(_filter_of(index))
+    marked = docs.select(F.coalesce("doc_id", F.lit(C.NULL_ID)).alias("id"), F.xxhash64("text").alias("row"), "text")
+    suspects = C.saved(marked.mapInArrow(_suspects(sent, sorted(sizes)), "id long, row long, text string, codes array<long>"), "suspects")
+    pairs = suspects.select("id", "row", F.explode("codes").alias("code")).join(index, "code").select("id", "row", "item").distinct()
+    wanted = C.saved(pairs.join(items, "item").groupBy("id", "row").agg(F.collect_list(F.struct("item_id", "text")).alias("items")), "wanted")
+    return suspects.select(F.nullif("id", F.lit(C.NULL_ID)).alias("doc_id"), "id", "row", "text").join(wanted, ["id", "row"]).select("doc_id", "row", "text", "items").mapInArrow(_search_own, f"doc_id long, row long, {FOUND_DDL.partition(', ')[2]}")

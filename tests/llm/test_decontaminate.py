@@ -3,6 +3,7 @@ import time
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from driftlens.llm import common as C
 from driftlens.llm import decontaminate as D
@@ -133,3 +134,39 @@ def test_sliding_fingerprints():
     s = D.shingles(D.hashes(C.words_of(" ".join(ITEMS).encode())))
     for length in (1, 2, 7, len(s)):
         assert D.simhashes(s, length).tolist() == [D.simhash(s[k : k + length]) for k in range(len(s) - length + 1)]
+
+
+def test_many_items_in_one_reading(spark):
+    """20,000 items, joined: the same rows as from one index of those that can occur, for whole, cut and changed items."""
+    one = random.Random(41)
+    item = lambda: " ".join(f"w{one.randrange(4000)}" for _ in range(one.choice([2, 4, 5, 9, 30, 60])))
+    items = [(k, item()) for k in range(20_000)]
+    docs, used = [], set()
+    for k in range(150):
+        used.add(n := one.randrange(20_000))
+        own = items[n][1].split()
+        if k % 3 == 0 and len(own) > 20:
+            own[len(own) // 2] = "changed"
+        if k % 5 == 0:
+            own = own[: max(1, len(own) * 4 // 5)]
+        docs.append((k, " ".join([f"w{one.randrange(4000)}" for _ in range(40)] + own + [f"w{one.randrange(4000)}" for _ in range(one.randint(0, 30))])))
+    docs += [docs[3], docs[3], (None, docs[4][1]), (None, "clean text of nobody"), (500, None), (501, "")]
+    df, table = spark.createDataFrame(docs, "doc_id long, text string").repartition(4), spark.createDataFrame(items, "item_id long, text string")
+    found = D.find_leaks(df, table).collect()
+    index = D.Index.build([(k, t) for k, t in items if k in used or k % 100 == 0 or len(t.split()) < 5])
+    want = [(i, *hit) for i, t in docs for hit in index.search(C.words_of((t or "").encode()))]
+    assert cases.key(map(tuple, found)) == cases.key(want) and len(want) > 60
+    clean = D.keep_clean(df.withColumn("row", F.lit(1)), table)
+    leaks = {(i, t) for i, t in docs if index.search(C.words_of((t or "").encode()))}
+    assert cases.key((r["doc_id"], r["text"]) for r in clean.collect()) == cases.key(d for d in docs if d not in leaks) and clean.columns == ["doc_id", "text", "row"]
+
+
+def test_listed_codes_can_not_all_be_missing():
+    assert D.listed([(1, 10, 1), (5, 11, 3), (2, 12, 1)], 5) == [10, 12] and D.listed([(9, 1, 7)], 7) == [1]
+    one = random.Random(8)
+    for _ in range(2000):
+        own = Counter(one.choices(range(30), k=one.randint(1, 40)))
+        other = own - Counter(one.sample(sorted(own.elements()), one.randint(0, own.total() // 3))) + Counter(one.choices(range(30, 60), k=one.randint(0, 8)))
+        both = (own & other).total()
+        if both / (own.total() + other.total() - both) >= 0.8:
+            assert set(D.listed([(one.randint(1, 3), c, t) for c, t in own.items()], own.total())) & set(other)
