@@ -5,7 +5,7 @@ table, and a label meets only those that can match it, by equal keys: its skelet
 fewest brands share for brands that stand inside it; and, for one or two edits, what is left after as many deletions, as two
 strings so close (swapped neighbours included) have such a remainder in common. Every meeting is checked by its rule.
 
-brands: ord, label, domain; of equal skeletons the smallest ord that isn't exempt counts. Labels: label, domain; each
+brands: ord (of any type that has an order), label, domain; of equal skeletons the smallest ord that isn't exempt counts. Labels: label, domain; each
 different pair once in the result. Null or empty labels match nothing, and brands without a label are ignored.
 """
 
@@ -80,7 +80,7 @@ def match(labels: DataFrame, brands: DataFrame) -> DataFrame:
     for n, most in edits.items():
         for other in range(max(1, n - most), n + most + 1):
             tried[other] = max(tried.get(other, 0), most)
-    index = known.withColumnRenamed("known", "skeleton").mapInArrow(_keyed(edits), "ord int, brand string, brand_domain string, skeleton string, key long").withColumnRenamed("skeleton", "known")
+    index = known.withColumnRenamed("known", "skeleton").mapInArrow(_keyed(edits), f"ord {brands.schema['ord'].dataType.simpleString()}, brand string, brand_domain string, skeleton string, key long").withColumnRenamed("skeleton", "known")
     asked = found.mapInArrow(_keyed(tried), "label string, domain string, skeleton string, key long")
     met = asked.join(index, "key").filter(foreign & (F.abs(size - of) <= 2) & (F.col("skeleton") != F.col("known"))).drop("key").distinct()
     met = met.withColumn("distance", osa_distance("skeleton", "known"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from driftlens.config import Settings
 from driftlens.functions import chars, dims, links, lookalike, rails, similarity, urls
 from driftlens.functions import versions as pairs
-from driftlens.operators import log, score, watch
+from driftlens.operators import brands, log, score, watch
 from driftlens.plans.registry import registry
 from driftlens.plans.edits import NOW, VERSIONS_SQL, edits, versions
 from driftlens.streaming import stateful
@@ -209,9 +209,7 @@ def lookalike_near_edit(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT label, arg_min(brand, kind * 100 + ord) AS brand, list_extract(['homoglyph', 'combosquat', 'near-edit', 'near-edit'], min(kind)::INT + 1) AS kind,
         list_extract(['high', 'high', 'high', 'medium'], min(kind)::INT + 1) AS severity FROM k WHERE kind IS NOT NULL GROUP BY label""")
 def lookalike_best(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = names(spark, sf_dir).withColumn("near", F.get(lookalike.near_brands(F.array("skeleton")), F.lit(0)))
-    found = found.withColumn("m", lookalike.find_lookalike(F.col("label"), F.col("domain"), F.col("near"))).filter("m IS NOT NULL")
-    return found.select("label", "m.brand", "m.kind", "m.severity")
+    return brands.match(names(spark, sf_dir), dims.brands(spark)).select("label", "brand", "kind", "severity")
 
 
 # ---- characters --------------------------------------------------------------------------------------------------------

