@@ -155,9 +155,12 @@ def _segments(path: str, end_id: int):
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0) -> None:
-    """Tokenize whole texts and write them in ascending doc_id order: shards are ranges of doc_id."""
+    """Tokenize whole texts and write them in ascending doc_id order: shards are ranges of doc_id, then of a hash of the text
+    and of the part of the table that a row was read from, so that the rows of one id, or one row repeated, fill no shard alone."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ordered = docs.repartitionByRange(C.partitions(docs.sparkSession), F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), F.xxhash64("text"))
+    order = [F.asc_nulls_first("doc_id"), F.col("hash"), F.col("part")]
+    dealt = docs.withColumns({"hash": F.xxhash64("text"), "part": F.spark_partition_id()}).repartitionByRange(C.partitions(docs.sparkSession), *order)
+    ordered = dealt.sortWithinPartitions(*order).select("doc_id", "text")
     ordered.mapInArrow(_segments(tokenizer_path, end_id), SEGMENTS).write.option("compression", "none").parquet(path)
 
 

@@ -95,3 +95,14 @@ def test_empty(spark):
 
 def test_cuts():
     assert packing.cuts(4096 * 2 + 5, 4096) == [4096, 4096, 4, 1] and packing.cuts(1, 4096) == [1]
+
+
+def test_rows_of_one_id_are_spread_over_the_shards(spark, tmp_path):
+    rows = [(7, f"text {i} of one id") for i in range(3000)] + [(7, "repeated")] * 3000 + [(None, "a"), (1, "b"), (9, "c")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    token_file.write_tokens(df, f"{tmp_path}/t", P.path("byte_bpe_50k.json"))
+    shards = spark.read.parquet(f"{tmp_path}/t").groupBy("shard").agg({"n_ids": "sum"}).collect()
+    assert len(shards) == 4 and max(r[1] for r in shards) < sum(r[1] for r in shards) / 2
+    found = token_file.read_tokens(spark, f"{tmp_path}/t").orderBy("start").collect()
+    assert [r["doc_id"] for r in found] == [None, 1] + [7] * 6000 + [9]
+    assert all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(found, found[1:]))
