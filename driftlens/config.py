@@ -56,7 +56,8 @@ def in_force(rows: DataFrame, settings: DataFrame, at: Column | str) -> DataFram
     spans = one.select(F.col("community_id").alias("_community"), "valid_from", F.lead("valid_from").over(order).alias("_until"), "_s")
     spans = spans.withColumn("_to", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
     at = F.col(at) if isinstance(at, str) else at
-    dealt = rows.withColumns({"_time": at, "_at": F.pmod(F.xxhash64(*rows.columns), F.lit(SALT)).cast("int")})
+    spread = F.xxhash64(at, *(c for c in rows.columns if c == "thing_id"))
+    dealt = rows.withColumns({"_time": at, "_at": F.pmod(spread, F.lit(SALT)).cast("int")})
     holds = (F.col("valid_from").isNull() | (F.col("valid_from") <= F.col("_time"))) & (F.col("_until").isNull() | (F.col("_time") < F.col("_until")))
     found = dealt.join(spans, (F.col("community_id") == F.col("_community")) & (F.col("_at") == F.col("_to")) & holds, "left")
     return found.select(*rows.columns, *(F.coalesce(f"_s.{f.name}", F.lit(f.default)).alias(f.name) for f in fields(Settings)))
