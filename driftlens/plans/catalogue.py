@@ -499,11 +499,6 @@ def drift_daily_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.rollup("day", "band").agg(F.count("*").alias("n"))
 
 
-@query(f"SELECT suffix, kind FROM (SELECT unnest([{', '.join(map(repr, dims.SUFFIXES))}]) AS suffix, unnest([{', '.join(['''\'icann\''''] * len(dims.ICANN_SUFFIXES) + ['''\'private\''''] * len(dims.PRIVATE_SUFFIXES))}]) AS kind)")
-def suffix_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dims.suffixes(spark)
-
-
 @query("""SELECT 'c' || n_nationkey AS community_id, 'Driftlens watches approved content for later edits in c' || n_nationkey AS message FROM nation
     WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier GROUP BY s_nationkey HAVING sum(s_acctbal) > 15000)""")
 def welcome_once(spark: SparkSession, sf_dir: str) -> DataFrame:
