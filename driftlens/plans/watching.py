@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftlens import config
-from driftlens.functions import dims
+from driftlens.functions import dims, links
 from driftlens.operators import brands, log, watch
 from driftlens.plans import catalogue as K
 from driftlens.plans.registry import registry
@@ -169,3 +169,34 @@ def welcome_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 def prune_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each daily run takes off the watch list."""
     return jobs.prune_runs(K.approvals(spark, sf_dir), K.NOW, K.TTL).select("thing_id", F.date_format("pruned_at", "yyyy-MM-dd HH:mm").alias("pruned"))
+
+
+# ---- what the dashboard counts and reads ----------------------------------------------------------------------------------
+_LOGGED = f"""{K.ASOF_SQL}, s AS (SELECT {_COMMUNITY} AS community_id, user_id::VARCHAR AS thing_id, edited_at AS detected_at, event_id FROM j WHERE {K._LIVE} AND {K._SCORE} >= 0.55),
+    l AS (SELECT community_id, thing_id, max(detected_at) AS detected_at, arg_max(event_id, detected_at) AS event_id FROM s GROUP BY ALL)"""
+
+
+def _logged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _by_community(K.event_log(spark, sf_dir))
+
+
+@query(f"""WITH {_LOGGED} SELECT community_id, count(*) || CASE WHEN count(*) = 1 THEN ' event' ELSE ' events' END AS shown, greatest(1, ceil(count(*) / 3.0))::INT AS pages FROM l GROUP BY community_id""")
+def log_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each community's counter and its number of pages."""
+    n = F.count("*")
+    return _logged(spark, sf_dir).groupBy("community_id").agg(log.plural(n, "event").alias("shown"), F.greatest(F.lit(1), F.ceil(n / config.PAGE)).cast("int").alias("pages"))
+
+
+@query(f"WITH {_LOGGED} SELECT thing_id, event_id FROM l ORDER BY detected_at DESC, thing_id LIMIT 25")
+def log_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest events, as many as a reader gets who names no limit."""
+    return log.recent(_logged(spark, sf_dir)).select("thing_id", "event_id")
+
+
+@query(f"WITH {K.LINKS_SQL} SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN '' ELSE array_to_string(hrefs, ' ') END AS hrefs, CASE WHEN doc_id % 4 = 0 THEN 0 ELSE len(hrefs) END::INT AS n FROM links")
+def stored_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links kept as JSON text and read again; of every fourth document the text is cut off and reads as no links."""
+    kept = K.versions(spark, sf_dir).select("doc_id", F.to_json(links.extract_links(F.col("c"))).alias("kept"))
+    text = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("["), F.substring("kept", 1, 9))).otherwise(F.col("kept"))
+    read = kept.select("doc_id", F.array_sort(events.json_array(text)).alias("hrefs"))
+    return read.select("doc_id", F.array_join("hrefs", " ").alias("hrefs"), F.size("hrefs").alias("n"))
