@@ -27,14 +27,16 @@ from pyspark.sql import functions as F
 
 from driftlens.llm import common as C
 
-RUN, OTHER = re.compile("[A-Za-zÀ-ÿ]+"), re.compile("[^A-Za-zÀ-ÿ]")
 #: Of so many pairs of document and run, one loses a code point.
 SPOILED = 199
 LEAST_LENGTH, LEAST_COUNT, FACTOR = 6, 5, 5
+#: Whole runs that are long enough; shorter ones never match.
+RUN, OTHER = re.compile(f"[A-Za-zÀ-ÿ]{{{LEAST_LENGTH},}}"), re.compile("[^A-Za-zÀ-ÿ]")
 PREFIX = 3
 #: Characters read at a time, distinct words held before they are passed on, and words of a key that are compared as one block.
 STRETCH, HELD, BLOCK = 1 << 20, 1 << 17, 1024
-_LOWER = str.maketrans(C.UPPER, C.LOWER)
+#: Tells keys for words of different lengths from keys for words of equal ones.
+LONGER = 0x9E3779B97F4A7C15
 
 
 def stretches(text: str) -> Iterator[str]:
@@ -47,26 +49,25 @@ def stretches(text: str) -> Iterator[str]:
         at = to
 
 
-def words_in(doc_id: int | None, text: str) -> Counter:
-    """The words of a text and how often they occur, spoiled ones as they then read."""
-    raw: Counter = Counter()
-    for piece in stretches(text):
-        raw.update(RUN.findall(piece))
-    runs: Counter = Counter()
-    for run, n in raw.items():
-        runs[run.translate(_LOWER)] += n
+def add_words(held: Counter, doc_id: int | None, text: str) -> None:
+    """Adds the words of a text, spoiled ones as they then read."""
     start = zlib.crc32(f"{'' if doc_id is None else doc_id}:".encode())
-    found: Counter = Counter()
-    for run, n in runs.items():
-        if len(run) < LEAST_LENGTH:
-            continue
-        h = zlib.crc32(run.encode(), start)
-        if h % SPOILED == 0:
-            at = h % len(run)
-            run = run[:at] + run[at + 1 :]
-        if len(run) >= LEAST_LENGTH:
-            found[run] += n
-    return found
+    spoiled: Counter = Counter()
+    checked: set[str] = set()
+    for piece in stretches(text):
+        runs = RUN.findall(piece.encode().lower().decode())  # bytes have lower case for A-Z only
+        held.update(runs)
+        spoiled.update(run for run in runs if run in spoiled)
+        fresh = set(runs) - checked
+        checked |= fresh
+        for run in fresh:
+            if zlib.crc32(run.encode(), start) % SPOILED == 0:
+                spoiled[run] = runs.count(run)
+    for run, n in spoiled.items():
+        at = zlib.crc32(run.encode(), start) % len(run)
+        held[run] -= n
+        if len(run) > LEAST_LENGTH:
+            held[run[:at] + run[at + 1 :]] += n
 
 
 def _sent_on(found: Counter, names: tuple[str, str]) -> pa.RecordBatch:
@@ -77,7 +78,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: Counter = Counter()
     for batch in batches:
         for doc_id, text in zip(batch.column("doc_id").to_pylist(), C.strings_of(batch)):
-            held.update(words_in(doc_id, text))
+            add_words(held, doc_id, text)
             if len(held) >= HELD:
                 yield _sent_on(held, ("word", "n"))
                 held.clear()
@@ -110,37 +111,33 @@ def bigram_ranks(words: DataFrame) -> dict[str, int]:
 
 def rarest(word: str, ranks: dict[str, int]) -> list[int]:
     """Positions of the PREFIX rarest bigrams."""
-    ranked = [ranks[b] for b in bigrams(word)]
-    return sorted(range(len(ranked)), key=lambda i: (ranked[i], i))[:PREFIX]
+    ranked = sorted([(ranks[b], i) for i, b in enumerate(bigrams(word))])
+    return [i for _, i in ranked[:PREFIX]]
 
 
-def keys(word: str, at: list[int], shorter: int, more: int) -> set[int]:
+def keys(word: str, at: list[int], shorter: int) -> set[int]:
     """Keys of a word by its rare bigrams at the given positions, to meet another one; shorter: the length of the shorter
-    of the two, more: by how much they differ. The edit lies behind the bigram or before it. The other side, with the bigram, is equal; where that is less
+    of the two. The edit lies behind the bigram or before it. The other side, with the bigram, is equal; where that is less
     than the rest, one half of the rest is equal too."""
-    found = set()
+    found = []
     for p in at:
-        for side, equal, rest in (("head", word[: p + 2], word[p + 2 :]), ("tail", word[p:], word[:p])):
+        for side, equal, rest in (("<", word[: p + 2], word[p + 2 :]), (">", word[p:], word[:p])):
             r = shorter - len(equal)  # what is left of the shorter word
-            if r < 0 or r + more < 1:  # no room for the edit
+            if r < 0:  # no room for the edit
                 continue
-            name = f"{side} {shorter} {more} {equal} "
+            name = f"{side}{shorter} {equal}"
             if len(equal) >= r:
-                found.add(_hash(name))
+                found.append(name)
             else:
-                found.add(_hash(f"{name}< {rest[: r // 2]}"))
-                found.add(_hash(f"{name}> {rest[len(rest) - r + r // 2 :]}"))
-    return found
-
-
-def _hash(key: str) -> int:
-    return xxhash.xxh64_intdigest(key.encode()) - (1 << 63)
+                found += [f"{name} <{rest[: r // 2]}", f"{name} >{rest[len(rest) - r + r // 2 :]}"]
+    return {xxhash.xxh64_intdigest(k) for k in found}
 
 
 def roles(word: str, ranks: dict[str, int]) -> tuple[set[int], set[int], set[int]]:
     """Keys to meet words of equal length, of one more and of one less."""
     at = rarest(word, ranks)
-    return tuple(keys(word, at, n, more) for n, more in ((len(word), 0), (len(word), 1), (len(word) - 1, 1)))
+    same = keys(word, at, len(word))
+    return same, {k ^ LONGER for k in same}, {k ^ LONGER for k in keys(word, at, len(word) - 1)}
 
 
 def with_keys(words: DataFrame) -> DataFrame:
@@ -150,7 +147,7 @@ def with_keys(words: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [(same, more, less) for same, more, less in (roles(w, sent.value) for w in C.strings_of(batch, "word"))]
-            asks, answers = (pa.array([list(f[0] | f[k]) for f in found], pa.list_(pa.int64())) for k in (1, 2))
+            asks, answers = (pa.array([[k - (1 << 63) for k in f[0] | f[role]] for f in found], pa.list_(pa.int64())) for role in (1, 2))
             yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), asks, answers], names=["word", "n", "asks", "answers"])
 
     return words.mapInArrow(run, "word string, n long, asks array<long>, answers array<long>")

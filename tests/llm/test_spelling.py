@@ -99,11 +99,21 @@ def test_a_word_of_any_length_and_texts_in_stretches(spark, monkeypatch):
     rows = [(i, f"{long} x {long}y, {long[:-1]}.") for i in range(6)]
     expected = plain(rows)
     assert run(spark, rows) == expected and [r[4] for r in expected] == [1, 2, 1]
-    monkeypatch.setattr(spelling, "STRETCH", 7)
-    text = " ".join(near_words(random.Random(4), 200))
-    whole = spelling.words_in(3, text)
-    monkeypatch.setattr(spelling, "STRETCH", 1 << 20)
-    assert spelling.words_in(3, text) == whole and list(spelling.stretches("")) == []
+    text = " ".join(random.Random(4).choices(near_words(random.Random(4), 600), k=4000))
+
+    def words(size):
+        monkeypatch.setattr(spelling, "STRETCH", size)
+        found = Counter()
+        spelling.add_words(found, 3, text)
+        return +found
+
+    once = Counter()
+    for word in map(cases.low, re.findall("[A-Za-zÀ-ÿ]+", text)):
+        h = zlib.crc32(f"3:{word}".encode())
+        once[word if h % 199 else word[: h % len(word)] + word[h % len(word) + 1 :]] += 1
+    want = Counter({w: n for w, n in once.items() if len(w) >= 6})
+    assert words(7) == words(300) == words(1 << 20) == want and any(zlib.crc32(f"3:{cases.low(w)}".encode()) % 199 == 0 for w in set(text.split()))
+    assert list(spelling.stretches("")) == []
 
 
 def test_near_words_share_a_key():
