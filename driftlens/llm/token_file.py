@@ -29,6 +29,8 @@ from driftlens.llm.tokens import encoder, portions
 BLOCK = 256
 #: Ids in a segment, about; a document is never split.
 SEGMENT_IDS = 1 << 19
+#: Words that a worker remembers, some 240 MB: the file's writer shares its workers with no other stage.
+REMEMBERED = 1_000_000
 COUNTS = np.array([1, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
 BITS = np.array([64, 0, *(60 // COUNTS[2:])])
 
@@ -126,7 +128,7 @@ def decode(words: np.ndarray, offsets: np.ndarray, n_ids: int) -> np.ndarray:
 
 def _segments(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, end = encoder(path), np.array([end_id], dtype="<u4").tobytes()
+        tokenizer, end = encoder(path, REMEMBERED), np.array([end_id], dtype="<u4").tobytes()
         shard, count, first = TaskContext.get().partitionId(), 0, 0
         doc_ids: list[int] = []
         parts: list[bytes] = []

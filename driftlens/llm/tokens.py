@@ -57,7 +57,8 @@ def byte_letters() -> dict[int, int]:
 class Encoder:
     """ids() gives each text's ids as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, words: int | None = None):
+        self.words = words  # remembered at most; None: CACHE_WORDS
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -143,7 +144,7 @@ class Encoder:
         return BETWEEN.sub(CUT, text)
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > CACHE_WORDS:
+        if len(self.known) > (self.words or CACHE_WORDS):
             self.forget()
         marked = [self.cut(t) if t else None for t in texts]
         whole = [i for i, (t, m) in enumerate(zip(texts, marked)) if t and m is None]
@@ -169,10 +170,11 @@ class Encoder:
         return out
 
 
-def encoder(path: str) -> Encoder:
-    """One encoder for each worker process and tokenizer file."""
+def encoder(path: str, words: int | None = None) -> Encoder:
+    """One encoder for each worker process and tokenizer file; words: how many pieces it remembers."""
     if path not in _encoders:
         _encoders[path] = Encoder(path)
+    _encoders[path].words = words
     return _encoders[path]
 
 
