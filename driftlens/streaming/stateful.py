@@ -1,8 +1,9 @@
 """The same as-of join over a stream, with expiry.
 
-State is, for each thing, the approvals that an edit may still meet and the edits that wait. An edit is joined once the
+State is, for each thing, the approvals that an edit may still meet and the edits that wait; things are dealt to buckets,
+by a hash, which are what Spark groups by (a bucket's state is read and written whole, so take more where more than some 10,000,000 events are held at once). An edit is joined once the
 watermark has passed it, when no earlier approval can still arrive: events may come in any order within the lateness, and
-what comes out is what the batch join gives. Event-time timers wake a thing for its next edit or its next expiry; an
+what comes out is what the batch join gives. Event-time timers wake a bucket for its next edit or its next expiry; an
 approval goes when a later one holds for all edits to come or when its time is over, and an approval that ran out without
 a later one gives an expiry row. State of a thing is bounded by what arrives for it within the lateness.
 
@@ -14,6 +15,7 @@ of two approvals of a thing at one time the one read last counts.
 from __future__ import annotations
 
 import tempfile
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
@@ -28,37 +30,35 @@ from driftlens.storage.drift_log import log_sink, read_log  # noqa: F401
 EVENTS = "community_id string, thing_id string, kind string, at timestamp, payload string"
 APPROVAL, EDIT, TICK = "approval", "edit", "tick"
 _OUT = "community_id string, thing_id string, kind string, at_us long, approved_us long, edit string, approval string"
+BUCKETS = 512
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 class AsOf(StatefulProcessor):
-    """Approvals and edits of one thing, in event time. Times are microseconds."""
+    """Approvals and edits of the things of one bucket, in event time. Times are microseconds. A call of Python and a round
+    trip to the state cost far more than a row, so things share them: a bucket's rows come and go together."""
 
     def __init__(self, ttl_us: int):
         self.ttl = ttl_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.approvals = handle.getMapState("approvals", "at long", "payload string")
-        self.edits = handle.getListState("edits", "at long, payload string")
+        self.held = handle.getListState("held", "community_id string, thing_id string, approval boolean, at long, payload string")
         self.wake = handle.getValueState("wake", "at long")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
         due = []
         for part in rows:
-            part = part[part["at_us"].notna()]
-            for at, payload in part.loc[part["kind"] == APPROVAL, ["at_us", "payload"]].itertuples(index=False, name=None):
-                self.approvals.updateValue((int(at),), (payload,))
-                due.append(int(at) + self.ttl)
-            waiting = [(int(at), payload) for at, payload in part.loc[part["kind"] == EDIT, ["at_us", "payload"]].itertuples(index=False, name=None)]
-            if waiting:
-                self.edits.appendList(waiting)
-                due.append(min(at for at, _ in waiting))
+            part = part[part["at_us"].notna() & part["kind"].isin((APPROVAL, EDIT))]
+            if len(part):
+                part = part.assign(approval=part["kind"] == APPROVAL).astype({"at_us": "int64"})
+                self.held.appendList(list(part[[*KEY, "approval", "at_us", "payload"]].itertuples(index=False, name=None)))
+                due.append(int((part["at_us"] + self.ttl * part["approval"]).min()))
         self._wake_at(min(due, default=None))
         return iter(())
 
     def _wake_at(self, at: int | None) -> None:
-        """One timer a thing, for the earliest time it waits for."""
+        """One timer a bucket, for the earliest time that one of its things waits for."""
         now = self.wake.get() if self.wake.exists() else None
         if at is not None and (now is None or at < now[0]):
             if now is not None:
@@ -69,32 +69,38 @@ class AsOf(StatefulProcessor):
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
         self.wake.clear()
-        approvals = sorted((at[0], payload[0]) for at, payload in self.approvals.iterator())
-        waiting = sorted(self.edits.get(), key=lambda e: e[0])
-        out, k, ready = [], -1, 0
-        for at, edit in waiting:
-            if at > passed:
-                break
-            ready += 1
-            while k + 1 < len(approvals) and approvals[k + 1][0] <= at:
-                k += 1
-            if k >= 0 and at < approvals[k][0] + self.ttl:
-                out.append((*key, EDIT, at, approvals[k][0], edit, approvals[k][1]))
-        ends = []
-        for (at, approval), later in zip(approvals, [a[0] for a in approvals[1:]] + [None]):
-            end = at + self.ttl
-            ran_out = end <= passed and (later is None or later >= end)
-            if ran_out:
-                out.append((*key, "expiry", end, at, None, approval))
-            if end <= passed or (later is not None and later <= passed):
-                self.approvals.removeKey((at,))
+        approvals: dict[tuple, dict[int, str]] = defaultdict(dict)
+        edits: dict[tuple, list[tuple]] = defaultdict(list)
+        stay, due, out, n = [], [], [], 0
+        for *thing, approval, at, payload in self.held.get():
+            n += 1
+            if approval:
+                approvals[tuple(thing)][at] = payload
+            elif at > passed:
+                stay.append((*thing, False, at, payload))
+                due.append(at)
             else:
-                ends.append(end)
-        if ready == len(waiting):
-            self.edits.clear()
-        elif ready:
-            self.edits.put(waiting[ready:])
-        self._wake_at(min([at for at, _ in waiting[ready : ready + 1]] + ends, default=None))
+                edits[tuple(thing)].append((at, payload))
+        for thing, known in approvals.items():
+            known = sorted(known.items())
+            k = -1
+            for at, edit in sorted(edits[thing], key=lambda e: e[0]):
+                while k + 1 < len(known) and known[k + 1][0] <= at:
+                    k += 1
+                if k >= 0 and at < known[k][0] + self.ttl:
+                    out.append((*thing, EDIT, at, known[k][0], edit, known[k][1]))
+            for (at, approval), later in zip(known, [a[0] for a in known[1:]] + [None]):
+                end = at + self.ttl
+                if end <= passed and (later is None or later >= end):
+                    out.append((*thing, "expiry", end, at, None, approval))
+                if end > passed and (later is None or later > passed):
+                    stay.append((*thing, True, at, approval))
+                    due.append(end)
+        if not stay:
+            self.held.clear()
+        elif len(stay) < n:
+            self.held.put(stay)
+        self._wake_at(min(due, default=None))
         if out:
             yield pd.DataFrame(out, columns=[*KEY, "kind", "at_us", "approved_us", "edit", "approval"])
 
@@ -116,13 +122,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found or "file://" + tempfile.mkdtemp(prefix="driftlens-")
 
 
-def carry(events: DataFrame, ttl_days: float = TTL_DAYS, lateness: str = "1 day") -> DataFrame:
+def carry(events: DataFrame, ttl_days: float = TTL_DAYS, lateness: str = "1 day", buckets: int = BUCKETS) -> DataFrame:
     """Both kinds of result of a stream of events (EVENTS): edits with the approval that held, and expiries. State is kept in
     RocksDB, which timers need; a session with another provider is set to it."""
     if events.sparkSession.conf.get("spark.sql.streaming.stateStore.providerClass", "") != _ROCKSDB:
         events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKSDB)
-    timed = events.withWatermark("at", lateness).withColumn("at_us", F.unix_micros("at"))
-    return timed.groupBy(*KEY).transformWithStateInPandas(AsOf(round(ttl_days * 86400_000_000)), _OUT, "Append", "EventTime")
+    timed = events.withWatermark("at", lateness).withColumns({"at_us": F.unix_micros("at"), "bucket": F.pmod(F.xxhash64(*KEY), F.lit(buckets))})
+    return timed.groupBy("bucket").transformWithStateInPandas(AsOf(round(ttl_days * 86400_000_000)), _OUT, "Append", "EventTime")
 
 
 def joined(carried: DataFrame) -> DataFrame:
