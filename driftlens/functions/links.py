@@ -45,9 +45,10 @@ def mask_code(text: Column) -> Column:
 
 
 def _pairs(text: Column, pattern: str, href: int, label: int | None) -> Column:
-    hrefs = F.regexp_extract_all(text, F.lit(pattern), href)
-    labels = F.regexp_extract_all(text, F.lit(pattern), label) if label else F.transform(hrefs, lambda _: F.lit(""))
-    return F.transform(F.arrays_zip(hrefs.alias("href"), labels.alias("text")), lambda z: F.struct(z["href"].alias("href"), z["text"].alias("text")))
+    """A text is searched once; groups are read off what was found, which is all that a match looked at."""
+    if label is None:
+        return F.transform(F.regexp_extract_all(text, F.lit(pattern), href), lambda h: F.struct(h.alias("href"), F.lit("").alias("text")))
+    return F.transform(F.regexp_extract_all(text, F.lit(pattern), 0), lambda m: F.struct(F.regexp_extract(m, pattern, href).alias("href"), F.regexp_extract(m, pattern, label).alias("text")))
 
 
 def _label(text: Column) -> Column:
@@ -60,10 +61,11 @@ def reference_links(text: Column) -> Column:
     defined = F.filter(defined, lambda d: (d["label"] != "") & (d["href"] != ""))
 
     def resolve(known: Column) -> Column:
-        href = lambda u: F.get(F.filter(known, lambda d: d["label"] == _label(F.when(u["href"] != "", u["href"]).otherwise(u["text"]))), F.lit(0))["href"]
-        return F.filter(F.transform(_pairs(text, USAGE, 2, 1), lambda u: F.struct(href(u).alias("href"), u["text"].alias("text"))), lambda r: r["href"].isNotNull())
+        href = lambda u: bind(_label(F.when(u["href"] != "", u["href"]).otherwise(u["text"])), lambda name: F.get(F.filter(known, lambda d: d["label"] == name), F.lit(0))["href"])
+        used = F.filter(F.transform(_pairs(text, USAGE, 2, 1), lambda u: F.struct(href(u).alias("href"), u["text"].alias("text"))), lambda r: r["href"].isNotNull())
+        return F.when(F.size(known) > 0, used).otherwise(F.array().cast(REFS))
 
-    return F.when(text.rlike(DEFINITION), bind(defined, resolve)).otherwise(F.array().cast(REFS))
+    return F.when(F.contains(text, F.lit("]:")), bind(defined, resolve)).otherwise(F.array()).cast(REFS)
 
 
 def extract_link_refs(body: Column) -> Column:
