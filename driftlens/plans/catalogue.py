@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftlens.config import Settings
-from driftlens.functions import chars, dims, links, lookalike, rails, similarity, urls
+from driftlens.functions import chars, dims, links, lookalike, rails, urls
 from driftlens.functions import versions as pairs
 from driftlens.operators import brands, log, score, watch
 from driftlens.plans.registry import registry
@@ -220,7 +220,7 @@ def strip_invisible(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {VERSIONS_SQL} SELECT doc_id, md5({_MATCH('c')}) AS matched FROM e")
 def normalize_for_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return versions(spark, sf_dir).select("doc_id", F.md5(chars.normalize_for_match("c")).alias("matched"))
+    return versions(spark, sf_dir).select("doc_id", F.md5(pairs.matched(F.col("c"))).alias("matched"))
 
 
 @query(f"""WITH {VERSIONS_SQL} SELECT doc_id, regexp_matches(c, '[{chars.INVISIBLE}]') AS invisible, regexp_matches(c, '[{chars.BIDI}]') AS bidi, regexp_matches(c, '{chars.CONFUSABLE}') AS confusable FROM e""")
@@ -290,24 +290,23 @@ def added_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {VERSIONS_SQL} SELECT doc_id, array_to_string({_rail_sql(_STRIP('c'))}, ',') AS now, array_to_string({_rail_sql(_STRIP('t'))}, ',') AS before FROM e")
 def solicitation_rails(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = versions(spark, sf_dir).select("doc_id", chars.strip_and_fold("c").alias("c"), chars.strip_and_fold("t").alias("t"))
-    return found.select("doc_id", F.array_join(rails.rails(F.col("c")), ",").alias("now"), F.array_join(rails.rails(F.col("t")), ",").alias("before"))
+    found = versions(spark, sf_dir).select("doc_id", pairs.rails_in(F.col("t"), F.col("c")).alias("r"))
+    return found.select("doc_id", F.array_join("r.rails_after", ",").alias("now"), F.array_join("r.rails_before", ",").alias("before"))
 
 
 # ---- similarity and score ----------------------------------------------------------------------------------------------
-def words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = versions(spark, sf_dir).select("doc_id", chars.nfkd("t").alias("t"), chars.nfkd("c").alias("c"))
-    return found.select("doc_id", similarity.tokens(chars.match_form("t")).alias("a"), similarity.tokens(chars.match_form("c")).alias("b"))
+def jaccards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return versions(spark, sf_dir).select("doc_id", pairs.jaccard(F.col("t"), F.col("c")).alias("j"))
 
 
 @query(f"WITH {PROFILE} SELECT doc_id, round(uni, 6) AS jaccard FROM p")
 def token_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return words(spark, sf_dir).select("doc_id", r6(similarity.jaccard(F.array_distinct("a"), F.array_distinct("b"))).alias("jaccard"))
+    return jaccards(spark, sf_dir).select("doc_id", r6("j.tokens").alias("jaccard"))
 
 
 @query(f"WITH {PROFILE} SELECT doc_id, round(bi, 6) AS jaccard FROM p")
 def bigram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return words(spark, sf_dir).select("doc_id", r6(similarity.jaccard(similarity.shingles(F.col("a")), similarity.shingles(F.col("b")))).alias("jaccard"))
+    return jaccards(spark, sf_dir).select("doc_id", r6("j.bigrams").alias("jaccard"))
 
 
 @query(f"WITH {PROFILE} SELECT doc_id, round(0.5 * uni + 0.5 * bi, 6) AS similarity, round(1 - (0.5 * uni + 0.5 * bi), 6) AS content_change, round(added, 6) AS added_fraction, round(removed, 6) AS removed_fraction FROM p")
