@@ -14,7 +14,7 @@ from collections.abc import Iterator
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from driftlens.functions import chars, links
+from driftlens.functions import chars, links, versions
 
 
 def _python(pattern: str) -> re.Pattern:
@@ -65,4 +65,5 @@ class LinkTable:
 
 def register(spark: SparkSession) -> None:
     """links for SQL; deterministic, so that it may stand in an outer join."""
+    versions.small_batches(spark)
     spark.udtf.register("links", LinkTable.asDeterministic())

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftlens.functions.links import REFS, extract_link_refs
+from driftlens.functions.versions import small_batches
 
 #: What was done to the text t of a document, by its id.
 EDIT = """CASE doc_id % 12
@@ -35,6 +36,7 @@ def spread(df: DataFrame) -> DataFrame:
 
 def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, t (approved), c (current)."""
+    small_batches(spark)
     docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("doc_id", "coalesce(text, '') AS t"))
     return docs.selectExpr("doc_id", "t", f"{EDIT} AS c")
 
