@@ -6,7 +6,9 @@ and weights minimise the logistic loss on the differences of features (Newton's
 is a quantile: as large a share of the labelled documents falls below it as is labelled 0. The score is the logistic of
 the distance to it, moved so that the threshold scores THRESHOLD.
 
-The labelled sample is bounded: the SAMPLE documents of each label whose hashed ids are smallest, and PAIRS pairs of them.
+All labelled documents are learned from. They are dealt to blocks of some BLOCK documents of the commoner label, and all pairs
+within a block count, so that every document stands in pairs and their number grows with the documents, not with their
+square. Sums over pairs and the threshold, which is exact, are made by Spark.
 
 Defined results: null and empty texts have features too (all zero but one) and so a score; a null doc_id isn't held
 out and isn't learned from; labels other than 0 and 1 are ignored; a document labelled twice counts for each label; of
@@ -18,18 +20,20 @@ averaged by length; an empty table gives an empty result; other columns are igno
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftlens.llm import common as C
 
-#: The bounds of the sample: documents of each label, and preference pairs.
-SAMPLE, PAIRS = 1500, 30_000
+#: Documents of the commoner label in a block, and the most parts that blocks are summed in.
+BLOCK, PARTS = 256, 200
 THRESHOLD = 0.3
 STRETCH = 1 << 20
 RIDGE = 1e-3
@@ -101,21 +105,40 @@ def _spread(x: np.ndarray, mean: np.ndarray, spread: np.ndarray) -> np.ndarray:
     return np.concatenate((z, np.maximum(z - 1, 0), np.maximum(-z - 1, 0)), axis=1)
 
 
-def bradley_terry(better: np.ndarray, worse: np.ndarray, ridge: float = RIDGE, steps: int = 25) -> np.ndarray:
-    """Weights that minimise the mean logistic loss of better - worse plus a ridge, by Newton's method."""
-    d = better - worse
-    w = np.zeros(d.shape[1])
+def _newton(sums: Callable[[np.ndarray], np.ndarray], size: int, ridge: float, steps: int) -> np.ndarray:
+    """Weights at which the gradient of a convex loss and a ridge vanishes. sums: of all pairs, for weights: their number,
+    the gradient, and the second derivatives, in one array."""
+    w = np.zeros(size)
     for _ in range(steps):
-        p = 1 / (1 + np.exp(np.clip(d @ w, -500, 500)))
-        gradient = -(d * p[:, None]).mean(axis=0) + ridge * w
-        hessian = (d * (p * (1 - p))[:, None]).T @ d / len(d) + ridge * np.eye(len(w))
-        step = np.linalg.solve(hessian, gradient)
+        found = sums(w)
+        gradient = found[1 : size + 1] / found[0] + ridge * w
+        step = np.linalg.solve(found[size + 1 :].reshape(size, size) / found[0] + ridge * np.eye(size), gradient)
         w = w - step
         if np.abs(step).max() < 1e-8:
             break
     return w
 
 
+def bradley_terry(better: np.ndarray, worse: np.ndarray, ridge: float = RIDGE, steps: int = 25) -> np.ndarray:
+    """Weights that minimise the mean logistic loss of better - worse plus a ridge, by Newton's method."""
+    d = better - worse
+
+    def sums(w: np.ndarray) -> np.ndarray:
+        p = 1 / (1 + np.exp(np.clip(d @ w, -500, 500)))
+        return np.concatenate(([len(d)], -(d * p[:, None]).sum(axis=0), ((d * (p * (1 - p))[:, None]).T @ d).ravel()))
+
+    return _newton(sums, d.shape[1], ridge, steps)
+
+
+def pair_sums(good: np.ndarray, bad: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """What _newton needs of all pairs of a good and a bad row, without the pairs' differences."""
+    p = 1 / (1 + np.exp(np.clip((good @ w)[:, None] - (bad @ w)[None, :], -500, 500)))
+    h = p * (1 - p)
+    cross = good.T @ h @ bad
+    second = (good * h.sum(axis=1)[:, None]).T @ good + (bad * h.sum(axis=0)[:, None]).T @ bad - cross - cross.T
+    return np.concatenate(([p.size], p.sum(axis=0) @ bad - p.sum(axis=1) @ good, second.ravel()))
+
+
 def quantile(worth: np.ndarray, weight: np.ndarray, share: float) -> float:
     """Halfway between the worths around the point below which the given share of the weight lies."""
     order = np.argsort(worth, kind="stable")
@@ -124,18 +147,52 @@ def quantile(worth: np.ndarray, weight: np.ndarray, share: float) -> float:
     return float(worth[order][max(0, k - 1)] + worth[order][min(k, len(order) - 1)]) / 2
 
 
-def fit(x: np.ndarray, y: np.ndarray, rate: float, pairs: int = PAIRS) -> Model:
-    """x: features, y: labels, in a fixed order; rate: the share of label 1 among all labelled documents."""
-    good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
-    if not len(good) or not len(bad):
+def fit(known: DataFrame, counts: dict[int, int], rate: float) -> Model:
+    """known: doc_id, label, x (features), each labelled document once for each label; counts: its rows of each label; rate
+    stands in where a label is missing.
+
+    Rows of either label are ranked by their hashed ids and dealt to blocks in turn; rows of the rarer label go to several
+    blocks where there are too few. A Newton step sums over the blocks' pairs in Spark, and the driver gets the sums of at
+    most PARTS parts."""
+    if not counts.get(0) or not counts.get(1):
         return Model(np.zeros(0), np.zeros(0), np.zeros(0), 0.0, rate)
-    mean, spread = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-6)
-    z = _spread(x, mean, spread)
-    n = min(pairs, len(good) * len(bad))
-    k = np.arange(n)  # pair k: every bad document meets different good ones in turn
-    weights = bradley_terry(z[good[(k + k // len(bad)) % len(good)]], z[bad[k % len(bad)]])
-    weight = np.where(y == 1, rate / len(good), (1 - rate) / len(bad))
-    return Model(mean, spread, weights, quantile(z @ weights, weight, 1 - rate), rate)
+    spark, n = known.sparkSession, counts[0] + counts[1]
+    blocks = -(-max(counts.values()) // BLOCK)
+    parts = min(PARTS, blocks)
+    ranked = [known.filter(F.col("label") == k).sort(F.xxhash64("doc_id"), "doc_id").rdd.map(lambda r: (r["label"], r["doc_id"], bytes(r["x"]))).zipWithIndex() for k in (0, 1)]
+
+    def deal(row: tuple) -> Iterator[tuple]:
+        (label, doc_id, x), rank = row
+        for i in range(rank, max(blocks, counts[label]), counts[label]):
+            yield i % blocks, (label, rank, x, i == rank)
+
+    def block(rows: Iterator[tuple]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """Blocks of a part, in order: labels, features, and whether a row stands here for itself."""
+        for key, found in groupby(sorted(rows), key=lambda r: r[0]):
+            held = [r[1] for r in found]
+            yield key, np.array([r[0] for r in held]), np.frombuffer(b"".join(r[2] for r in held), dtype="<f8").reshape(-1, len(NAMES)), np.array([r[3] for r in held])
+
+    dealt = ranked[0].union(ranked[1]).flatMap(deal).partitionBy(parts, lambda k: k).mapPartitions(block, preservesPartitioning=True).persist(StorageLevel.MEMORY_AND_DISK)
+
+    def total(of: Callable) -> np.ndarray:
+        """The sum over all blocks, part by part in order, so that it is the same each time."""
+        return sum(dealt.mapPartitions(lambda found: [sum((of(*b[1:]) for b in found), start=0.0)]).collect(), start=0.0)
+
+    mean = total(lambda y, x, own: x[own].sum(axis=0)) / n
+    spread = np.maximum(np.sqrt(total(lambda y, x, own: ((x[own] - mean) ** 2).sum(axis=0)) / n), 1e-6)
+
+    def sums(w: np.ndarray) -> np.ndarray:
+        def one(y: np.ndarray, x: np.ndarray, own: np.ndarray) -> np.ndarray:
+            z = _spread(x, mean, spread)
+            return pair_sums(z[y == 1], z[y == 0], w)
+
+        return total(one)
+
+    weights = _newton(sums, 3 * len(NAMES), RIDGE, 25)
+    worth = dealt.flatMap(lambda b: (_spread(b[2][b[3]], mean, spread) @ weights).tolist()).sortBy(lambda v: v).zipWithIndex()
+    around = np.array(worth.filter(lambda v: v[1] in (counts[0] - 1, counts[0])).keys().collect())
+    dealt.unpersist()
+    return Model(mean, spread, weights, quantile(around, np.ones(len(around)), 0.5), rate)
 
 
 def remainder(doc_id: Column) -> Column:
@@ -148,20 +205,17 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), x], names=["doc_id", "label", "x"])
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE, pairs: int = PAIRS) -> Model:
-    """Fit on the labelled documents whose remainder isn't 0."""
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
+    """Fit on all labelled documents whose remainder isn't 0."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).filter(F.col("label").isin(0, 1) & (remainder(F.col("doc_id")) != 0))
     counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     rate = counts.get(1, 0) / sum(counts.values()) if counts else 0.5
-    chosen = [known.filter(F.col("label") == k).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for k in (0, 1)]
-    chosen = C.saved(chosen[0].unionByName(chosen[1]), "labelled")  # 2 x sample rows at most
+    if len(counts) < 2:
+        return Model(np.zeros(0), np.zeros(0), np.zeros(0), 0.0, rate)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text").mapInArrow(_features, "doc_id long, label int, x binary")
-    rows = sorted((r["label"], r["doc_id"], bytes(r["x"])) for r in found.groupBy("doc_id", "label").agg(F.min("x").alias("x")).collect())
-    order = np.random.default_rng(0).permutation(len(rows))
-    rows = [rows[i] for i in order]
-    x = np.frombuffer(b"".join(v for _, _, v in rows), dtype="<f8").reshape(-1, len(NAMES))
-    return fit(x, np.array([k for k, _, _ in rows], dtype=np.int64), rate, pairs)
+    found = texts.join(known.distinct(), "doc_id").select("doc_id", "label", "text").mapInArrow(_features, "doc_id long, label int, x binary")
+    found = C.saved(found.groupBy("doc_id", "label").agg(F.min("x").alias("x")), "labelled")
+    return fit(found, {r["label"]: r["count"] for r in found.groupBy("label").count().collect()}, rate)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
