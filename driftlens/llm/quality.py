@@ -8,7 +8,8 @@ the distance to it, moved so that the threshold scores THRESHOLD.
 
 All labelled documents are learned from. They are dealt to blocks of some BLOCK documents of the commoner label, and all pairs
 within a block count, so that every document stands in pairs and their number grows with the documents, not with their
-square. Sums over pairs and the threshold, which is exact, are made by Spark.
+square. Sums over pairs and the threshold, which is exact, are made by Spark. Labels meet features, never texts: no text is
+shuffled, and train_and_score() reads each text once for both.
 
 Defined results: null and empty texts have features too (all zero but one) and so a score; a null doc_id isn't held
 out and isn't learned from; labels other than 0 and 1 are ignored; a document labelled twice counts for each label; of
@@ -95,7 +96,10 @@ class Model:
     def scores(self, texts: list[str]) -> np.ndarray:
         if not len(self.weights) or not texts:
             return np.full(len(texts), self.rate)
-        at = self.worth(np.stack([features(t) for t in texts])) - self.threshold + np.log(THRESHOLD / (1 - THRESHOLD))
+        return self.scores_of(np.stack([features(t) for t in texts]))
+
+    def scores_of(self, x: np.ndarray) -> np.ndarray:
+        at = self.worth(x) - self.threshold + np.log(THRESHOLD / (1 - THRESHOLD))
         return 1 / (1 + np.exp(-np.clip(at, -500, 500)))
 
 
@@ -202,30 +206,69 @@ def remainder(doc_id: Column) -> Column:
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         x = pa.array([features(t).astype("<f8").tobytes() for t in C.strings_of(batch)], pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), x], names=["doc_id", "label", "x"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), x], names=["doc_id", "x"])
+
+
+def featured(docs: DataFrame) -> DataFrame:
+    """One row per document: doc_id, x (features of its text, as little-endian doubles)."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_features, "doc_id long, x binary")
+
+
+def _known(labels: DataFrame, label: str) -> tuple[DataFrame, dict[int, int]]:
+    """Labels to learn from (doc_id, label), and how many there are of each."""
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).filter(F.col("label").isin(0, 1) & (remainder(F.col("doc_id")) != 0))
+    return known, {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
+
+
+def _learn(found: DataFrame, known: DataFrame, counts: dict[int, int]) -> Model:
+    """found: as featured() gives it. Rows of a doc_id become one before they meet the labels, within tasks first."""
+    found = found.filter(remainder(F.col("doc_id")) != 0).groupBy("doc_id").agg(F.min("x").alias("x"))
+    found = C.saved(found.join(known.distinct(), "doc_id").select("doc_id", "label", "x"), "labelled")
+    return fit(found, {r["label"]: r["count"] for r in found.groupBy("label").count().collect()}, counts[1] / sum(counts.values()))
+
+
+def _unlearned(counts: dict[int, int]) -> Model:
+    return Model(np.zeros(0), np.zeros(0), np.zeros(0), 0.0, counts.get(1, 0) / sum(counts.values()) if counts else 0.5)
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
     """Fit on all labelled documents whose remainder isn't 0."""
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).filter(F.col("label").isin(0, 1) & (remainder(F.col("doc_id")) != 0))
-    counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
-    rate = counts.get(1, 0) / sum(counts.values()) if counts else 0.5
+    known, counts = _known(labels, label)
     if len(counts) < 2:
-        return Model(np.zeros(0), np.zeros(0), np.zeros(0), 0.0, rate)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = texts.join(known.distinct(), "doc_id").select("doc_id", "label", "text").mapInArrow(_features, "doc_id long, label int, x binary")
-    found = C.saved(found.groupBy("doc_id", "label").agg(F.min("x").alias("x")), "labelled")
-    return fit(found, {r["label"]: r["count"] for r in found.groupBy("label").count().collect()}, rate)
+        return _unlearned(counts)
+    return _learn(featured(docs.filter(remainder(F.col("doc_id").cast("long")) != 0)), known, counts)
+
+
+def train_and_score(docs: DataFrame, labels: DataFrame, label: str = "quality") -> DataFrame:
+    """What score() gives by what train() learns, from features that are computed once and saved."""
+    known, counts = _known(labels, label)
+    if len(counts) < 2:
+        return score(docs, _unlearned(counts))
+    found = C.saved(featured(docs), "features")
+    return _scored(found, _learn(found, known, counts), "x")
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """One row per document: doc_id, held_out (its remainder is 0), score, predicted (1 if score >= THRESHOLD)."""
+    return _scored(docs.select("doc_id", F.col("text").cast("string").alias("text")), model, "text")
+
+
+def _scored(docs: DataFrame, model: Model, given: str) -> DataFrame:
+    """given: what scores are computed from, text or x."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(remainder(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(remainder(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), given)
+
+    def scores(batch: pa.RecordBatch) -> np.ndarray:
+        model = sent.value
+        if given == "text":
+            return model.scores(C.strings_of(batch))
+        if not len(model.weights):
+            return np.full(batch.num_rows, model.rate)
+        return model.scores_of(np.frombuffer(b"".join(C.bytes_of(batch, "x")), dtype="<f8").reshape(-1, len(NAMES)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = sent.value.scores(C.strings_of(batch))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(scores, pa.float64()), pa.array((scores >= THRESHOLD).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
+            found = scores(batch)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(found, pa.float64()), pa.array((found >= THRESHOLD).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
